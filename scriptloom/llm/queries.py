@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptloom.llm import simhash_dedup
+import os
+
+from scriptloom.llm import packing, simhash_dedup, token_counts
 from scriptloom.llm.common import read_table
 
 
@@ -12,5 +14,24 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup,)}
+def tokenizer_path(name: str) -> str:
+    """A public vocabulary file: under $TOKENIZERS_DIR, else where the installed package has it."""
+    if folder := os.environ.get("TOKENIZERS_DIR"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+def op8_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op7_nnls_packing, op8_prefix_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptloom.session import map_arrow
 from scriptloom.llm.common import cut
 
 SHINGLE_WORDS = 3
@@ -67,7 +68,7 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
                 [batch.column(0), pa.array(values.view(np.int64), pa.int64())], names=["doc_id", "fp"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
 
 
 def _flips(bits: int, most: int) -> np.ndarray:
@@ -168,7 +169,7 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                     b.append(max(x, y))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return lists.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(lists, run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
