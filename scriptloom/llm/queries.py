@@ -1,17 +1,24 @@
-"""Queries and SQL of the training-data operators."""
+"""Queries and SQL of the training-data operators, with production parameters on whole tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 import os
 
-from scriptloom.llm import packing, simhash_dedup, token_counts
-from scriptloom.llm.common import read_table
-
+from pyspark.sql import DataFrame, SparkSession
 
-def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+from scriptloom.llm import (
+    html_extract,
+    license_scan,
+    packing,
+    quality_llr,
+    secret_scan,
+    simhash_dedup,
+    source_mix,
+    token_counts,
+    topk_search,
+    url_filter,
+)
+from scriptloom.llm.common import read_table
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,6 +30,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.taken_words(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filter.RULES, "verdict string, rule string")
+    return url_filter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_llr.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
@@ -33,5 +65,51 @@ def op8_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op7_nnls_packing, op8_prefix_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_simhash_near_dedup,
+        op3_source_mix,
+        op4_url_filter,
+        op5_license_scan,
+        op6_quality_llr,
+        op7_nnls_packing,
+        op8_prefix_token_counts,
+        op9_voronoi_top_k,
+        op10_html_extract,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": """
+WITH rules(verdict, host, path) AS (VALUES
+  ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'),
+  ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (SELECT page_id,
+  translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+hits AS (SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict,
+  row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS k
+  FROM parts p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM hits WHERE k = 1
+""",
+    "op9_voronoi_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10
+""",
+}
