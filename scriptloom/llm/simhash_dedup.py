@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptloom.session import map_arrow
-from scriptloom.llm.common import cut
+from scriptloom.llm.common import broadcast_if_small, cut
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 HASH_SEED = 42
 #: Lists of up to so many entries compare pairwise, longer ones probe bit flips.
 DIRECT_LIST = 64
+#: Ids to drop that may be broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: str | None, n: int = SHINGLE_WORDS) -> int:
@@ -196,7 +198,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = down.join(low, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).where("x != y").union(
             low.select(F.col("u").alias("x"), F.col("m").alias("y"))
         )
-        edges = cut(
+        edges = cut(  # reliable: a lost executor costs one round at most
             small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         )
         now = edges.agg(
@@ -220,7 +222,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, max_bits: int = MAX
     """
     fps = cut(fingerprints(docs, n))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    groups = components(links(classes, max_bits))
+    groups = components(cut(links(classes, max_bits)))
     rooted = classes.join(groups, classes.fp == groups.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
@@ -237,5 +239,6 @@ def keep_one(docs: DataFrame, n: int = SHINGLE_WORDS, max_bits: int = MAX_BITS)
     Of repeated rows with one id all stay; rows without an id stay.
     """
     found = near_duplicates(docs, n, max_bits)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    gone = cut(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    gone, _ = broadcast_if_small(gone, BROADCAST_IDS)
     return docs.join(gone, "doc_id", "left_anti")

@@ -53,6 +53,16 @@ def targets(sizes: list[tuple[str | None, int]], share: float = SHARE, epochs: f
     return found
 
 
+def _order() -> Column:
+    """Place of a document in its source's shuffled stream; rows of one id share it."""
+    return F.xxhash64("doc_id", "source")
+
+
+def _place(order: Column) -> Column:
+    """The first 40 bits of a hash: exact in doubles."""
+    return F.shiftrightunsigned(order, 24)
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size`` and ``copy``, which tells rows of one id apart."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size"))
@@ -120,9 +130,9 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame
         spark.createDataFrame(table, "sid int, source_name string, source_size long, target double, parts int")
     )
     known = rows.join(sources, F.col("source").eqNullSafe(F.col("source_name"))).drop("source_name")
-    order = F.xxhash64("doc_id", "copy", "source")
-    hashed = known.withColumn("order", order).withColumn(
-        "part", F.floor((F.shiftrightunsigned("order", 33) * F.col("parts")) / F.lit(float(1 << 31))).cast("int")
+    # parts are ranges of the order, so the stream runs through them one after the other
+    hashed = known.withColumn("order", _place(_order())).withColumn(
+        "part", F.floor(F.col("order") * F.col("parts") / F.lit(float(1 << 40))).cast("int")
     )
     per_part = hashed.groupBy("sid", "part").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -153,32 +163,44 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame
     return slots.join(cutup, ["sid", "rank"]), known.drop("parts")
 
 
-def taken_words(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+def taken_words(docs: DataFrame, block: int = BLOCK_WORDS, keep_source: bool = False) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every row; ``taken`` counts repeats."""
+    more = ["source"] if keep_source else []
     pieces, known = mix(docs, block)
     sums = pieces.groupBy("doc_id", "copy").agg(F.sum("taken").alias("taken"))
     k, s = known.alias("k"), sums.alias("s")
     return k.join(
         s, F.col("k.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("k.copy") == F.col("s.copy")), "left"
     ).select(
-        F.col("k.doc_id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        F.col("k.doc_id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *more
     )
 
 
 def repeat_to_targets(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """Rows of ``docs`` in the mix, each as often as the mix reads it, whole or in part.
+    """Rows of ``docs`` in the mix, each as often as the mix reads it, rounded to whole documents.
 
-    A document with at least half its words taken once appears once, with one and a half times
-    its words or more twice; documents without words stay out. Columns are those of ``docs``.
+    Within a source the mix reads a document as often as its neighbours in the stream, once more
+    before the place where the target is reached. So one row per source (times, last place of
+    the additional reading) says it all, and texts are not shuffled. Documents without words
+    stay out; rows of one id share their fate. Columns are those of ``docs``.
     """
-    counted = taken_words(docs, block).where("size > 0").groupBy("doc_id").agg(
-        F.sum("taken").alias("taken"), F.sum("size").alias("size")
+    counted = taken_words(docs.select("doc_id", "source", "text"), block, keep_source=True).where("size > 0")
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    told = counted.select("source", times.alias("times"), _place(_order()).alias("place"))
+    least = told.groupBy("source").agg(F.min("times").alias("least"), F.max("times").alias("most"))
+    last = told.groupBy("source", "times").agg(F.max("place").alias("last"))
+    # one row per source
+    rule = F.broadcast(
+        least.alias("l")
+        .join(last.alias("m"), F.col("l.source").eqNullSafe(F.col("m.source")) & (F.col("l.most") == F.col("m.times")))
+        .select(F.col("l.source").alias("mix_source"), F.col("least").alias("mix_least"), F.col("most").alias("mix_most"), F.col("last").alias("mix_last"))
     )
-    times = counted.select(
-        F.col("doc_id").alias("mix_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("mix_times")
-    ).where("mix_times > 0")
+    again = F.when(_place(_order()) <= F.col("mix_last"), F.col("mix_most")).otherwise(F.col("mix_least"))
     return (
-        docs.join(times, F.col("doc_id") == F.col("mix_id"))
+        docs.join(rule, F.col("source").eqNullSafe(F.col("mix_source")))
+        .where(n_words(F.col("text")) > 0)
+        .withColumn("mix_times", again)
+        .where("mix_times > 0")
         .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times"))))
         .select(*docs.columns)
     )
