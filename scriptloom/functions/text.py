@@ -411,7 +411,7 @@ def word_subsequence(text: Column, source: Column) -> Column:
 def edge_overlap(tokens: Column, canonical: Column, prefix: bool) -> Column:
     n = F.size(tokens)
     edge = F.slice(canonical, F.lit(1), n) if prefix else F.slice(canonical, F.size(canonical) - n + 1, n)
-    return (n > 0) & (n <= F.size(canonical)) & (edge == tokens)
+    return (n > 0) & (n < F.size(canonical)) & (edge == tokens)
 
 
 # -- boundary rules (B-codes of the audit profile, W13) -------------------------------------------

@@ -757,3 +757,290 @@ def token_ngram_match(spark, d):
     items = V.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), T.word_tokens(F.col("text")).alias("tokens"))
     docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.word_tokens(F.col("text")).alias("tokens"))
     return longs(joins.ngram_matches(items, docs, 12), "item_pos", "text_pos")
+
+
+# -- sequential, fuzzy, formats ---------------------------------------------------------------------
+
+
+def _seq(df: DataFrame, columns: list[str], step, schema: str, order=("start_ms", "ord")) -> DataFrame:
+    from scriptloom.operators import sequential
+
+    return sequential.stream(df, "file_id", columns, list(order), step, schema)
+
+
+_TIMED = "ord long, start_ms long, end_ms long"
+
+
+@query()
+def adaptive_gap_groups(spark, d):
+    from scriptloom.operators import sequential as S
+
+    return _seq(V.event_segs(spark, d), ["ord", "start_ms", "end_ms"], S.adaptive_groups(36000000), "ord long, group_id long")
+
+
+@query(
+    f"""WITH RECURSIVE {V.CONV_CUES}, n AS (SELECT file_id, ord, words, regexp_matches(text, '[.!?]\\s*$') AS e, row_number() OVER (PARTITION BY file_id ORDER BY ord) AS r FROM conv_cues),
+g AS (SELECT file_id, ord, r, CAST(1 AS BIGINT) AS group_id, CASE WHEN e THEN 0 ELSE greatest(words, 1) END AS load, e FROM n WHERE r = 1
+  UNION ALL SELECT n.file_id, n.ord, n.r, g.group_id + CASE WHEN g.e THEN 1 WHEN g.load > 0 AND g.load + n.words > 36 THEN 1 ELSE 0 END,
+    CASE WHEN n.e THEN 0 WHEN g.e OR g.load + n.words > 36 THEN greatest(n.words, 1) ELSE g.load + greatest(n.words, 1) END, n.e FROM g JOIN n ON n.file_id = g.file_id AND n.r = g.r + 1)
+SELECT file_id, ord, group_id FROM g"""
+)
+def semantic_groups_greedy(spark, d):
+    from scriptloom.operators import sequential as S
+
+    return _seq(V.conv_cues(spark, d), ["ord", "text"], S.packed_groups(36), "ord long, group_id long", ("ord",))
+
+
+@query()
+def duration_chunks(spark, d):
+    from scriptloom.operators import sequential as S
+
+    return _seq(V.conv_cues(spark, d), ["ord", "start_ms", "end_ms"], S.duration_chunks(30000), "ord long, chunk long")
+
+
+@query()
+def display_padding(spark, d):
+    from scriptloom.operators import sequential as S
+
+    return _seq(V.conv_cues(spark, d), ["ord", "start_ms", "end_ms"], S.display_padding, _TIMED)
+
+
+@query()
+def shift_short(spark, d):
+    from scriptloom.operators import sequential as S
+
+    return _seq(V.conv_cues(spark, d), ["ord", "start_ms", "end_ms", "text", "translated_text"], S.shift_loaded_short, _TIMED)
+
+
+@query()
+def high_load_extension(spark, d):
+    from scriptloom.operators import sequential as S
+
+    return _seq(V.conv_cues(spark, d), ["ord", "start_ms", "end_ms", "text", "translated_text"], S.extend_high_load, _TIMED)
+
+
+@query()
+def clip_sequence(spark, d):
+    from scriptloom.operators import sequential as S
+
+    return _seq(V.event_segs(spark, d), ["ord", "start_ms", "end_ms"], S.clip_sequence(), _TIMED)
+
+
+@query()
+def pad_ultra_short(spark, d):
+    from scriptloom.operators import sequential as S
+
+    return _seq(V.conv_cues(spark, d), ["ord", "start_ms", "end_ms"], S.pad_ultra_short(), _TIMED)
+
+
+@query()
+def cluster_repair(spark, d):
+    from scriptloom.operators import sequential as S
+
+    return _seq(V.conv_cues(spark, d), ["ord", "start_ms", "end_ms", "text"], S.repair_clusters(), _TIMED)
+
+
+@query()
+def merge_short_neighbours(spark, d):
+    from scriptloom.operators import sequential as S
+
+    return _seq(V.conv_cues(spark, d), ["ord", "start_ms", "end_ms", "text"], S.merge_short(), f"{_TIMED}, text string")
+
+
+@query()
+def merge_backward(spark, d):
+    from scriptloom.operators import sequential as S
+
+    order = [F.desc("start_ms"), F.desc("ord")]
+    return _seq(V.conv_cues(spark, d), ["ord", "start_ms", "end_ms", "text"], S.merge_backward, f"{_TIMED}, text string", order)
+
+
+@query()
+def monotone_times(spark, d):
+    from scriptloom.operators import sequential as S
+
+    return _seq(V.event_segs(spark, d), ["ord", "start_ms", "end_ms"], S.monotone, _TIMED)
+
+
+@query()
+def rule_split(spark, d):
+    from scriptloom.operators import sequential as S
+
+    words = V.doc_words(spark, d).withColumnRenamed("word_id", "ord")
+    return _seq(words, ["ord", "start_ms", "end_ms", "surface"], S.rule_split(), f"{_TIMED}, text string")
+
+
+@query()
+def dp_segmentation(spark, d):
+    from scriptloom.operators import sequential as S
+
+    c = V.conv_cues(spark, d).select("file_id", "ord", "start_ms", "end_ms", F.posexplode(F.split("text", " ")).alias("k", "surface"))
+    n = Window.partitionBy("file_id", "ord")
+    words = c.withColumn("n", F.count(F.lit(1)).over(n)).select(
+        "file_id",
+        (F.col("ord") * 1000 + F.col("k")).alias("word_id"),
+        F.expr("start_ms + (end_ms - start_ms) * k div n").alias("start_ms"),
+        F.expr("start_ms + (end_ms - start_ms) * (k + 1) div n").alias("end_ms"),
+        "surface",
+    )
+    schema = "word_start long, word_end long, start_ms long, end_ms long, text string"
+    return _seq(words, ["word_id", "start_ms", "end_ms", "surface"], S.segment_by_cost(), schema, ("word_id",))
+
+
+@query()
+def greedy_nonoverlap(spark, d):
+    from scriptloom.operators import sequential as S
+
+    e = V.event_segs(spark, d).where("end_ms > start_ms").withColumn("score", (F.col("end_ms") - F.col("start_ms")) % 1000003)
+    return _seq(e, ["ord", "start_ms", "end_ms"], S.non_overlapping, "ord long, selected boolean", [F.desc("score"), F.asc("ord")])
+
+
+@query()
+def timed_words(spark, d):
+    from scriptloom.operators.segment import timed_words as split
+
+    return split(V.conv_cues(spark, d))
+
+
+@query()
+def clause_split(spark, d):
+    from scriptloom.operators.segment import clauses
+
+    return longs(clauses(V.doc_lines(spark, d)), "k")
+
+
+@query()
+def token_span_match(spark, d):
+    from scriptloom.operators.matching import map_rows
+
+    c = V.conv_cues(spark, d)
+    words = c.select("file_id", "ord", "end_ms", F.posexplode(T.word_tokens(F.col("text"))).alias("k", "token")).where("(ord + k) % 17 <> 0")
+    words = words.select("file_id", (F.col("ord") * 1000 + F.col("k")).alias("word_id"), "token", "end_ms")
+    return map_rows(c.select("file_id", "ord", "end_ms", "text"), words)
+
+
+@query()
+def adjacent_duplicates(spark, d):
+    from scriptloom.operators.similarity import adjacent_duplicates as find
+
+    return find(V.conv_cues(spark, d)).select("file_id", "ord", "similarity")
+
+
+@query()
+def variant_buckets(spark, d):
+    from scriptloom.operators.similarity import variant_buckets as find
+
+    words = V.conv_cues(spark, d).select("file_id", "ord", F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][A-Za-z]{4,}\b"), F.lit(0))).alias("surface"))
+    return find(words).select("file_id", "left", "right", "ratio")
+
+
+@query()
+def fuzzy_glossary(spark, d):
+    from scriptloom.operators.similarity import glossary_candidates
+
+    phrases = V.table(spark, d, "documents").select(F.explode(F.array_distinct(T.word_tokens(F.col("text")))).alias("phrase")).distinct().withColumn("size", F.lit(1))
+    terms = V.glossary(spark, d).select(F.lower("name").alias("term"), F.lit(1).alias("tokens")).distinct()
+    return glossary_candidates(phrases, terms)
+
+
+@query()
+def lcs_bag_coverage(spark, d):
+    from scriptloom.operators.similarity import omission
+
+    rows = omission(V.conv_cues(spark, d), "text", "translated_text")
+    return rows.select("file_id", "ord", F.round("bag", 6).alias("bag"), F.col("lcs").cast("long").alias("lcs"), "coverage", "omits")
+
+
+@query(
+    """WITH r AS (SELECT doc_id, md5(text || '{}') AS h FROM documents), c AS (SELECT h, min(doc_id) AS id, arg_min(lang, doc_id) AS value FROM (SELECT *, md5(text || '{}') AS h FROM documents WHERE doc_id % 3 = 0) GROUP BY h)
+SELECT r.doc_id, c.value, c.value IS NOT NULL AS hit FROM r LEFT JOIN c USING (h)"""
+)
+def cache_lookup(spark, d):
+    from scriptloom.operators import cache
+
+    docs = V.table(spark, d, "documents").withColumn("h", cache.cache_key(F.col("text")))
+    known = docs.where("doc_id % 3 = 0").select("h", F.col("lang").alias("value"), F.col("doc_id").alias("id"))
+    return cache.lookup(docs.select("doc_id", "h"), known, ["h"], "value").select("doc_id", "value", "hit")
+
+
+@query(
+    """WITH a AS (SELECT o_custkey AS k, o_orderkey AS v, o_orderdate AS t, 0 AS n FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, o_orderdate, 1 FROM orders WHERE o_orderkey % 2 = 1)
+SELECT k, t AS updated_at FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t DESC, n DESC) AS r FROM a) WHERE r = 1"""
+)
+def cache_upsert(spark, d):
+    from scriptloom.operators import cache
+
+    o = V.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_orderdate").alias("updated_at"))
+    return cache.upsert(o.where("v % 2 = 0"), o.where("v % 2 = 1"), ["k"]).select("k", "updated_at")
+
+
+@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY")
+def cache_ttl(spark, d):
+    from scriptloom.operators import cache
+
+    e = V.table(spark, d, "events").select("event_id", F.col("ts").alias("created_at"))
+    last = e.agg(F.max("created_at").alias("now"))
+    return cache.expire(e.join(F.broadcast(last)), F.col("now")).select("event_id")
+
+
+@query(f"WITH {V.CONV_CUES} SELECT file_id, ord, start_ms, end_ms, text, translated_text FROM conv_cues")
+def json_roundtrip(spark, d):
+    from scriptloom.sources import captions, sinks
+
+    return _restored(V.conv_cues(spark, d), captions.scan_json(sinks.to_json(V.conv_cues(spark, d))))
+
+
+def _restored(cues: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Scanned rows under the ordinals of the cues they came from."""
+    w = Window.partitionBy("file_id")
+    ords = cues.select("file_id", "ord", F.row_number().over(w.orderBy("ord")).alias("n"))
+    found = scanned.withColumn("n", F.row_number().over(w.orderBy("start_ms", "ord"))).drop("ord")
+    return found.join(ords, ["file_id", "n"]).select("file_id", "ord", "start_ms", "end_ms", "text", "translated_text")
+
+
+@query(f"WITH {V.CONV_CUES} SELECT file_id, ord, start_ms, end_ms, text, '' AS translated_text FROM conv_cues")
+def srt_roundtrip(spark, d):
+    from scriptloom.sources import captions, sinks
+
+    cues = V.conv_cues(spark, d)
+    return _restored(cues, captions.scan_srt(sinks.to_srt(cues, "original_only")))
+
+
+@query(f"WITH {V.CONV_CUES} SELECT file_id, ord, start_ms // 10 * 10 AS start_ms, end_ms // 10 * 10 AS end_ms, text, trim(translated_text) AS translated_text FROM conv_cues")
+def ass_roundtrip(spark, d):
+    from scriptloom.sources import captions, sinks
+
+    cues = V.conv_cues(spark, d)
+    return _restored(cues, captions.scan_ass(sinks.to_ass(cues)))
+
+
+@query()
+def json_repair(spark, d):
+    from scriptloom.functions.json_repair import repaired
+    from scriptloom.session import ship
+
+    ship(spark)
+    e = V.table(spark, d, "events").select("event_id", "props")
+    damaged = F.when(F.col("event_id") % 3 == 0, F.regexp_replace("props", r"\}$", "")).when(F.col("event_id") % 3 == 1, F.replace("props", F.lit('"'), F.lit("'"))).otherwise(F.col("props"))
+    return e.select("event_id", F.get_json_object(repaired(damaged), "$.k").alias("k"), F.get_json_object("props", "$.k").alias("expected"))
+
+
+@query()
+def window_counts(spark, d):
+    from scriptloom.streaming.sessions import window_counts as count
+
+    return count(V.table(spark, d, "events"), "1 day").withColumn("start", F.col("start").cast("string"))
+
+
+@query()
+def full_pipeline(spark, d):
+    """Cues: missing translations filled, short rows merged, times padded, audited, one row per file."""
+    from scriptloom import providers
+    from scriptloom.operators import sequential as S
+
+    cues = V.conv_cues(spark, d).select("file_id", "ord", "start_ms", "end_ms", "text", "translated_text")
+    merged = _seq(cues, ["ord", "start_ms", "end_ms", "text"], S.merge_short(), f"{_TIMED}, text string")
+    padded = _seq(merged.select("file_id", "ord", "start_ms", "end_ms"), ["ord", "start_ms", "end_ms"], S.display_padding, _TIMED)
+    texts = merged.select("file_id", "ord", "text").join(cues.select("file_id", "ord", "translated_text"), ["file_id", "ord"])
+    filled = providers.fill_missing(texts, providers.create("echo"))
+    return audit.rollup(padded.join(filled, ["file_id", "ord"]))
