@@ -94,7 +94,7 @@ class Reader:
             if c == close:
                 # a quote inside the text is followed by more text, not by JSON's marks
                 rest = self.text[self.at : self.at + 64].lstrip()
-                if not rest or rest[0] in ",:]}":
+                if not rest or rest[0] in ",:]}" or re.match(r"\"[^\"]*\"\s*:", rest):
                     break
                 if close == '"' and '"' in self.text[self.at :]:
                     out.append(c)

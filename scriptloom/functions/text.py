@@ -98,7 +98,7 @@ def strip_stops(text: Column) -> Column:
 
 def split_bilingual(lines: Column) -> Column:
     """``english, chinese`` of a cue's lines: the first line with Chinese starts the Chinese part."""
-    kept = F.filter(F.transform(lines, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
     chinese = lambda x: x.rlike(L.HAN) | (x.rlike(r"[　-〿＀-￯]") & ~x.rlike("[A-Za-z]"))
     at = F.array_position(F.transform(kept, chinese), True)
     n = F.size(kept)

@@ -6,10 +6,12 @@ Every scan takes ``file_id, content`` (see :func:`read_files`) and returns
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptloom.functions import text as T
+from scriptloom.session import ship
 
 CUE = ["file_id", "ord", "start_ms", "end_ms", "text", "translated_text"]
 _TIME = r"(\d{2}):(\d{2}):(\d{1,2})[.,](\d{3})"
@@ -31,10 +33,6 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
     Valid UTF-8 is decoded in the JVM; only other files pass through Python.
     """
-    import pandas as pd
-
-    from scriptloom.session import ship
-
     @F.pandas_udf("string")
     def decode_other(data: pd.Series) -> pd.Series:
         return data.map(lambda b: None if b is None else bytes(b).decode("gbk", "replace"))
@@ -85,7 +83,7 @@ def scan_srt(files: DataFrame) -> DataFrame:
 def scan_audit_srt(files: DataFrame) -> DataFrame:
     """SRT as the audit reads it: time line anywhere, body split by language."""
     p = r"(\d{2}):(\d{2}):(\d{2}),(\d{3})\s+-->\s+(\d{2}):(\d{2}):(\d{2}),(\d{3})"
-    kept = F.filter(F.transform("lines", F.trim), lambda x: x != "")
+    kept = F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: x != "")
     rows = _blocks(files).withColumn("lines", kept)
     at = F.array_position(F.transform("lines", lambda x: x.contains("-->")), True).cast("int")
     rows = rows.withColumn("at", at).where((F.size("lines") >= 3) & (F.col("at") > 0)).withColumn("time", F.get("lines", F.col("at") - 1))
@@ -283,9 +281,9 @@ def ass_header(files: DataFrame) -> DataFrame:
     """``play_res_x`` and a map of style to font size of ASS headers."""
     lines = F.split("content", "\n")
     style_lines = F.filter(lines, lambda x: x.startswith("Style:"))
-    fields = F.transform(F.split(F.regexp_replace(F.get(F.filter(lines, lambda x: x.rlike("^Format:.*Fontsize")), 0), "^Format:", ""), ","), F.trim)
+    fields = F.transform(F.split(F.regexp_replace(F.get(F.filter(lines, lambda x: x.rlike("^Format:.*Fontsize")), 0), "^Format:", ""), ","), lambda x: F.trim(x))
     at = F.array_position(fields, "Fontsize").cast("int") - 1
-    values = lambda x: F.transform(F.split(F.regexp_replace(x, "^Style:", ""), ","), F.trim)
+    values = lambda x: F.transform(F.split(F.regexp_replace(x, "^Style:", ""), ","), lambda y: F.trim(y))
     sizes = F.map_from_entries(F.transform(style_lines, lambda x: F.struct(F.get(values(x), 0), F.get(values(x), at).try_cast("int"))))
     return files.select("file_id", F.regexp_extract("content", r"PlayResX:\s*(\d+)", 1).try_cast("int").alias("play_res_x"), sizes.alias("font_sizes"))
 
