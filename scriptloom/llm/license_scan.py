@@ -8,7 +8,7 @@ the paragraph also covers enough of one of the family's templates.
 Training happens on the driver from sentences built out of the templates below and from plain
 word salads: a fixed, small set. Scoring is DataFrame functions only. A paragraph without any
 n-gram of the model has the intercepts as its scores, which is "unknown", so it is decided
-without further work; no paragraph is left out.
+without further work; no paragraph is left out. N-grams of everyday words alone are no features.
 """
 
 from __future__ import annotations
@@ -80,6 +80,7 @@ FILLER = (
     "version license licensed public general copy free software source code terms rights program work under released "
     "driver driving medical business marriage party city year time people data model house water school music history"
 ).split()
+_EVERYDAY = frozenset(FILLER)
 EXAMPLES_PER_TEMPLATE, UNKNOWN_EXAMPLES, EPOCHS, RATE, SHRINK = 12, 900, 12, 0.5, 4e-4
 MIN_WEIGHT, TEMPERATURE, MIN_CONFIDENCE, MIN_COVER = 0.05, 1.0, 0.6, 0.55
 
@@ -88,8 +89,13 @@ def tokens_of(text: str) -> list[str]:
     return [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split(" ") if w]
 
 
-def _grams(words: list[str]) -> dict[str, float]:
-    return dict.fromkeys([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))], 1.0)
+def _all_grams(words: list[str]) -> list[str]:
+    return list(dict.fromkeys([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]))
+
+
+def _grams(words: list[str]) -> list[str]:
+    """Features of a paragraph: its words and pairs, but for those of everyday words alone."""
+    return [g for g in _all_grams(words) if not _EVERYDAY.issuperset(g.split())]
 
 
 def examples(seed: int = 7) -> list[tuple[str, str]]:
@@ -116,7 +122,7 @@ def examples(seed: int = 7) -> list[tuple[str, str]]:
 @lru_cache(maxsize=1)
 def model() -> tuple[dict[str, list[float]], list[float]]:
     """Weights per n-gram, one number per family, and intercepts; stochastic gradient, L1 shrinkage."""
-    rows = [(FAMILIES.index(f), list(_grams(tokens_of(t)))) for f, t in examples()]
+    rows = [(FAMILIES.index(f), _grams(tokens_of(t))) for f, t in examples()]
     weights: dict[str, list[float]] = {}
     bias = [0.0] * len(FAMILIES)
     for epoch in range(EPOCHS):
@@ -153,8 +159,9 @@ def paragraph_words(line: Column) -> Column:
 
 
 def trigger_words() -> list[str]:
-    """First words of the model's n-grams: a paragraph without them has no n-gram of the model."""
-    return sorted({g.split()[0] for g in model()[0]})
+    """The words of the model's n-grams that aren't everyday words: every n-gram of the model holds
+    one, so a paragraph without them has none and its scores are the intercepts."""
+    return sorted({w for g in model()[0] for w in g.split()} - _EVERYDAY)
 
 
 def _exact_scores(grams: Column) -> Column:
@@ -190,7 +197,7 @@ def scan(docs: DataFrame) -> DataFrame:
     for family, notices in TEMPLATES.items():
         per = []
         for notice in notices:
-            grams_of = sorted(_grams(tokens_of(notice)))
+            grams_of = sorted(_all_grams(tokens_of(notice)))
             per.append(F.size(F.array_intersect("grams", F.lit(grams_of))) / len(grams_of))
         cover = F.when(F.col("family") == family, F.greatest(*per)).otherwise(cover)
     return (
