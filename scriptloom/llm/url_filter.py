@@ -19,12 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import lower_ascii
+from scriptloom.llm.common import broadcast_if_small, lower_ascii
 
 #: Label separator within keys and the end of an interval of keys: below any label's characters.
 SEPARATOR, BEYOND = "\u0001", "\u0002"
-#: URLs of one top-level label that are swept in one task.
-PART_ROWS = 200_000
+#: URLs of one top-level label that are swept in one task: so many, or so many for each boundary
+#: of the label, so that repeating the boundaries in every part stays a small share of the work.
+PART_ROWS, ROWS_PER_BOUNDARY = 2_000, 20
 RULES = [
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
@@ -33,6 +34,8 @@ RULES = [
     ("block", "org/es/"),
 ]
 DEFAULT_VERDICT = "allow"
+#: Top-level labels of rules that may be broadcast.
+BROADCAST_TOPS = 20_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -108,11 +111,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) ->
     keyed = urls.withColumn("key", host_key(F.col("host"))).withColumn("top", _top(F.col("key")))
     marks = boundaries(rules).withColumn("top", _top(F.regexp_replace("key", BEYOND, SEPARATOR)))
     # a top-level label's parts follow from its number of URLs; labels without rules are not swept
-    tops = marks.select("top").distinct()
+    tops = marks.groupBy("top").agg(F.greatest(F.lit(PART_ROWS), ROWS_PER_BOUNDARY * F.count(F.lit(1))).alias("most"))
     sizes = (
-        keyed.groupBy("top").count().join(tops, "top").select("top", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
+        keyed.groupBy("top").count().join(tops, "top").select("top", F.ceil(F.col("count") / F.col("most")).cast("int").alias("parts"))
     )
-    spread = keyed.join(F.broadcast(sizes), "top", "left").withColumn(
+    spread = keyed.join(broadcast_if_small(sizes, BROADCAST_TOPS)[0], "top", "left").withColumn(
         "part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("page_id", "path", "host"), F.col("parts")).cast("int")).otherwise(0)
     )
     ruled = marks.join(sizes, "top").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
