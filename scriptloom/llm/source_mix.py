@@ -25,7 +25,9 @@ SHARE, EPOCHS = 1.5, 2
 BLOCK_WORDS = 1024
 GOLDEN = 0.6180339887498949
 #: Documents, and schedule slots, that are summed or ranked in one task.
-PART_ROWS = 20_000
+PART_ROWS = 2_000
+#: Ranges of sources that may be broadcast.
+BROADCAST_RANGES = 500_000
 
 
 def n_words(text: Column) -> Column:
@@ -77,13 +79,22 @@ def schedule(spark, goals: list[tuple[int, int]], block: int) -> DataFrame:
     n_slots = -(-total // block)
     point = (F.col("id") + 1) * F.lit(GOLDEN)
     place = (point - F.floor(point)) * total
-    source, below = F.lit(None).cast("int"), total
-    for s, n in reversed(wanted):
-        below -= n
-        source = F.when(place >= below, F.lit(s)).otherwise(source) if source is None else F.when(place < below + n, F.lit(s)).otherwise(source)
+    # the cumulative targets as ranges, each under every cell of a grid that it touches
+    n_cells, low, ranges = 4 * max(1, len(wanted)), 0, []
+    for s, n in wanted:
+        for cell in range(low * n_cells // max(1, total), (low + n - 1) * n_cells // max(1, total) + 1):
+            ranges.append((cell, s, low, low + n))
+        low += n
+    # at most five rows a source
+    grid = spark.createDataFrame(ranges or [(0, 0, 0, 0)], "cell int, sid int, low long, high long")
     parts = max(1, -(-n_slots // PART_ROWS))
-    slots = spark.range(0, n_slots, 1, min(parts, 4096)).select(
-        F.col("id").alias("slot"), source.alias("sid"), F.floor(F.col("id") / PART_ROWS).alias("part")
+    slots = (
+        spark.range(0, n_slots, 1, min(parts, 4096))
+        .withColumn("place", F.floor(place))
+        .withColumn("cell", F.floor(F.col("place") * n_cells / F.lit(max(1, total))).cast("int"))
+        .join(F.broadcast(grid) if len(ranges) <= BROADCAST_RANGES else grid, "cell")
+        .where((F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
+        .select(F.col("id").alias("slot"), "sid", F.floor(F.col("id") / PART_ROWS).alias("part"))
     )
     counts = slots.groupBy("sid", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -193,14 +204,14 @@ def repeat_to_targets(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     rule = F.broadcast(
         least.alias("l")
         .join(last.alias("m"), F.col("l.source").eqNullSafe(F.col("m.source")) & (F.col("l.most") == F.col("m.times")))
-        .select(F.col("l.source").alias("mix_source"), F.col("least").alias("mix_least"), F.col("most").alias("mix_most"), F.col("last").alias("mix_last"))
+        .select(F.col("l.source").alias("__mix_source"), F.col("least").alias("__mix_least"), F.col("most").alias("__mix_most"), F.col("last").alias("__mix_last"))
     )
-    again = F.when(_place(_order()) <= F.col("mix_last"), F.col("mix_most")).otherwise(F.col("mix_least"))
+    again = F.when(_place(_order()) <= F.col("__mix_last"), F.col("__mix_most")).otherwise(F.col("__mix_least"))
     return (
-        docs.join(rule, F.col("source").eqNullSafe(F.col("mix_source")))
+        docs.join(rule, F.col("source").eqNullSafe(F.col("__mix_source")))
         .where(n_words(F.col("text")) > 0)
-        .withColumn("mix_times", again)
-        .where("mix_times > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times"))))
+        .withColumn("__mix_times", again)
+        .where("__mix_times > 0")
+        .withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_times"))))
         .select(*docs.columns)
     )
