@@ -31,7 +31,7 @@ END_ID = 1
 #: Most combinations that NNLS may weigh, and its sweeps over them.
 MAX_COMBINATIONS, SWEEPS = 12_000, 60
 #: Pieces of one length that are ranked in one task.
-RANK_PART = 20_000
+RANK_PART = 2_000
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
