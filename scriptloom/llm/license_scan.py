@@ -13,6 +13,7 @@ without further work; no paragraph is left out. N-grams of everyday words alone
 
 from __future__ import annotations
 
+import json
 import random
 from functools import lru_cache
 from math import exp, log
@@ -20,7 +21,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import let, lower_ascii
+from scriptloom.llm.common import double_array, let, lower_ascii
 
 #: Short notices of public licence families.
 TEMPLATES = {
@@ -167,8 +168,8 @@ def trigger_words() -> list[str]:
 def _exact_scores(grams: Column) -> Column:
     """Array of one score per family for the n-grams of a paragraph."""
     weights, bias = model()
-    table = F.create_map(*[x for g, w in weights.items() for x in (F.lit(g), F.array(*map(F.lit, w)))])
-    start = F.array(*[F.lit(float(b)) for b in bias])
+    table = F.from_json(F.lit(json.dumps(weights)), "map<string,array<double>>")  # folded to a literal
+    start = double_array(bias)
     return F.aggregate(
         grams, start, lambda a, g: let(F.element_at(table, g), lambda w: F.when(w.isNull(), a).otherwise(F.zip_with(a, w, lambda x, y: x + y)))
     )
