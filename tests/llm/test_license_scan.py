@@ -1,0 +1,64 @@
+import math
+
+from scriptloom.llm import license_scan as S
+
+
+def slow(line):
+    """Family and confidence of a paragraph by plain logistic regression over all n-grams."""
+    weights, bias = S.model()
+    grams = [g for g in S._grams(S.tokens_of(line)) if g in weights]
+    scores = [b + sum(weights[g][k] for g in grams) for k, b in enumerate(bias)]
+    top = max(scores)
+    return S.FAMILIES[scores.index(top)], 1 / sum(math.exp((s - top) / S.TEMPERATURE) for s in scores), grams
+
+
+def accepted(line):
+    family, confidence, _ = slow(line)
+    if family == "unknown" or confidence < S.MIN_CONFIDENCE:
+        return None
+    have = set(S._all_grams(S.tokens_of(line)))
+    cover = max(len(have & set(S._all_grams(S.tokens_of(t)))) / len(S._all_grams(S.tokens_of(t))) for t in S.TEMPLATES[family])
+    return family if cover >= S.MIN_COVER else None
+
+
+def test_held_out_accuracy():
+    rows = S.examples(seed=99)
+    assert sum(slow(t)[0] == f for f, t in rows) / len(rows) > 0.97
+
+
+def test_scan_equals_plain_model(docs, texts):
+    got = {(r.doc_id, r.line): r.family for r in S.scan(docs).collect()}
+    want = {}
+    for i, t in texts.items():
+        for k, line in enumerate((t or "").split("\n")):
+            if f := accepted(line):
+                want[i, k] = f
+    assert got == want and got
+
+
+def test_paragraphs_without_trigger_have_no_feature():
+    triggers = set(S.trigger_words())
+    assert all(set(g.split()) & triggers for g in S.model()[0])
+
+
+def test_cases(spark):
+    lines = {
+        "Licensed under the Apache License, Version 2.0.": "apache",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl",
+        "Released under the MIT License.": "mit",
+        "Licensed under CC BY-NC 4.0.": "cc",
+        "All rights reserved.": "proprietary",
+        "We drive the license plate to the house.": None,
+        "MIT is a university in the city.": None,
+        "Apache is a people of the south.": None,
+        "": None,
+    }
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.family for r in S.scan(docs).collect()}
+    assert got == {k: f for k, f in enumerate(lines.values()) if f}
+
+
+def test_odd_rows(odd_docs, no_docs):
+    assert S.scan(odd_docs).count() == 0
+    assert S.scan(no_docs).count() == 0
+    assert S.families(no_docs).count() == 0
