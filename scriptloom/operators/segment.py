@@ -42,9 +42,9 @@ def proportional_parts(rows: DataFrame, separator: str) -> DataFrame:
 
 
 def clauses(rows: DataFrame, column: str = "line") -> DataFrame:
-    """Rows as clauses: cut behind marks and before connectives."""
-    cut = F.split(F.col(column), r"(?<=[,;:.!?])\s+|\s+(?=(?:and|but|or|because|which|that|when|while|if)\s)")
-    return rows.select(*[c for c in rows.columns if c != column], F.posexplode(F.filter(cut, lambda x: F.trim(x) != "")).alias("k", "clause"))
+    """Rows as clauses: cut behind marks and before connectives."""
+    cut = F.transform(F.split(F.col(column), L.CLAUSE_CUT), lambda x: F.trim(x))
+    return rows.select(*[c for c in rows.columns if c != column], F.posexplode(F.filter(cut, lambda x: x != "")).alias("k", "clause"))
 
 
 def n_partitions(words: int, threshold: int = 500) -> int:
