@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,7 +42,7 @@ PATTERNS = [
     ("bearer", ("bearer ",), re.compile(r"(?i)bearer[ ]{1,4}([A-Za-z0-9._~+/=-]{16,2000})")),
 ]
 #: Long runs that mix letters and digits, whatever stands before them.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{24,4096}(?![A-Za-z0-9+/_=-])")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{24,4096}={0,2}(?![A-Za-z0-9+/_=-])")
 #: Words that mark placeholders, and words of ordinary identifiers.
 PLACEHOLDERS = ("example", "changeme", "placeholder", "dummy", "sample", "your", "test", "xxxx", "todo", "none", "null", "default", "insert", "redacted", "fake")
 DICTIONARY = (
@@ -219,26 +220,23 @@ def forest() -> list[tuple]:
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """``start, end, pattern`` of a text, in order, without overlaps (earlier patterns first)."""
+    """``start, end, pattern`` of a text, in order, without overlaps.
+
+    Of overlapping ones that of the earlier pattern stays, of one pattern's the first.
+    """
     low = text.lower()
     taken: list[tuple[int, int, str]] = []
-
-    def add(name: str, pattern: re.Pattern) -> None:
+    for name, needs, pattern in [*PATTERNS, ("run", (), RUN)]:
+        if needs and not any(w in low for w in needs):
+            continue
+        fresh = []
         for m in pattern.finditer(text):
             a, b = m.span(1) if pattern.groups else m.span()
-            spans.append((a, b, name))
-
-    spans: list[tuple[int, int, str]] = []
-    for name, needs, pattern in PATTERNS:
-        if any(w in low for w in needs):
-            add(name, pattern)
-    add("run", RUN)
-    until = -1
-    rank = {name: k for k, (name, _, _) in enumerate(PATTERNS)}
-    for a, b, name in sorted(spans, key=lambda s: (s[0], rank.get(s[2], 99), -s[1])):
-        if a >= until:
-            taken.append((a, b, name))
-            until = b
+            k = bisect_left(taken, (a,))
+            if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= b):
+                fresh.append((a, b, name))
+        if fresh:
+            taken = sorted([*taken, *fresh])
     return taken
 
 
