@@ -73,7 +73,7 @@ def boundaries(rules: DataFrame) -> DataFrame:
         .where("rule_host <> ''")
     )
     own = parsed.groupBy("rule_host").agg(
-        F.collect_list(F.struct(F.length("rule").alias("size"), "rule", "verdict", "rule_host", "rule_path")).alias("own")
+        F.collect_list(F.struct(F.length("rule").alias("size"), F.length("rule_host").alias("host_size"), "rule", "verdict", "rule_host", "rule_path")).alias("own")
     )
     labels = F.split("host", r"\.")
     above = F.transform(
@@ -103,7 +103,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) ->
     """``page_id, host, path, rule, verdict`` of every row of ``page_id, url``.
 
     A null URL, or one without ``://``, has an empty host and path, fits no rule and gets the
-    default. Of equal rules the first in order of verdict counts. Repeated rows come back as
+    default. Of rules of one length the one with the longer host wins; of equal rules any one counts. Repeated rows come back as
     often, null ids stay, an empty table gives an empty result, extra columns are ignored.
     """
     host, path = host_and_path(F.col("url"))

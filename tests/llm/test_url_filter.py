@@ -16,7 +16,7 @@ def slow(url, rules=S.RULES, default="allow"):
     best = None
     for verdict, rule in rules:
         h, s, p = rule.partition("/")
-        if (host == h or host.endswith("." + h)) and path.startswith(s + p) and (best is None or len(rule) > len(best[1])):
+        if (host == h or host.endswith("." + h)) and path.startswith(s + p) and (best is None or (len(rule), len(h)) > (len(best[1]), len(best[1].partition("/")[0]))):
             best = (verdict, rule)
     return host, path, best and best[1], best[0] if best else default
 
