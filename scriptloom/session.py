@@ -26,8 +26,19 @@ def build(app: str = "scriptloom", master: str | None = None, shuffle_partitions
     return builder.getOrCreate()
 
 
+#: Rows of an Arrow batch. Texts are long: Spark's default of 10,000 rows makes batches of tens of
+#: megabytes, of which the JVM and the worker each hold some.
+ARROW_ROWS = 1_000
+_ARROW_KEY, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give Python workers this package, once per Spark context."""
+    """Give Python workers this package, once per Spark context.
+
+    Also sets the session's Arrow batches to ``ARROW_ROWS``, unless they have been set.
+    """
+    if spark.conf.get(_ARROW_KEY) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_KEY, str(ARROW_ROWS))
     context = spark.sparkContext
     if getattr(context, "_scriptloom_shipped", False):
         return
