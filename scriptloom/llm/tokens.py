@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of the memo of one Python worker (about 200 bytes each).
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 500_000
 #: Bytes of text that are split at once.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 4_000_000
 
 
 def blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Array]]:
