@@ -10,7 +10,9 @@ they put there.
   being uniform over the pages that show it. A text that every page repeats counts 0, a text of
   one page 1.
 * A node whose combined importance is below ``LEAST_IMPORTANCE`` on at least ``MIN_PAGES`` pages
-  is noise with all below it.
+  is noise with all below it. Article and main elements are never removed as a whole.
+* Pages of a host with the same main text (by tags and names alone) count as one, so mirrors,
+  print views and repeated rows say nothing about importance.
 
 Where a host has too few pages to tell, or boilerplate changes from page to page, tags and
 class names with a fixed meaning (navigation, adverts, forms, ...) decide. An article or main
@@ -81,6 +83,7 @@ _TAG = re.compile(
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
+_BOUNDED = re.compile(r"<(?:article|main)\b", re.I)
 
 
 class _Node:
@@ -195,7 +198,7 @@ def parse(html: str, nodes: bool = False, noise_keys: frozenset = frozenset()):
             continue  # plain inline elements neither break text nor make nodes
         key = key_of(parent.key, name)
         article = 0 if parent.main == 0 and tag not in ("article", "main") else max(parent.main, 2 if tag == "article" else 1 if tag == "main" else 0)
-        noise = parent.noise or tag in NOISE_TAGS or (marked and tag not in ("html", "body", "article", "main")) or key in noise_keys
+        noise = parent.noise or tag in NOISE_TAGS or (marked and tag not in ("html", "body", "article", "main")) or key in noise_keys and tag not in ("article", "main")
         noise = noise or tag == "header" and not parent.main or tag == "article" and marked and "comment" in name
         if inline and noise and not parent.noise:
             head = " ".join("".join(pieces).split())
@@ -217,9 +220,31 @@ def main_text(html: str | None, noise_keys: frozenset = frozenset()) -> str:
     """Main text of one page; empty if it has none."""
     blocks = [b for b in parse(html or "", noise_keys=noise_keys) if not b[2]]
     depth = max((b[3] for b in blocks), default=0)
+    if noise_keys and depth < 2 and _BOUNDED.search(html or ""):
+        plain = [b for b in parse(html or "") if not b[2]]
+        whole = max((b[3] for b in plain), default=0)
+        if whole > depth:  # the tree took all of the article or main element
+            blocks, depth = plain, whole
     return " ".join(b[0] for b in blocks if b[3] >= depth)
 
 
+def _page_key(html: str | None) -> int:
+    """Hash of a page's main text: equal for repeated rows, mirrors and other views of one content."""
+    return xxhash.xxh64_intdigest(main_text(html).encode("utf-8", "surrogatepass")) >> 1
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """``host, html``: one page of each host and main text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([_page_key(html.as_py()) for html in batch.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=["host", "html", "page"])
+
+    keyed = map_arrow(pages.select("host", "html"), run, "host string, html string, page long")
+    return keyed.groupBy("host", "page").agg(F.min("html").alias("html")).select("host", "html")
+
+
 def node_values(pages: DataFrame) -> DataFrame:
     """``host, node, kind, value``: styles (0) and contents (1), each once per page and node."""
 
@@ -255,7 +280,7 @@ def node_values(pages: DataFrame) -> DataFrame:
 
 def noise_nodes(pages: DataFrame) -> DataFrame:
     """``host, nodes``: keys of each host's nodes of low importance."""
-    values = node_values(pages).groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    values = node_values(distinct_pages(pages)).groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     sums = values.groupBy("host", "node").agg(
         F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("m"),
         F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("styled"),
