@@ -119,6 +119,31 @@ def variant_buckets(words: DataFrame) -> DataFrame:
     return scored.where((F.col("ratio") >= 0.62) & (F.col("ratio") < 1.0)).withColumn("ratio", F.round("ratio", 3))
 
 
+#: Words that a window longer than the term neither begins nor ends with.
+BOUNDARY_FILLERS = "right yeah yes yep okay ok well so and or but on in at to from with by for of the a an based".split()
+MAX_WINDOW = 8
+
+
+def phrase_windows(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Distinct windows ``phrase, size`` of consecutive words that stay within a sentence.
+
+    ``texts``: ``text``; ``terms``: ``term, tokens``. Sizes reach the longest term's number of tokens
+    plus one, ``MAX_WINDOW`` at most. A word with ``.``, ``!`` or ``?`` at its end closes its sentence.
+    """
+    longest = terms.agg(F.max("tokens").alias("n")).first().n or 0
+    parts = F.regexp_extract_all(F.lower(T.blank(F.col("text"))), F.lit(rf"(?:{L.WORD})|[.!?]+(?=\s|$)"), F.lit(0))
+    numbered = texts.select("text").withColumn("row", F.monotonically_increasing_id())  # before the explosion, which would number words
+    words = numbered.select("row", F.posexplode(parts).alias("at", "word"))
+    words = words.withColumn("word", F.when(~F.col("word").rlike("^[.!?]"), F.col("word")))
+    w = Window.partitionBy("row").orderBy("at")
+    ahead = words.withColumns({f"w{k}": F.lead("word", k).over(w) for k in range(min(MAX_WINDOW, longest + 1))})
+    # a mark or the end of the text is null, and so is every window that holds it
+    window = lambda k: F.array_join(F.array(*[F.col(f"w{j}") for j in range(k)]), " ", "")
+    whole = lambda k: F.when(F.expr(" and ".join(f"w{j} is not null" for j in range(k))), window(k))
+    found = F.array(*[F.struct(whole(k).alias("phrase"), F.lit(k).alias("size")) for k in range(1, min(MAX_WINDOW, longest + 1) + 1)])
+    return ahead.select(F.explode(found).alias("f")).select("f.*").where("phrase is not null").distinct()
+
+
 def glossary_candidates(phrases: DataFrame, terms: DataFrame, least: float = L.REVIEW_CONFIDENCE) -> DataFrame:
     """Phrases that may be misheard terms.
 
@@ -130,6 +155,8 @@ def glossary_candidates(phrases: DataFrame, terms: DataFrame, least: float = L.R
     ship(phrases.sparkSession)
     keys = lambda c: {f"{c}_key": T.compact_text(F.col(c)), f"{c}_sound": T.phonetic_key(F.col(c))}
     pairs = near_sizes(phrases.withColumns(keys("phrase")), terms.withColumns(keys("term")))
+    ends = [F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1)]
+    pairs = pairs.where((F.col("size") <= F.col("tokens")) | ~(ends[0].isin(BOUNDARY_FILLERS) | ends[1].isin(BOUNDARY_FILLERS)))
     bound = lambda a, b, low: 2 * F.least(F.length(a), F.length(b)) >= low * (F.length(a) + F.length(b))
     near = pairs.where(bound("phrase_key", "term_key", least) | bound("phrase_sound", "term_sound", least / 0.98))
 

@@ -936,11 +936,10 @@ def variant_buckets(spark, d):
 
 @query()
 def fuzzy_glossary(spark, d):
-    from scriptloom.operators.similarity import glossary_candidates
+    from scriptloom.operators.similarity import glossary_candidates, phrase_windows
 
-    phrases = V.table(spark, d, "documents").select(F.explode(F.array_distinct(T.word_tokens(F.col("text")))).alias("phrase")).distinct().withColumn("size", F.lit(1))
-    terms = V.glossary(spark, d).select(F.lower("name").alias("term"), F.lit(1).alias("tokens")).distinct()
-    return glossary_candidates(phrases, terms)
+    terms = V.glossary(spark, d).select(F.lower("name").alias("term")).distinct().withColumn("tokens", F.size(T.word_tokens(F.col("term"))))
+    return glossary_candidates(phrase_windows(V.table(spark, d, "documents"), terms), terms)
 
 
 @query()
