@@ -51,6 +51,16 @@ def ship(spark: SparkSession) -> None:
     context._scriptloom_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table of fewer splits than cores out over all cores.
+
+    A file of one row group is one task otherwise. Tables with a split for every core, so all
+    large ones, come back as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` with the package shipped first."""
     ship(df.sparkSession)
