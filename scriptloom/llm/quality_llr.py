@@ -1,27 +1,25 @@
 """Quality rules: base counts and a hashed n-gram log-likelihood ratio.
 
-Everything is DataFrame functions. Two multinomials over hashed word n-grams are estimated, per
-language: the raw corpus from every row of the table, the trusted target from the rows that
-labels call good (at most ``TRUSTED_ROWS`` of them). A document's score is the mean log ratio of
-its n-grams, and every document is held against one threshold.
-
-The n-gram orders default to single words: on labelled rows the two classes then lie further
-apart than with pairs (see the README).
+Everything is DataFrame functions. Two multinomials over hashed word n-grams (single words and
+pairs) are estimated: the raw corpus from every row of the table, the trusted target from the
+rows that labels call good (at most ``TRUSTED_ROWS`` of them). A document's score is the mean log
+ratio of its n-grams, and every document is held against one threshold.
 """
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptloom.llm.common import double_array, let, words
 
-BUCKETS = 16_384
+BUCKETS = 65_536
 #: Bound of the labelled sample that the trusted multinomial is fitted on (least hashes first).
 TRUSTED_ROWS = 20_000
-THRESHOLD = -0.15
-PRIOR = 2.0
-ORDERS = (1,)
+THRESHOLD = -0.16
+PRIOR = 5.0
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW_WORDS, REPEAT_PERCENT = 10, 5, 20
 
@@ -30,78 +28,75 @@ def _n_characters(text: Column, dropped: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, dropped, ""))).cast("long")
 
 
-def _grams(w: Column, orders: tuple[int, ...]) -> Column:
-    """Bucket numbers of all n-grams of the words ``w``, repeats included."""
-    parts = []
-    for n in orders:
-        if n == 1:
-            parts.append(F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")))
-        else:
-
-            def of(x: Column, n: int) -> Column:
-                at = F.when(F.size(x) >= n, F.sequence(F.lit(0), F.size(x) - n)).otherwise(F.array().cast("array<int>"))
-                gram = lambda i: F.pmod(F.xxhash64(*[F.get(x, i + k) for k in range(n)]), F.lit(BUCKETS))
-                return F.transform(at, lambda i: gram(i).cast("int"))
-
-            size = n
-            parts.append(let(w, lambda x: of(x, size)))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+def _bucket(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def repeat_words(w: Column, n: int = WINDOW_WORDS) -> Column:
-    """Words of ``w`` inside windows of ``n`` words that occur twice or more.
+def with_hashes(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``_words``, the words' hashes ``_one`` and those of each with the next one, ``_two``.
 
-    Windows are compared by 64-bit hash. Only rows that hold an equal pair are sorted.
+    Each step is a column of its own, so that it is computed once however often it is used.
     """
-    def covered(h: Column) -> Column:
-        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    n = F.greatest(F.size("_one") - 1, F.lit(0))
+    return (
+        docs.withColumn("_words", words(F.col(text).cast("string")))
+        .withColumn("_one", F.transform("_words", lambda x: F.xxhash64(x)))
+        .withColumn("_two", F.zip_with(F.slice("_one", F.lit(1), n), F.slice("_one", F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
+    )
 
-        def hits(p: Column) -> Column:
-            same = lambda x, k: (F.get(p, k - 1)["h"] == x["h"]) | (F.get(p, k + 1)["h"] == x["h"])
-            return F.sort_array(F.transform(F.filter(p, lambda x, k: F.coalesce(same(x, k), F.lit(False))), lambda x: x["i"]))
 
-        def union(s: Column) -> Column:
-            each = F.transform(s, lambda x, k: F.when(k == 0, n).otherwise(F.least(F.lit(n), x - F.get(s, k - 1))))
-            return F.aggregate(each, F.lit(0), lambda a, x: a + x)
+def _covered(h: Column, n: int) -> Column:
+    """Places that windows of ``n`` cover whose hash ``h`` occurs more than once."""
+    placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
-        return let(let(pairs, hits), union)
+    def hits(p: Column) -> Column:
+        same = lambda x, k: (F.get(p, k - 1)["h"] == x["h"]) | (F.get(p, k + 1)["h"] == x["h"])
+        return F.sort_array(F.transform(F.filter(p, lambda x, k: F.coalesce(same(x, k), F.lit(False))), lambda x: x["i"]))
 
-    def found(x: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(x) - n)
-        hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(x, i + k) for k in range(n)]))
-        repeats = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0)))
-        return F.when(F.size(x) > n, repeats).otherwise(F.lit(0)).cast("long")
+    def union(s: Column) -> Column:
+        each = F.transform(s, lambda x, k: F.when(k == 0, n).otherwise(F.least(F.lit(n), x - F.get(s, k - 1))))
+        return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
-    # bound once: a filter on the result may be pushed down with the words' expression in its place
-    return let(w, found)
+    return let(let(placed, hits), union)
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """Adds ``words`` and the base columns to the rows of ``doc_id, text``."""
-    text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, "\t\x0b\x0c\r ", "")) > 0)
+def with_base(hashed: DataFrame) -> DataFrame:
+    """Adds ``n_words``, ``n_repeat_words`` and ``base_failed`` to :func:`with_hashes`.
+
+    Windows of five words are compared by a 64-bit hash of their first two pairs and their last
+    word. A window that occurs twice holds four words that do, so the others' windows of five
+    are not built; only rows with an equal pair of windows are sorted.
+    """
+    n = WINDOW_WORDS
+    part = lambda name, at, less: F.slice(name, F.lit(at), F.greatest(F.size("_one") - less, F.lit(0)))
+    five = F.zip_with(part("_four", 1, n - 1), part("_one", n, n - 1), lambda a, b: F.xxhash64(a, b))
+    repeats = let(five, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h, n)).otherwise(F.lit(0)))
     return (
-        docs.withColumn("words", words(F.col("text")))
-        .withColumn("n_words", F.size("words").cast("long"))
-        .withColumn("word_chars", F.length(F.translate(text, "\t\n\x0b\x0c\r ", "")).cast("long"))
-        .withColumn("n_symbols", _n_characters(text, SYMBOLS))
-        .withColumn("n_dup_lines", let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")))
-        .withColumn("n_repeat_words", repeat_words(F.col("words")))
-        .withColumn(
-            "base_failed",
-            (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")),
-        )
+        hashed.withColumn("_four", F.zip_with(part("_two", 1, n - 2), part("_two", 3, n - 2), lambda a, b: F.xxhash64(a, b)))
+        .withColumn("n_words", F.size("_one").cast("long"))
+        .withColumn("n_repeat_words", F.when(F.size(F.array_distinct("_four")) < F.size("_four"), repeats).otherwise(F.lit(0)).cast("long"))
+        .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
+        .drop("_four")
     )
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = ORDERS) -> list[float]:
-    """Log ratio of each bucket: trusted count over the count that the raw corpus lets expect.
+def with_score(hashed: DataFrame, weights: list[float]) -> DataFrame:
+    """Adds ``llr``, the mean log ratio of the words and pairs; 0 without words."""
+    table = double_array(weights)
+    total = F.aggregate(F.concat("_one", "_two"), F.lit(0.0), lambda a, h: a + F.get(table, _bucket(h)))
+    return hashed.withColumn("llr", F.when(F.size("_one") > 0, total / (F.size("_one") + F.size("_two"))).otherwise(F.lit(0.0)))
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
+    """Log ratio of each bucket: the trusted sample's count over the one that the raw corpus lets expect.
 
-    Each language is a stratum: its n-grams are expected in the trusted sample at the language's
-    own rate, so a sample with few documents of a language doesn't count against that language.
-    ``PRIOR`` n-grams are added on both sides, which leaves rare buckets near zero.
-    One pass over all rows of ``docs``; the driver gets ``BUCKETS`` rows at most.
+    ``PRIOR`` n-grams are added on both sides, which leaves rare buckets near zero. Without rows
+    labelled good all ratios are 0. One pass over all rows of ``docs``; the driver gets
+    ``BUCKETS`` rows at most.
     """
+    weights = [0.0] * BUCKETS
+    if not labels.where("quality = 1").take(1):
+        return weights
     trusted = F.broadcast(
         labels.where("quality = 1 and doc_id is not null")
         .select(F.col("doc_id").alias("trusted_id"))
@@ -109,49 +104,37 @@ def log_ratios(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = ORD
         .orderBy(F.xxhash64("trusted_id"), "trusted_id")
         .limit(TRUSTED_ROWS)
     )
-    seen = docs.select("doc_id", "lang", "text").join(trusted, F.col("doc_id") == F.col("trusted_id"), "left")
-    grams = seen.select(
-        F.coalesce("lang", F.lit("")).alias("lang"),
-        F.when(F.col("trusted_id").isNull(), 0).otherwise(1).alias("good"),
-        F.explode(_grams(words(F.col("text")), orders)).alias("bucket"),
-    )
-    counts = grams.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
-    rates = counts.groupBy("lang").agg((F.sum("good") / F.sum("raw")).alias("rate"))
-    sums = counts.join(rates, "lang").groupBy("bucket").agg(
-        F.sum("good").alias("good"), F.sum(F.col("raw") * F.col("rate")).alias("expected")
-    )
-    weights = [0.0] * BUCKETS
-    for r in sums.select("bucket", F.log((F.col("good") + PRIOR) / (F.col("expected") + PRIOR)).alias("w")).collect():
-        weights[r.bucket] = round(r.w, 9)  # sums in another order may differ in the last bits
+    seen = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("trusted_id"), "left")
+    grams = with_hashes(seen).select(F.col("trusted_id").isNotNull().cast("int").alias("good"), F.explode(F.concat("_one", "_two")).alias("gram"))
+    counts = grams.groupBy(_bucket(F.col("gram")).alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")).collect()
+    rate = sum(r.good for r in counts) / max(1, sum(r.raw for r in counts))
+    for r in counts:
+        weights[r.bucket] = round(log((r.good + PRIOR) / (r.raw * rate + PRIOR)), 9)
     return weights
 
 
 def _plain(docs: DataFrame) -> DataFrame:
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), lang.alias("lang"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = ORDERS, threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Base columns, ``llr`` and ``kept`` of every row of ``doc_id, text``.
 
-    Null text has no words, so it fails the base rules and scores 0. Without labels of good
-    rows the ratios say nothing about quality and only the base rules decide. Repeated rows
-    come back as often; null ids stay; an empty table gives an empty result.
+    Null text has no words, so it fails the base rules and scores 0. A score equal to the
+    threshold is kept, and so is a share of repeated words equal to its limit. Without labels of
+    good rows all scores are 0 and only the base rules decide. Repeated rows come back as often;
+    null ids stay; an empty table gives an empty result; extra columns are ignored.
     """
     plain = _plain(docs)
-    has_labels = bool(labels.where("quality = 1").take(1))
-    weights = log_ratios(plain, labels, orders) if has_labels else [0.0] * BUCKETS
-    table = double_array(weights)
-    based = base_counts(plain)
-    grams = _grams(F.col("words"), orders)
-    total = lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table, b))
-    llr = let(grams, lambda g: F.when(F.size(g) > 0, total(g) / F.size(g)).otherwise(F.lit(0.0)))
-    return based.withColumn("llr", llr).select(
+    text = F.coalesce("text", F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, "\t\x0b\x0c\r ", "")) > 0)
+    scored = with_score(with_base(with_hashes(plain)), log_ratios(plain, labels))
+    return scored.select(
         "doc_id",
         "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
+        F.length(F.translate(text, "\t\n\x0b\x0c\r ", "")).cast("long").alias("word_chars"),
+        _n_characters(text, SYMBOLS).alias("n_symbols"),
+        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         "n_repeat_words",
         "base_failed",
         (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"),
@@ -159,18 +142,14 @@ def judge(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = ORDERS,
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that :func:`judge` keeps, decided row by row (no join on ids)."""
-    plain = _plain(docs)
-    has_labels = bool(labels.where("quality = 1").take(1))
-    weights = log_ratios(plain, labels) if has_labels else [0.0] * BUCKETS
-    table = double_array(weights)
-    w = words(F.col("text"))
-    score = lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.size(g)
-    good = let(
-        w,
-        lambda x: (F.size(x) >= MIN_WORDS)
-        & (100 * repeat_words(x) <= REPEAT_PERCENT * F.size(x))
-        & (let(_grams(x, ORDERS), score) >= THRESHOLD),
-    )
-    return docs.where(good)
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` that :func:`judge` keeps, decided row by row (no join on ids).
+
+    Null and empty texts go, ties with the threshold stay, repeated rows and null ids stay or go
+    by their text, an empty table gives an empty result, and all columns of ``docs`` come back.
+    """
+    weights = log_ratios(_plain(docs), labels)
+    scored = with_score(with_base(with_hashes(docs.select(F.struct(*docs.columns).alias("_row")), "_row.text")), weights)
+    good = ~F.col("base_failed") & (F.col("llr") >= threshold)
+    # an explode of nothing drops the row; a filter would be pushed below the columns and repeat them
+    return scored.select("_row", F.explode(F.when(good, F.array(F.lit(True))))).select("_row.*")
