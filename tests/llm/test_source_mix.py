@@ -1,6 +1,8 @@
 import re
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from scriptloom.llm import source_mix as S
 
@@ -27,7 +29,7 @@ def test_targets():
         assert S.targets(list(sizes.items())) == pytest.approx(slow_targets(sizes))
 
 
-def check(rows, sizes):
+def check(rows, sizes, near):
     """Contract of the result: sizes, sums near the targets, limits per document."""
     goal = slow_targets(sizes)
     taken = {}
@@ -36,51 +38,86 @@ def check(rows, sizes):
         assert 0 <= r.taken <= 2 * r.size
         taken[r.source] = taken.get(r.source, 0) + r.taken
     for s, t in taken.items():
-        assert abs(t - goal[s]) <= 1
+        assert abs(t - goal[s]) <= near
 
 
 def test_mix(docs, texts):
-    rows = S.taken_words(docs, keep_source=True).collect()
+    rows = S.taken_words(docs, more=("source",)).collect()
     sizes = {}
     by = {r.doc_id: r for r in rows}
     assert len(rows) == len(texts)
     for r in rows:
         assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id] or ""))
         sizes[r.source] = sizes.get(r.source, 0) + r.size
-    check(rows, sizes)
+    check(rows, sizes, 3 * S.BLOCK_WORDS)
     again = {r.doc_id: r.taken for r in S.taken_words(docs.repartition(7)).collect()}
     assert again == {i: r.taken for i, r in by.items()}
 
 
-def test_pieces_are_a_walk_through_the_stream(docs):
-    pieces, _ = S.mix(docs, block=64)
-    rows = pieces.collect()
-    full = {}
-    for r in rows:
-        full[r.sid, r.rank] = full.get((r.sid, r.rank), 0) + r.taken
-    last = {}
-    for s, k in full:
-        last[s] = max(last.get(s, 0), k)
-    assert all(n == 64 for (s, k), n in full.items() if k < last[s])
-    assert all((s, k) in full for s in last for k in range(last[s] + 1))
+def slow_mix(rows, block):
+    """``doc_id: (taken, first slot)``: the streams as lists of words, read slot by slot."""
+    digest = xxhash.xxh64_intdigest
+
+    def place(r):
+        h = 42 if r.doc_id is None else digest(r.doc_id.to_bytes(8, "little", signed=True), 42)
+        for part in (r.source, r.text):
+            h = h if part is None else digest(part.encode(), h)
+        return h >> 24
+
+    streams, sizes = {}, {}
+    for r in sorted(rows, key=lambda r: (place(r), r.doc_id)):
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        streams.setdefault(r.source, []).extend([r.doc_id] * n)
+        sizes[r.source] = sizes.get(r.source, 0) + n
+    goal = {s: round(t) for s, t in slow_targets(sizes).items()}
+    order = sorted(goal, key=lambda s: (s is None, s or ""))
+    total = sum(goal.values())
+    found, at = {}, dict.fromkeys(order, 0)
+    for slot in range(-(-total // block)):
+        point, low = (slot + 1) * S.GOLDEN % 2**40, 0
+        for s in order:
+            high = low + goal[s]
+            if low * 2**40 // total <= point < high * 2**40 // total:
+                break
+            low = high
+        for i in (streams[s] * 2)[at[s] : at[s] + block]:
+            taken, first = found.get(i, (0, slot))
+            found[i] = (taken + 1, first)
+        at[s] += block
+    return found
+
+
+def test_mix_against_brute_force(docs):
+    few = docs.select("doc_id", "source", "text").orderBy("doc_id").limit(40)
+    want = slow_mix(few.collect(), 16)
+    got = {r.doc_id: (r.taken, r.first_slot) for r in S.taken_words(few, block=16).collect()}
+    assert got == {i: want.get(i, (0, None)) for i in got}
+
+
+def test_sequence_decides(docs):
+    """Another sequence than the golden ratio's gives other rows."""
+    golden = {r.doc_id: (r.taken, r.first_slot) for r in S.taken_words(docs).collect()}
+    other = lambda slot: F.pmod(slot * 2654435761, F.lit(1 << S.BITS))
+    assert golden != {r.doc_id: (r.taken, r.first_slot) for r in S.taken_words(docs, point=other).collect()}
 
 
 def test_schedule_is_spread(spark):
     rows = S.schedule(spark, [(0, 3000), (1, 1000), (2, 2000)], 10).orderBy("slot").collect()
-    assert [sum(r.sid == s for r in rows) for s in range(3)] == [300, 100, 200]
-    for n in (60, 150, 400):  # every stretch follows the weights closely
-        head = rows[:n]
-        assert abs(sum(r.sid == 0 for r in head) - n / 2) <= 4
-    assert sorted(r.rank for r in rows if r.sid == 2) == list(range(200))
+    assert len(rows) == 600
+    for n in (60, 150, 400, 600):  # every stretch follows the weights closely
+        for s, share in enumerate((1 / 2, 1 / 6, 1 / 3)):
+            assert abs(sum(r.sid == s for r in rows[:n]) - n * share) <= 3
+    ranks = [r.rank for r in rows if r.sid == 2]
+    assert sorted(ranks) == ranks == list(range(len(ranks)))
 
 
 def test_odd_rows(odd_docs, no_docs):
-    rows = S.taken_words(odd_docs, keep_source=True).collect()
+    rows = S.taken_words(odd_docs, more=("source",)).collect()
     sizes = {}
     for r in rows:
         sizes[r.source] = sizes.get(r.source, 0) + r.size
     assert len(rows) == odd_docs.count() and sizes[None] == 0
-    check(rows, sizes)
+    check(rows, sizes, 3 * S.BLOCK_WORDS)
     assert S.taken_words(no_docs).count() == 0
     out = S.repeat_to_targets(odd_docs)
     assert out.columns == odd_docs.columns and 0 < out.count() <= 2 * odd_docs.count()
