@@ -3,27 +3,32 @@
 1. Fingerprints: XXH64 of every word shingle, majority per bit (Arrow batches, whole texts).
 2. Equal fingerprints collapse into one class; all later steps see distinct fingerprints only,
    so a group of copies of any size is one entry.
-3. Index: fingerprints within ``max_bits`` bits share at least ``8 - max_bits`` of their eight
-   positional bytes. Posting lists are keyed by the combinations of that many positional
-   bytes, so every list holds only entries whose tally of shared bytes already reaches the
-   guaranteed minimum. A list spans the remaining ``max_bits`` byte positions only and thus
-   never holds more than ``256 ** max_bits`` distinct entries, whatever the corpus.
-4. Inside a list pairs are verified by bit count. A list needs only a spanning forest of its
-   verified links for connectivity: short lists compare directly, long ones look up the
-   bounded set of bit flips of each entry (linear in the list, no pairwise expansion).
+3. Byte-position inverted index: fingerprints within ``max_bits`` bits share at least
+   ``8 - max_bits`` of their eight positional bytes. A posting list of a single positional byte
+   would hold one of 256 of all fingerprints, so the index stores intersections of posting
+   lists: the eight positions form ``max_bits + 2`` blocks, and an entry is posted under the
+   bytes of each two blocks. Fingerprints that reach the minimum differ in ``max_bits`` blocks
+   at most, so they meet in a list. Lists above ``HOT_LIST`` entries are intersected with the
+   lists of further positions, until only ``max_bits`` positions are free: at most
+   ``256 ** max_bits`` entries, whatever the corpus.
+4. Count filter: within a list each pair's shared positional bytes are tallied; pairs that reach
+   ``8 - max_bits`` are candidates, and those within ``max_bits`` bits are links. A list needs only
+   a spanning forest of its links for connectivity. In the longest lists, whose members all
+   reach the minimum by their key, links are looked up among the bounded set of bit flips
+   (linear in the list, no pairwise expansion).
 5. Components: alternating large-star / small-star rounds over the links, each round cut by a
    checkpoint. Nothing but two aggregates per round reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptloom.session import map_arrow
@@ -32,8 +37,8 @@ from scriptloom.llm.common import broadcast_if_small, cut
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 HASH_SEED = 42
-#: Lists of up to so many entries compare pairwise, longer ones probe bit flips.
-DIRECT_LIST = 64
+#: Lists of up to so many entries are tallied pair by pair.
+HOT_LIST = 256
 #: Ids to drop that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -80,14 +85,24 @@ def _flips(bits: int, most: int) -> np.ndarray:
     )
 
 
-def list_links(rests: np.ndarray, max_bits: int, flips: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest of the links inside one posting list: pairs of positions.
+def tallied(fps: np.ndarray, max_bits: int) -> np.ndarray:
+    """Positions ``i < j`` of the pairs that pass the count filter and are within ``max_bits`` bits."""
+    at = fps.view(np.uint8).reshape(len(fps), 8)
+    shared = np.zeros((len(fps), len(fps)), dtype=np.int8)
+    for position in range(8):
+        shared += at[:, position, None] == at[None, :, position]
+    i, j = np.nonzero(np.triu(shared >= 8 - max_bits, 1))
+    near = np.bitwise_count(fps[i] ^ fps[j]) <= max_bits
+    return np.column_stack((i[near], j[near]))
 
-    ``rests`` are the distinct remaining bytes of the entries. Uses union-find, so the number
-    of links returned is below the list's length.
+
+def list_links(fps: np.ndarray, max_bits: int, free: list[int], flips: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning forest of the links inside one list of distinct fingerprints: pairs of positions.
+
+    ``free``: the byte positions that the list's key doesn't fix. A list above ``HOT_LIST`` must
+    have ``max_bits`` of them; ``flips`` are the masks of flipped bits in so many bytes.
     """
-    n = len(rests)
-    parent = list(range(n))
+    parent = list(range(len(fps)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -103,85 +118,79 @@ def list_links(rests: np.ndarray, max_bits: int, flips: np.ndarray) -> list[tupl
             parent[max(a, b)] = min(a, b)
             found.append((i, j))
 
-    if n <= DIRECT_LIST:
-        near = np.bitwise_count(rests[:, None] ^ rests[None, :]) <= max_bits
-        for i, j in np.argwhere(np.triu(near, 1)).tolist():
+    if len(fps) <= HOT_LIST:
+        for i, j in tallied(fps, max_bits).tolist():
             link(i, j)
         return found
-    at = {int(v): i for i, v in enumerate(rests.tolist())}
-    for i, v in enumerate(rests):
-        for other in (flips ^ v).tolist():
+    masks = sum(((flips >> np.uint64(8 * k)) & np.uint64(0xFF)) << np.uint64(8 * p) for k, p in enumerate(free))
+    at = {v: i for i, v in enumerate(fps.tolist())}
+    for i, v in enumerate(fps):
+        for other in (masks ^ v).tolist():
             j = at.get(other)
             if j is not None and j > i:
                 link(i, j)
     return found
 
 
+def _byte(p: int) -> Column:
+    return F.shiftrightunsigned(F.col("fp"), 8 * p).bitwiseAND(F.lit(0xFF).cast("long"))
+
+
+def _key(positions: Iterable[int]) -> Column:
+    out = F.lit(0).cast("long")
+    for k, p in enumerate(positions):
+        out = out.bitwiseOR(F.shiftleft(_byte(p), 8 * k))
+    return out
+
+
+def _posted(fps: DataFrame, keys: list[list[int]], names: tuple[str, str]) -> DataFrame:
+    """A posting of each row under each of ``keys``, lists of positions."""
+    each = F.array(*[F.struct(F.lit(c).cast("byte").alias(names[0]), _key(p).alias(names[1])) for c, p in enumerate(keys)])
+    return fps.select("*", F.explode(each).alias("_p")).select(*fps.columns, "_p.*")
+
+
 def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Verified links ``a, b`` between distinct fingerprints ``fp``; connectivity-complete."""
-    kept = list(combinations(range(8), 8 - max_bits))
-    byte = lambda p: F.shiftrightunsigned(F.col("fp"), 8 * p).bitwiseAND(F.lit(0xFF).cast("long"))
-
-    def pick(positions) -> F.Column:
-        out = F.lit(0).cast("long")
-        for k, p in enumerate(positions):
-            out = out.bitwiseOR(F.shiftleft(byte(p), 8 * k))
-        return out
-
-    postings = classes.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).cast("byte").alias("combo"),
-                        pick(pos).alias("key"),
-                        pick([p for p in range(8) if p not in pos]).alias("rest"),
-                    )
-                    for c, pos in enumerate(kept)
-                ]
-            )
-        ).alias("p")
-    ).select("p.*")
-    lists = (
-        postings.groupBy("combo", "key")
-        .agg(F.collect_set("rest").alias("rests"))
-        .where(F.size("rests") > 1)
-    )
+    blocks = [b.tolist() for b in np.array_split(np.arange(8), max_bits + 2)]
+    keys = [[*a, *b] for a, b in combinations(blocks, 2)]
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = _posted(classes.select("fp").repartition(parts, "fp"), keys, ("combo", "key"))
+    hot = cut(postings.groupBy("combo", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_LIST).select("combo", "key"))
+    few, _ = broadcast_if_small(hot, BROADCAST_IDS)
+    found = F.collect_list("fp").alias("fps")
+    lists = postings.join(few, ["combo", "key"], "left_anti").groupBy("combo", "key").agg(found).select("combo", F.lit(-1).cast("byte").alias("sub"), "fps")
+    # the entries of a hot list go on to its intersections with the lists of further positions
+    rests = [[p for p in range(8) if p not in key] for key in keys]
+    more = [list(combinations(rest, max(0, len(rest) - max_bits))) for rest in rests]
+    heated = postings.join(few, ["combo", "key"])
+    for combo, subs in enumerate(more if hot.take(1) else []):
+        split = _posted(heated.where(F.col("combo") == combo), [list(s) for s in subs], ("sub", "subkey"))
+        lists = lists.union(split.groupBy("combo", "key", "sub", "subkey").agg(found).select("combo", "sub", "fps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = _flips(8 * max_bits, max_bits)
         for batch in batches:
             a, b = [], []
-            for combo, key, rests in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                rests = np.sort(np.array(rests, dtype=np.int64)).astype(np.uint64)
-                pos = kept[combo]
-                free = [p for p in range(8) if p not in pos]
-
-                def whole(rest: int) -> int:
-                    v = 0
-                    for k, p in enumerate(pos):
-                        v |= ((key >> (8 * k)) & 0xFF) << (8 * p)
-                    for k, p in enumerate(free):
-                        v |= ((rest >> (8 * k)) & 0xFF) << (8 * p)
-                    return v - (1 << 64) if v >> 63 else v
-
-                for i, j in list_links(rests, max_bits, flips):
-                    x, y = whole(int(rests[i])), whole(int(rests[j]))
-                    a.append(min(x, y))
-                    b.append(max(x, y))
+            for combo, sub, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                fps = np.sort(members.values.to_numpy())
+                free = [p for p in rests[combo] if sub < 0 or p not in more[combo][sub]]
+                for i, j in list_links(fps.view(np.uint64), max_bits, free, flips):
+                    a.append(int(fps[i]))
+                    b.append(int(fps[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return map_arrow(lists, run, "a long, b long").distinct()
+    return map_arrow(lists.where(F.size("fps") > 1), run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (columns ``a, b``); root is the least node.
 
     Alternating large-star / small-star. Neighbourhood minima are partial aggregates and the
     rewrite is a plain join, so a hub with many neighbours is neither collected nor windowed.
+    Rounds go on until nothing changes, which they do in a logarithmic number of them.
     """
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )

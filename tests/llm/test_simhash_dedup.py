@@ -63,7 +63,36 @@ def test_chains_and_flips(spark):
             assert same == (comp[i] == comp[j])
 
 
-@given(st.lists(st.integers(0, 65535), min_size=65, max_size=120, unique=True))
+def test_hot_lists(spark):
+    """Lists above ``HOT_LIST``: fingerprints that share four bytes, some of them six."""
+    rng = np.random.default_rng(8)
+    low = rng.integers(0, 2**32, 700, dtype=np.uint64)
+    values = np.concatenate([low, low ^ (np.uint64(1) << rng.integers(0, 32, 700, dtype=np.uint64)), np.arange(600, dtype=np.uint64) * np.uint64(97)])
+    fps = sorted({int(v) | 0xABCD1234 << 32 for v in values})
+    signed = [v - (1 << 64) for v in fps]
+    roots = {r.node: r.root for r in S.components(S.links(spark.createDataFrame([(v,) for v in signed], "fp long"))).collect()}
+    parent = dict.fromkeys(range(len(fps)))
+    a = np.array(fps, dtype=np.uint64)
+    near = np.bitwise_count(a[:, None] ^ a[None, :]) <= 2
+    for start in range(len(fps)):  # flood fill
+        if parent[start] is None:
+            todo = [start]
+            while todo:
+                i = todo.pop()
+                if parent[i] is None:
+                    parent[i] = start
+                    todo += np.flatnonzero(near[i]).tolist()
+    assert [roots.get(v, v) for v in signed] == [signed[parent[i]] for i in range(len(fps))]
+
+
+def test_count_filter():
+    base = np.uint64(0x0102030405060708)
+    fps = np.array([base, base ^ np.uint64(1), base ^ np.uint64(0x101), base ^ np.uint64(0x10101), base ^ np.uint64(7)], dtype=np.uint64)
+    # the fourth differs from the first in three bytes, the last in three bits of one byte
+    assert {tuple(p) for p in S.tallied(fps, 2).tolist()} == {(0, 1), (0, 2), (1, 2), (1, 3), (2, 3), (1, 4)}
+
+
+@given(st.lists(st.integers(0, 65535), min_size=257, max_size=330, unique=True))
 @settings(max_examples=15, deadline=None)
 def test_long_lists_equal_short_ones(values):
     rests = np.sort(np.array(values, dtype=np.uint64))
@@ -85,7 +114,7 @@ def test_long_lists_equal_short_ones(values):
         return sorted(map(tuple, groups.values()))
 
     every = [(i, j) for i in range(len(rests)) for j in range(i + 1, len(rests)) if (int(rests[i]) ^ int(rests[j])).bit_count() <= 2]
-    assert classes(S.list_links(rests, 2, flips)) == classes(every)
+    assert classes(S.list_links(rests, 2, [0, 1], flips)) == classes(every)
 
 
 def test_odd_rows(odd_docs, no_docs):
