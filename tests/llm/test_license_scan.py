@@ -1,44 +1,81 @@
-import math
+import random
+import re
+
+import pytest
 
 from scriptloom.llm import license_scan as S
 
 
-def slow(line):
-    """Family and confidence of a paragraph by plain logistic regression over all n-grams."""
-    weights, bias = S.model()
-    grams = [g for g in S._grams(S.tokens_of(line)) if g in weights]
-    scores = [b + sum(weights[g][k] for g in grams) for k, b in enumerate(bias)]
-    top = max(scores)
-    return S.FAMILIES[scores.index(top)], 1 / sum(math.exp((s - top) / S.TEMPERATURE) for s in scores), grams
+def slow(text, m):
+    """Family of a paragraph and its confidence by plain logistic regression over all n-grams."""
+    found = S.softmax(S.scores(S._grams(S.tokens_of(text)), m.weights, m.bias), m.temperature)
+    return S.FAMILIES[found.index(max(found))], max(found)
 
 
-def accepted(line):
-    family, confidence, _ = slow(line)
-    if family == "unknown" or confidence < S.MIN_CONFIDENCE:
+def accepted(text):
+    m = S.model()
+    family, confidence = slow(text, m)
+    if family == "unknown" or confidence < m.least:
         return None
-    have = set(S._all_grams(S.tokens_of(line)))
-    cover = max(len(have & set(S._all_grams(S.tokens_of(t)))) / len(S._all_grams(S.tokens_of(t))) for t in S.TEMPLATES[family])
+    have = set(S._grams(S.tokens_of(text)))
+    cover = max(len(have & set(S._grams(S.tokens_of(t)))) / len(S._grams(S.tokens_of(t))) for t in S.TEMPLATES[family])
     return family if cover >= S.MIN_COVER else None
 
 
-def test_held_out_accuracy():
+def test_held_out_examples():
     rows = S.examples(seed=99)
-    assert sum(slow(t)[0] == f for f, t in rows) / len(rows) > 0.97
+    m = S.model()
+    assert sum(slow(t, m)[0] == f for f, t in rows) / len(rows) > 0.97
+
+
+def test_held_out_notices():
+    """Whole notices that the fit hasn't seen, and everyday words that it hasn't seen."""
+    kept = {f: n[:1] + n[2:] for f, n in S.TEMPLATES.items()}
+    m = S.calibrate(*S.fit(S.examples(templates=kept, filler=S.FILLER[::2])), S.examples(seed=23, templates=kept, filler=S.FILLER[::2]))
+    right = sum(slow(n[1], m)[0] == f for f, n in S.TEMPLATES.items())
+    assert right >= 5  # of 8 families
+    plain = [t for f, t in S.examples(seed=5, filler=S.FILLER[1::2]) if f == "unknown"]
+    wrong = [t for t in plain if (got := slow(t, m))[0] != "unknown" and got[1] >= m.least]
+    assert len(wrong) / len(plain) <= 0.05
+
+
+def test_calibration():
+    """Held-out confidence means what it says, and a paragraph without known words is unknown."""
+    m = S.model()
+    found = [(slow(t, m), f) for f, t in S.examples(seed=23)]
+    sure = [family == f for (family, c), f in found if c >= 0.9]
+    assert sum(sure) / len(sure) >= 0.9
+    assert slow("", m)[0] == slow("wxyz wxyz", m)[0] == "unknown"
+    assert 0.125 < m.temperature < 8
 
 
 def test_scan_equals_plain_model(docs, texts):
-    got = {(r.doc_id, r.line): r.family for r in S.scan(docs).collect()}
+    got = {(r.doc_id, r.paragraph): r.family for r in S.scan(docs).collect()}
     want = {}
     for i, t in texts.items():
-        for k, line in enumerate((t or "").split("\n")):
-            if f := accepted(line):
+        for k, part in enumerate(re.split(r"(?<=[.!?:;])\s*\n|\n(?![ \t#*/]*[a-z(])", t or "", flags=re.A)):
+            if f := accepted(part):
                 want[i, k] = f
     assert got == want and got
 
 
-def test_paragraphs_without_trigger_have_no_feature():
-    triggers = set(S.trigger_words())
-    assert all(set(g.split()) & triggers for g in S.model()[0])
+def test_scores_in_spark(spark):
+    """Salads of known and unknown words: the same families as by the plain model."""
+    rng = random.Random(2)
+    words = [*S.FILLER, *(w for n in S.TEMPLATES.values() for t in n for w in t.split())]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 14))) for _ in range(300)] + [t for n in S.TEMPLATES.values() for t in n]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.family, r.confidence) for r in S.scan(docs).collect()}
+    want = {k: f for k, t in enumerate(texts) if (f := accepted(t))}
+    assert {k: f for k, (f, _) in got.items()} == want
+    m = S.model()
+    assert all(c == pytest.approx(slow(texts[k], m)[1], abs=1e-4) for k, (_, c) in got.items())
+
+
+def test_wrapped_lines(spark):
+    text = "Some prose stands here.\n# Redistribution and use in source and binary\n# forms, with or without\n# modification, are permitted\nThe end"
+    rows = S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.paragraph, r.family) for r in rows] == [(1, "bsd")] and rows[0].cover > 0.9
 
 
 def test_cases(spark):
