@@ -2,23 +2,26 @@
 
 Pages of one host are merged into a style tree: element nodes by their path of tags and
 classes, each with the styles (sequences of children) that pages give it and the contents that
-they put there.
+they put there. All hosts' trees together make the shared template tree, which tells for hosts
+with few pages.
 
 * Presentation importance of a node: entropy of its styles over the pages that have it, with
   that number of pages as base (1 for a single page).
 * Content importance: one minus the mean entropy of its contents, each content's distribution
   being uniform over the pages that show it. A text that every page repeats counts 0, a text of
   one page 1.
-* A node whose combined importance is below ``LEAST_IMPORTANCE`` on at least ``MIN_PAGES`` pages
-  is noise with all below it. Article and main elements are never removed as a whole.
-* Pages of a host with the same main text (by tags and names alone) count as one, so mirrors,
-  print views and repeated rows say nothing about importance.
-
-Where a host has too few pages to tell, or boilerplate changes from page to page, tags and
-class names with a fixed meaning (navigation, adverts, forms, ...) decide. An article or main
-element, where a page has one, bounds the text.
-
-The tree is summed by (host, node, value), never gathered per host, so a host that holds a third
+* Few pages say little: on ``m`` pages, a share of ``1 / m`` of the importance is 1 whatever they show.
+* A node whose combined importance is below ``LEAST_IMPORTANCE``, in its host's tree or in the
+  shared one, is noise with all below it. Article and main elements are never removed as a whole,
+  and where the tree would take more than ``MOST_TAKEN`` of a page's text, it takes nothing.
+* Pages with the same longest block of main text (by tags and names alone) count as one, so
+  mirrors, near copies, print views and repeated rows say nothing about importance.
+
+Tags and class names with a fixed meaning (navigation, adverts, forms, ...) are a prior: their
+importance is 0 whatever the trees say, as boilerplate may change from page to page. An article or
+main element, where a page has one, bounds the text.
+
+The trees are summed by (host, node, value), never gathered per host, so a host that holds a third
 of all pages is spread over all tasks.
 """
 
@@ -37,9 +40,9 @@ from scriptloom.llm.common import broadcast_if_small, cut
 from scriptloom.llm.url_filter import host_and_path
 from scriptloom.session import map_arrow
 
-MIN_PAGES, LEAST_IMPORTANCE, CONTENT_SHARE = 10, 0.2, 0.9
-#: Noise nodes that may be broadcast; more are joined by host.
-BROADCAST_HOSTS = 20_000
+LEAST_IMPORTANCE, CONTENT_SHARE, MOST_TAKEN = 0.2, 0.9, 0.8
+#: Hosts with noise nodes, and nodes of 8 bytes in all, that may be broadcast; more are joined by host.
+BROADCAST_HOSTS, BROADCAST_NODES = 20_000, 2_000_000
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -83,7 +86,6 @@ _TAG = re.compile(
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
-_BOUNDED = re.compile(r"<(?:article|main)\b", re.I)
 
 
 class _Node:
@@ -216,25 +218,39 @@ def parse(html: str, nodes: bool = False, noise_keys: frozenset = frozenset()):
     return (blocks, styles) if nodes else blocks
 
 
+def _bounded(blocks: list[tuple[str, int, bool, int]]) -> tuple[int, list[str]]:
+    """Depth of the innermost article or main element that holds text, and its blocks."""
+    kept = [b for b in blocks if not b[2]]
+    depth = max((b[3] for b in kept), default=0)
+    return depth, [b[0] for b in kept if b[3] >= depth]
+
+
+def extracted(html: str | None, noise_keys: frozenset = frozenset()) -> tuple[str, int]:
+    """Main text of one page, empty if it has none, and the number of blocks that the tree took from it."""
+    depth, plain = _bounded(parse(html or ""))
+    if not noise_keys:
+        return " ".join(plain), 0
+    inner, left = _bounded(parse(html or "", noise_keys=noise_keys))
+    size = lambda blocks: sum(map(len, blocks))
+    if inner < depth or size(left) < (1 - MOST_TAKEN) * size(plain):
+        return " ".join(plain), 0
+    return " ".join(left), len(plain) - len(left)
+
+
 def main_text(html: str | None, noise_keys: frozenset = frozenset()) -> str:
-    """Main text of one page; empty if it has none."""
-    blocks = [b for b in parse(html or "", noise_keys=noise_keys) if not b[2]]
-    depth = max((b[3] for b in blocks), default=0)
-    if noise_keys and depth < 2 and _BOUNDED.search(html or ""):
-        plain = [b for b in parse(html or "") if not b[2]]
-        whole = max((b[3] for b in plain), default=0)
-        if whole > depth:  # the tree took all of the article or main element
-            blocks, depth = plain, whole
-    return " ".join(b[0] for b in blocks if b[3] >= depth)
+    return extracted(html, noise_keys)[0]
 
 
 def _page_key(html: str | None) -> int:
-    """Hash of a page's main text: equal for repeated rows, mirrors and other views of one content."""
-    return xxhash.xxh64_intdigest(main_text(html).encode("utf-8", "surrogatepass")) >> 1
+    """Hash of a page's longest block: equal for repeated rows, mirrors and other views of one content."""
+    _, blocks = _bounded(parse(html or ""))
+    longest = max(blocks, key=lambda b: (len(b), b), default="")
+    return xxhash.xxh64_intdigest(longest.encode("utf-8", "surrogatepass")) >> 1
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
-    """``host, html``: one page of each host and main text."""
+    """``host, html, shared``: one page of each host and longest block; of equal blocks on several
+    hosts one page is ``shared``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,86 +258,98 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=["host", "html", "page"])
 
     keyed = map_arrow(pages.select("host", "html"), run, "host string, html string, page long")
-    return keyed.groupBy("host", "page").agg(F.min("html").alias("html")).select("host", "html")
+    per_host = cut(keyed.groupBy("host", "page").agg(F.min("html").alias("html")))
+    first = per_host.groupBy("page").agg(F.min("host").alias("first_host"))
+    return per_host.join(first, "page").select("host", "html", (F.col("host") == F.col("first_host")).alias("shared"))
 
 
 def node_values(pages: DataFrame) -> DataFrame:
-    """``host, node, kind, value``: styles (0) and contents (1), each once per page and node."""
+    """``host, shared, node, kind, value``: styles (0) and contents (1), each once per page and node,
+    and the node itself (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, node, kind, value = [], [], [], []
-            for i, html in enumerate(batch.column(1)):
+            for i, html in enumerate(batch.column(2)):
                 blocks, styles = parse(html.as_py() or "", nodes=True)
                 seen = {(k, 0, s) for k, s in styles}
                 seen.update((k, 1, xxhash.xxh64_intdigest(t) >> 1) for t, k, _, _ in blocks)
+                seen.update((k, 2, 0) for k, _ in styles)
                 for k, what, v in seen:
                     row.append(i)
                     node.append(k)
                     kind.append(what)
                     value.append(v)
-                for k in {k for k, _ in styles}:
-                    row.append(i)
-                    node.append(k)
-                    kind.append(2)
-                    value.append(0)
+            at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(row, pa.int64())),
-                    pa.array(node, pa.int64()),
-                    pa.array(kind, pa.int8()),
-                    pa.array(value, pa.int64()),
-                ],
-                names=["host", "node", "kind", "value"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(node, pa.int64()), pa.array(kind, pa.int8()), pa.array(value, pa.int64())],
+                names=["host", "shared", "node", "kind", "value"],
             )
 
-    return map_arrow(pages.select("host", "html"), run, "host string, node long, kind byte, value long")
+    return map_arrow(pages.select("host", "shared", "html"), run, "host string, shared boolean, node long, kind byte, value long")
 
 
-def noise_nodes(pages: DataFrame) -> DataFrame:
-    """``host, nodes``: keys of each host's nodes of low importance."""
-    values = node_values(distinct_pages(pages)).groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    sums = values.groupBy("host", "node").agg(
+def importance(values: DataFrame, by: list[str]) -> DataFrame:
+    """``importance`` of each node ``by`` from ``kind, value, n``, the pages that show each value.
+
+    Nodes that hold no text of their own are left out.
+    """
+    sums = values.groupBy(*by).agg(
         F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("m"),
         F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("styled"),
         F.sum(F.when(F.col("kind") == 0, F.col("n") * F.log("n"))).alias("style_n_log_n"),
         F.count(F.when(F.col("kind") == 1, 1)).alias("contents"),
         F.sum(F.when(F.col("kind") == 1, F.log("n"))).alias("content_log_n"),
     )
-    wide = F.log("m")
+    wide = F.log(F.greatest(F.lit(2), "m"))
     presentation = F.greatest(F.lit(0.0), F.log("styled") - F.col("style_n_log_n") / F.col("styled")) / wide
     content = F.greatest(F.lit(0.0), 1 - F.col("content_log_n") / F.col("contents") / wide)
-    importance = (1 - CONTENT_SHARE) * presentation + CONTENT_SHARE * content
+    shown = (1 - CONTENT_SHARE) * presentation + CONTENT_SHARE * content
+    return sums.where("contents > 0").select(*by, (1 - (1 - 1 / F.col("m")) * (1 - shown)).alias("importance"))
+
+
+def noise_nodes(pages: DataFrame) -> DataFrame:
+    """``host, nodes``: keys of each host's nodes of low importance, in its own or in the shared tree.
+
+    ``pages`` has ``host, html``. Null html is an empty page; repeated rows count once; hosts
+    without such nodes have no row, and an empty table gives an empty result.
+    """
+    values = cut(
+        node_values(distinct_pages(pages))
+        .groupBy("host", "node", "kind", "value")
+        .agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("shared"), 1)).alias("n_shared"))
+    )
+    own = importance(values, ["host", "node"])
+    all_hosts = values.groupBy("node", "kind", "value").agg(F.sum("n_shared").alias("n")).where("n > 0")
+    low = importance(all_hosts, ["node"]).where(F.col("importance") < LEAST_IMPORTANCE).select("node", F.lit(True).alias("low"))
     return (
-        sums.where((F.col("m") >= MIN_PAGES) & (F.col("contents") > 0))
-        .where(importance < LEAST_IMPORTANCE)
+        own.join(low, "node", "left")
+        .where((F.col("importance") < LEAST_IMPORTANCE) | F.col("low"))
         .groupBy("host")
         .agg(F.collect_list("node").alias("nodes"))
     )
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars`` of every row of ``page_id, url, html``.
+    """``page_id, url, text, n_chars, tree_blocks`` of every row of ``page_id, url, html``.
 
-    Null html is an empty page with an empty text. A null URL, or one without host, belongs to
-    the empty host, whose pages share no style tree. Repeated rows come back as often, null ids
+    ``tree_blocks``: blocks that tags and names alone would have kept and the trees took. Null
+    html is an empty page with an empty text. A null URL, or one without host, belongs to the
+    empty host, whose pages share no style tree. Repeated rows come back as often, null ids
     stay, an empty table gives an empty result, extra columns are ignored.
     """
     host, _ = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host.alias("host"))
     noise = cut(noise_nodes(rows.where("host <> ''").select("host", "html")))
-    noise, _ = broadcast_if_small(noise, BROADCAST_HOSTS)
+    if (noise.agg(F.sum(F.size("nodes"))).first()[0] or 0) <= BROADCAST_NODES:
+        noise, _ = broadcast_if_small(noise, BROADCAST_HOSTS)
     joined = rows.join(noise, "host", "left").select("page_id", "url", "html", "nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                main_text(html.as_py(), frozenset(nodes.as_py() or ()))
-                for html, nodes in zip(batch.column(2), batch.column(3))
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
-            )
+            found = [extracted(html.as_py(), frozenset(nodes.as_py() or ())) for html, nodes in zip(batch.column(2), batch.column(3))]
+            texts = pa.array([t for t, _ in found], pa.string())
+            counts = [pa.array(x, pa.int64()) for x in ([len(t) for t, _ in found], [n for _, n in found])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, *counts], names=["page_id", "url", "text", "n_chars", "tree_blocks"])
 
-    return map_arrow(joined, run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(joined, run, "page_id long, url string, text string, n_chars long, tree_blocks long")

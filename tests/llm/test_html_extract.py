@@ -1,5 +1,8 @@
+import math
+import random
 import re
 import time
+from collections import Counter
 from html import unescape
 
 import pytest
@@ -75,6 +78,80 @@ def test_repeated_branches_go(spark):
     assert got[100] == ["subscribe to our letter today"] and got[200] == ["no host"] and got[201] == [""]
 
 
+def slow_noise(pages):
+    """Noise nodes of each host by trees held in dictionaries."""
+    first = {}
+    for host, html in sorted(pages, key=lambda p: p[1]):
+        first.setdefault((host, S._page_key(html)), html)
+    hosts_of = {}
+    for host, key in first:
+        hosts_of[key] = min(host, hosts_of.get(key, host))
+    trees = {}
+    for (host, key), html in first.items():
+        blocks, styles = S.parse(html, nodes=True)
+        for tree in (host, None) if hosts_of[key] == host else (host,):
+            nodes = trees.setdefault(tree, {})
+            for k in {k for k, _ in styles}:
+                node = nodes.setdefault(k, ([0], Counter(), Counter()))
+                node[0][0] += 1
+                node[1].update({s for x, s in styles if x == k})
+                node[2].update({t for t, x, _, _ in blocks if x == k})
+
+    def low(node):
+        (m,), styles, contents = node
+        if not contents:
+            return False
+        base, n = math.log(max(2, m)), sum(styles.values())
+        shown = 0.1 * -sum(c / n * math.log(c / n) for c in styles.values()) / base
+        shown += 0.9 * max(0.0, sum(1 - math.log(c) / base for c in contents.values()) / len(contents))
+        return 1 - (1 - 1 / m) * (1 - shown) < S.LEAST_IMPORTANCE
+
+    everywhere = {k for k, node in trees[None].items() if low(node)}
+    found = {h: {k for k, node in nodes.items() if k in everywhere and node[2] or low(node)} for h, nodes in trees.items() if h}
+    return {h: k for h, k in found.items() if k}
+
+
+def template_pages():
+    """Pages whose notices no tag or name tells, on large and small hosts of one template."""
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice("amber birch cedar delta ember fjord grove haven inlet jetty".split()) for _ in range(n))
+    rows = []
+    for k in range(90):
+        host = f"h{k % 3}.com" if k < 60 else f"small{k}.com"
+        story = "".join(f"<p>{words(rng.randint(5, 12))} {k} {j}</p>" for j in range(rng.randint(1, 4)))
+        rows.append((host, f"<body><div class=zz><p>subscribe to our letter today</p></div><div class=q>{story}</div><div class=yy>made by {host if k < 60 else 'us'}</div></body>"))
+    return rows + [(h, x) for h, x in rows if h == "h0.com"][:5] + [("m.com", rows[0][1])] * 3
+
+
+def test_trees_against_brute_force(spark):
+    rows = template_pages()
+    frame = spark.createDataFrame(rows, "host string, html string")
+    got = {r.host: set(r.nodes) for r in S.noise_nodes(frame).collect()}
+    assert got == slow_noise(rows) and len(got) > 30
+
+
+def test_trees_decide(spark):
+    """The notices go on every host, also on those of one page, and the stories stay."""
+    rows = template_pages()
+    frame = spark.createDataFrame([(k, f"http://{h}/{k}", x) for k, (h, x) in enumerate(rows)], "page_id long, url string, html string")
+    for r in S.extract(frame).collect():
+        story = " ".join(re.findall(r"<p>([^<]*)</p>", rows[r.page_id][1])[1:])
+        assert r.text.startswith(story) and "subscribe" not in r.text and r.tree_blocks >= 1
+
+
+def test_near_copies_on_one_host_stay(spark):
+    """Articles that differ in a word or two, also outside article elements."""
+    rng = random.Random(5)
+    base = [f"paragraph {j} tells of place {j * 31} and of the people there" for j in range(12)]
+    rows = []
+    for k in range(40):
+        parts = list(base)
+        parts[rng.randrange(12)] += f" edited {k}"
+        rows.append((k, "http://a.com/x", "<body><div class=q>" + "".join(f"<p>{t}</p>" for t in parts) + "</div></body>"))
+    got = S.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text.startswith("paragraph 0") and "paragraph 11" in r.text and r.tree_blocks == 0 for r in got)
+
+
 def test_empty_table(spark):
     assert S.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
