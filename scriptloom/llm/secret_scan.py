@@ -3,13 +3,12 @@
 The forest is trained on the driver from labelled findings: generated examples of real secrets
 and of the usual false alarms (placeholders, identifiers, digests, paths), at most
 ``TRAINING_ROWS`` of them. Its features are the candidate's length, its transitions between
-character classes, how much of it a dictionary covers, its characters' spread, the path
-(``source``) it was found under, and the words around it.
+character classes, how much of it a dictionary covers, its characters' spread, and hashed bags
+of the words of the path (``source``) it was found under and of the words before and behind it.
 """
 
 from __future__ import annotations
 
-import math
 import random
 import re
 from bisect import bisect_left
@@ -19,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,42 +72,54 @@ for _lo, _hi, _k in (("a", "z", 0), ("A", "Z", 1), ("0", "9", 2)):
     _KIND[ord(_lo) : ord(_hi) + 1] = _k
 
 
+#: Buckets of the words of the path, of the nearest word before a candidate, of the others before it and of those behind.
+PATH_BUCKETS, NEXT_BUCKETS, BEFORE_BUCKETS, AFTER_BUCKETS = 16, 64, 24, 8
+_LETTERS = re.compile(r"[a-z]+")
+
+
+def _bag(text: str, buckets: int) -> list[float]:
+    """Which buckets the words of a text fall into."""
+    out = [0.0] * buckets
+    for w in _LETTERS.findall(text.lower()):
+        out[xxhash.xxh64_intdigest(w, 7) % buckets] = 1.0
+    return out
+
+
 def features(value: str, path: str | None, before: str, after: str, pattern: str) -> list[float]:
     """Numbers that the forest decides by. ``before`` and ``after``: the text around the candidate."""
-    low = value.lower()[:512]
-    head = value[:512]
-    kinds = [int(_KIND[ord(c)]) if ord(c) < 128 else 3 for c in head]
-    steps = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, len(kinds) - 1)
-    covered = sum(len(m[0]) for m in _WORDS.finditer(low)) / max(1, len(low))
-    counts = Counter(head)
-    entropy = -sum(n / len(head) * math.log2(n / len(head)) for n in counts.values()) if head else 0.0
-    path, before, after = (path or "").lower(), before.lower(), after.lower()
-    near = before + " " + after
+    low, words = value.lower(), _LETTERS.findall(before.lower())
+    kinds = _KIND[np.minimum(np.frombuffer(value.encode("utf-32-le", "surrogatepass"), dtype="<u4"), 127)]
+    n = max(1, len(kinds))
+    covered = sum(len(m[0]) for m in _WORDS.finditer(low)) / n
+    counts = np.array([*Counter(value).values(), 0])
+    share = counts[counts > 0] / n
     return [
         float(len(value)),
-        steps,
+        float(np.count_nonzero(kinds[1:] != kinds[:-1])) / max(1, n - 1),
         covered,
-        entropy,
-        kinds.count(2) / max(1, len(kinds)),
-        kinds.count(1) / max(1, len(kinds)),
-        kinds.count(3) / max(1, len(kinds)),
-        float(max(counts.values(), default=0)) / max(1, len(head)),
-        float(all(c in "0123456789abcdef" for c in low)),
+        float(-(share * np.log2(share)).sum()),
+        *(float(np.count_nonzero(kinds == k)) / n for k in (1, 2, 3)),
+        float(counts.max()) / n,
+        float(not low.strip("0123456789abcdef")),
         float(any(w in low for w in PLACEHOLDERS) or value[:1] in "<${%" or "*" * 4 in value),
-        float(any(w in path for w in ("test", "example", "sample", "docs", "mock", "fixture", "vendor", "lock"))),
-        float(bool(re.search(rf"(?:{_KEYWORDS}|bearer|credentials?)\W{{0,6}}$", before))),
-        float(any(w in near for w in ("example", "placeholder", "dummy", "replace", "e.g.", "sample", "fake"))),
-        float(bool(re.search(r"(?:sha\d*|md5|commit|checksum|digest|integrity|hash|etag|uuid|guid|revision|base64,?)\W{0,6}$", before))),
-        float(bool(re.search(r"(?:https?:|/|\\|\.)[\w./-]*$", before[-12:]))),
         float(pattern not in ("assignment", "bearer", "run")),
+        float(pattern == "assignment"),
+        *_bag(path or "", PATH_BUCKETS),
+        *_bag(" ".join(words[-1:]), NEXT_BUCKETS),
+        *_bag(" ".join(words[:-1]), BEFORE_BUCKETS),
+        *_bag(after, AFTER_BUCKETS),
+        float(before[-1:] in ("/", "\\", ".", "-", "_")),
     ]
 
 
 # -- labelled findings ------------------------------------------------------------------------
 
 
-def labelled(n: int = TRAINING_ROWS, seed: int = 20) -> list[tuple[tuple[str, str, str, str, str], int]]:
-    """Generated findings ``(value, path, before, after, pattern)`` with 1 for a secret."""
+def labelled(n: int = TRAINING_ROWS, seed: int = 20, kinds: tuple[range | list[int], range | list[int]] = (range(9), range(10))) -> list[tuple[tuple[str, str, str, str, str], int]]:
+    """Generated findings ``(value, path, before, after, pattern)`` with 1 for a secret.
+
+    ``kinds``: of secrets and of false alarms that are made.
+    """
     rng = random.Random(seed)
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -115,6 +127,7 @@ def labelled(n: int = TRAINING_ROWS, seed: int = 20) -> list[tuple[tuple[str, st
     words = lambda k: " ".join(rng.choice([*DICTIONARY, pick(low, rng.randint(2, 9))]) for _ in range(k))
     good_path = lambda: rng.choice(["src1", "web", "app/config.py", "deploy/prod.env", "notes.txt", "", "src17"])
     poor_path = lambda: rng.choice(["tests/test_auth.py", "docs/example.md", "fixtures/mock.json", "src3", "package.lock", "app/main.py", ""])
+    path = lambda usual, other: (usual if rng.random() < 0.7 else other)()
     found = []
     while len(found) < n:
         key = rng.choice(_KEYWORDS.split("|"))
@@ -122,7 +135,7 @@ def labelled(n: int = TRAINING_ROWS, seed: int = 20) -> list[tuple[tuple[str, st
         sign = rng.choice(["=", ": ", ' = "', "=", '": "'])
         after = f" {words(4)}"
         if len(found) % 2:
-            kind = rng.randrange(9)
+            kind = rng.choice(kinds[0])
             before = f"{words(4)} {key}{sign}"
             pattern = "assignment"
             if kind == 0:
@@ -143,9 +156,9 @@ def labelled(n: int = TRAINING_ROWS, seed: int = 20) -> list[tuple[tuple[str, st
                 value, pattern, before = "xox" + rng.choice("bp") + "-" + pick(dig, 11) + "-" + pick(both, 24), "slack_token", f"{words(5)} "
             else:
                 value, pattern, before = pick(both, rng.randint(28, 60)), "run", f"{words(4)} {rng.choice(['credential', key])} "
-            found.append(((value, good_path(), before, after, pattern), 1))
+            found.append(((value, path(good_path, poor_path), before, after, pattern), 1))
         else:
-            kind = rng.randrange(10)
+            kind = rng.choice(kinds[1])
             before = f"{words(4)} {key}{sign}"
             pattern = "assignment"
             if kind == 0:
@@ -169,7 +182,7 @@ def labelled(n: int = TRAINING_ROWS, seed: int = 20) -> list[tuple[tuple[str, st
                 value, pattern, before = "=" * rng.randint(24, 60) + pick(dig, 1), "run", f"{words(2)} "
             else:
                 value, pattern, before = pick(low, rng.randint(6, 14)), "assignment", f"{words(3)} {key}: "
-            found.append(((value, poor_path(), before, after, pattern), 0))
+            found.append(((value, path(poor_path, good_path), before, after, pattern), 0))
     return found
 
 
@@ -181,7 +194,7 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int) ->
     if depth == 0 or len(y) < 2 * LEAF_ROWS or p in (0.0, 1.0):
         return (p,)
     best = None
-    for f in rng.permutation(x.shape[1])[: max(1, int(math.sqrt(x.shape[1])) + 1)]:
+    for f in rng.permutation(x.shape[1])[: max(1, x.shape[1] // 3)]:
         order = np.argsort(x[:, f], kind="stable")
         v, t = x[order, f], np.cumsum(y[order])
         at = np.flatnonzero(v[1:] > v[:-1]) + 1
@@ -303,7 +316,9 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``[secret:<pattern>]``.
 
-    All rows and columns stay; ``n_chars``, where present, follows the new text.
+    All rows and columns stay; ``n_chars``, where present, follows the new text. Null and empty
+    texts stay as they are, as do texts without secrets; repeated rows are redacted alike; a
+    probability equal to the threshold is a secret; an empty table gives an empty result.
     """
     trees = forest()
     names = docs.columns

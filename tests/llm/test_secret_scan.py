@@ -104,3 +104,41 @@ def test_hostile_long_texts_take_linear_time(piece):
     began = time.time()
     S.candidates("private key-----" + piece * 50000 + "1")
     assert time.time() - began < 10
+
+
+def test_held_out_kinds():
+    """Kinds of secrets and of false alarms that the forest hasn't been trained on."""
+    trained = S.train(S.labelled(kinds=([0, 2, 4, 6, 8], [0, 2, 4, 6, 8, 9])))
+    rows = S.labelled(1200, seed=99, kinds=([1, 3, 5, 7], [1, 3, 5, 7]))
+    right = [(S.probability(trained, S.features(*r)) >= S.THRESHOLD) == bool(y) for r, y in rows]
+    secrets = [ok for ok, (_, y) in zip(right, rows) if y]
+    assert sum(secrets) / len(secrets) > 0.9 and sum(right) / len(right) > 0.75
+
+
+def test_words_and_path_decide():
+    """One value is told apart by the words around it, and trees split on the path's buckets too."""
+    value = "0cab398dc11d1a2a11dc6572c8df8bd228c864f3"
+    p = lambda before: S.probability(S.forest(), S.features(value, "src1", before, " and more", "run"))
+    assert p("deploy credential ") > p("see commit ")
+
+    def splits(node):
+        return {node[0]} | splits(node[2]) | splits(node[3]) if len(node) == 4 else set()
+
+    used = set().union(*map(splits, S.forest()))
+    first = len(S.features("x", "", "", "", "run")) - S.PATH_BUCKETS - S.NEXT_BUCKETS - S.BEFORE_BUCKETS - S.AFTER_BUCKETS - 1
+    ends = [first, first + S.PATH_BUCKETS, first + S.PATH_BUCKETS + S.NEXT_BUCKETS]
+    assert all(used & set(range(a, b)) for a, b in zip(ends, [*ends[1:], ends[-1] + S.BEFORE_BUCKETS]))
+
+
+def test_planted_secrets(spark):
+    """Keys and assignments that a plain pattern tells in the documents are all found, whole."""
+    import re
+
+    plain = re.compile(r"AKIA[0-9A-Z]{16}|(?:password|token|secret|api_key)\s*[=:]\s*\"?([0-9a-f]{16,})")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    found = {}
+    for r in S.scan(docs).where("is_secret").collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.start + r.length))
+    planted = [(r.doc_id, *(m.span(1) if m[1] else m.span())) for r in docs.collect() for m in plain.finditer(r.text or "")]
+    missed = [x for x in planted if not any(a <= x[1] and x[2] <= b for a, b in found.get(x[0], []))]
+    assert len(planted) > 10 and not missed
