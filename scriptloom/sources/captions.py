@@ -49,9 +49,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def newest_file(spark: SparkSession, path: str) -> DataFrame:
-    """The newest of the files at a path by modification time."""
+    """The newest of the files at a path by modification time, of equal times the last path."""
     files = spark.read.format("binaryFile").load(path).select("path", "modificationTime")
-    return files.agg(F.max_by("path", "modificationTime").alias("path"))
+    return files.agg(F.max(F.struct("modificationTime", "path"))["path"].alias("path"))
 
 
 def _blocks(files: DataFrame) -> DataFrame:
