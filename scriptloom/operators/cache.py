@@ -34,10 +34,10 @@ def insert(cache: DataFrame, rows: DataFrame) -> DataFrame:
     return cache.unionByName(rows)
 
 
-def upsert(cache: DataFrame, rows: DataFrame, keys: list[str], stamp: str = "updated_at") -> DataFrame:
-    """One row per key, the newest."""
+def upsert(cache: DataFrame, rows: DataFrame, keys: list[str], stamp: str = "updated_at", ties: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key, the newest; of equal times the new table's, then the greatest by ``ties``."""
     both = cache.withColumn("new", F.lit(0)).unionByName(rows.withColumn("new", F.lit(1)))
-    return first_row(both, keys, [F.desc(stamp), F.desc("new")]).drop("new")
+    return first_row(both, keys, [F.desc(stamp), F.desc("new"), *map(F.desc, ties)]).drop("new")
 
 
 def expire(cache: DataFrame, now: Column, days: int = CACHE_DAYS, stamp: str = "created_at") -> DataFrame:

@@ -35,18 +35,47 @@ def _in(words: list[str]) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
+_SEMANTIC = r"""sem_a AS (SELECT *, CASE WHEN coalesce(regexp_matches(lag(text) OVER (PARTITION BY file_id ORDER BY ord), '[.!?]\s*$'), true) THEN 1 ELSE 0 END AS o FROM conv_cues),
+sem_b AS (SELECT *, sum(o) OVER (PARTITION BY file_id ORDER BY ord) AS island FROM sem_a),
+sem_c AS (SELECT *, (row_number() OVER (PARTITION BY file_id, island ORDER BY ord) - 1) // 4 AS k FROM sem_b),
+sem AS (SELECT *, dense_rank() OVER (PARTITION BY file_id ORDER BY island, k) AS group_no FROM sem_c)"""
+
+_CHINESE = rf"""WITH {V.CONV_CUES}, {_SEMANTIC},
+broken_rows AS (SELECT file_id, group_no, regexp_replace(translated_text, '[，。！？；：,.!?;:]+$', '') AS z,
+  lead(translated_text) OVER (PARTITION BY file_id, group_no ORDER BY ord) AS f FROM sem),
+broken AS (SELECT file_id, group_no, bool_or(f IS NOT NULL AND (regexp_matches(z, '(在|通过|因为|对于|关于)$') OR (ends_with(z, '的') AND regexp_matches(f, '^[，。！？；：,.!?;:]')))) AS b
+  FROM broken_rows GROUP BY 1, 2),
+texts AS (SELECT file_id, group_no, string_agg(text, ' ' ORDER BY ord) AS t, string_agg(translated_text, '' ORDER BY ord) AS z FROM sem GROUP BY 1, 2),
+found AS (SELECT file_id, group_no, list_filter([
+    CASE WHEN regexp_matches(z, '{"|".join(L.CHINESE_FINDINGS["missing_predicate"])}') THEN 'missing_predicate' END,
+    CASE WHEN b OR regexp_matches(z, '{"|".join(L.CHINESE_FINDINGS["dangling_preposition"])}') THEN 'dangling_preposition' END,
+    CASE WHEN regexp_matches(z, '{"|".join(L.CHINESE_FINDINGS["english_word_order"])}') THEN 'english_word_order' END], lambda x: x IS NOT NULL) AS c
+  FROM texts JOIN broken USING (file_id, group_no) WHERE t <> '' AND z <> '')
+SELECT file_id, group_no, unnest(c) AS code, len(c) >= 2 AS high FROM found WHERE len(c) > 0"""
+
+
 # -- audit ----------------------------------------------------------------------------------------
 
-_ISSUES = rf"""
+_LOADED = rf"""loaded AS (
+  SELECT *, end_ms - start_ms AS d, words AS w, len(regexp_extract_all(translated_text, '[一-鿿]')) AS h,
+    trim(regexp_replace(regexp_replace(lower(text), '[^a-z''\s]', ' ', 'g'), '\s+', ' ', 'g')) AS rkey,
+    regexp_replace(translated_text, '[^一-鿿A-Za-z0-9]', '', 'g') AS zkey FROM conv_cues)"""
+
+_ISSUES = rf"""{_LOADED},
+issue_flags AS (
+  SELECT *, start_ms - lag(end_ms) OVER (PARTITION BY file_id ORDER BY ord) AS gap,
+    rkey IN {_in(L.SHORT_ENGLISH_AUDIT)} OR zkey IN {_in(L.SHORT_CHINESE_AUDIT)} AS answer,
+    h / (d / 1000) AS cps FROM loaded),
 issue_base AS (
-  SELECT file_id, ord, text, translated_text, end_ms - start_ms AS d, words AS w,
-    start_ms - lag(end_ms) OVER (PARTITION BY file_id ORDER BY ord) AS gap,
-    trim(regexp_replace(regexp_replace(lower(text), '[^a-z''\s]', ' ', 'g'), '\s+', ' ', 'g')) AS rkey FROM conv_cues),
+  SELECT *, d > 0 AND (d < 150 OR (d < 250 AND NOT answer AND w + h > 4)) AS invalid, d >= 1200 AND h >= 12 AND cps > 11 AS severe FROM issue_flags),
 issue_rows AS (
   SELECT file_id, ord, 'warning' AS level, 'coverage_gap_unverified' AS code, CAST(gap AS DOUBLE) AS value FROM issue_base WHERE gap > 1500
   UNION ALL SELECT file_id, ord, 'warning', 'coverage_gap_warning', gap FROM issue_base WHERE gap > 1200 AND gap <= 1500
   UNION ALL SELECT file_id, ord, 'error', 'invalid_timing', d FROM issue_base WHERE d <= 0
-  UNION ALL SELECT file_id, ord, 'warning', 'subtitle_duration_too_short', d FROM issue_base WHERE d > 0 AND d < 500
+  UNION ALL SELECT file_id, ord, 'warning', 'subtitle_duration_too_short', d FROM issue_base WHERE d > 0 AND d < 500 AND NOT invalid
+  UNION ALL SELECT file_id, ord, 'error', 'subtitle_duration_invalid', d FROM issue_base WHERE invalid
+  UNION ALL SELECT file_id, ord, 'error', 'chinese_speed_error', round(cps, 2) FROM issue_base WHERE severe
+  UNION ALL SELECT file_id, ord, 'warning', 'chinese_speed_warning', round(cps, 2) FROM issue_base WHERE d > 0 AND cps > 9 AND NOT severe
   UNION ALL SELECT file_id, ord, 'warning', 'short_duration', d FROM issue_base WHERE d > 0 AND d < 900
   UNION ALL SELECT file_id, ord, 'error', 'overlong_english', w FROM issue_base WHERE w > 16
   UNION ALL SELECT file_id, ord, 'error', 'missing_chinese', w FROM issue_base WHERE text <> '' AND translated_text = ''
@@ -106,25 +135,28 @@ def suspicious_recognitions(spark, d):
     return audit.suspicious_words(V.conv_cues(spark, d))
 
 
-@query()
+@query(_CHINESE)
 def chinese_group_findings(spark, d):
     return audit.chinese_group_findings(V.conv_cues(spark, d))
 
 
 @query(
-    f"""WITH {V.CONV_CUES} SELECT file_id, count(*) FILTER (trim(translated_text) = '') AS missing_translation, CAST(0 AS BIGINT) AS severe_speed,
-  count(*) FILTER (dur_ms > 0 AND dur_ms < 150) AS duration_errors, count(*) FILTER (words > 16) AS overlong FROM conv_cues GROUP BY 1"""
+    f"""WITH {V.CONV_CUES}, {_LOADED} SELECT file_id, count(*) FILTER (trim(translated_text) = '') AS missing_translation,
+  count(*) FILTER (d >= 900 AND h >= 12 AND h / (d / 1000) > 11) AS severe_speed,
+  count(*) FILTER (d > 0 AND d < 150) AS duration_errors, count(*) FILTER (w > 16) AS overlong FROM loaded GROUP BY 1"""
 )
 def guard_counters(spark, d):
     return audit.guard_summary(V.conv_cues(spark, d))
 
 
 @query(
-    rf"""WITH {V.CONV_CUES}, f AS (SELECT *, trim(regexp_replace(regexp_replace(lower(text), '[^a-z''\s]', ' ', 'g'), '\s+', ' ', 'g')) AS k FROM conv_cues)
-SELECT file_id, ord, dur_ms <= 800 AND words >= 10 AND k NOT IN {_in(L.SHORT_ENGLISH_EDITOR)} AS high_load, false AS severe_speed, false AS speed_pressure,
-  CAST(greatest(4, floor(greatest(0.1, dur_ms / 1000) * 8)) AS BIGINT) AS target_chars,
-  CAST(greatest(6, floor(greatest(0.1, dur_ms / 1000) * 11)) AS BIGINT) AS most_chars,
-  CAST(least(1800, greatest(700, ceil(words / 5.0::DOUBLE * 1000))) AS BIGINT) AS target_ms FROM f"""
+    f"""WITH {V.CONV_CUES}, {_LOADED}, f AS (SELECT *, greatest(1, d) / 1000 AS sec FROM loaded)
+SELECT file_id, ord, rkey NOT IN {_in(L.SHORT_ENGLISH_EDITOR)} AND zkey NOT IN {_in(L.SHORT_CHINESE_EDITOR)} AND ((d <= 900 AND w >= 8 AND h >= 10)
+    OR (d <= 800 AND w >= 10) OR (d <= 800 AND w >= 4 AND h >= 16) OR (d <= 900 AND w >= 5 AND h >= 10 AND (w * 1.35::DOUBLE + h) / sec > 24)) AS high_load,
+  d >= 900 AND h >= 12 AND h / sec > 11 AS severe_speed, h >= 8 AND h / sec > 9 AS speed_pressure,
+  CAST(greatest(4, floor(greatest(0.1, d / 1000) * 8)) AS BIGINT) AS target_chars,
+  CAST(greatest(6, floor(greatest(0.1, d / 1000) * 11)) AS BIGINT) AS most_chars,
+  CAST(least(1800, greatest(700, ceil(w / 5.0::DOUBLE * 1000), ceil(h / 9.0::DOUBLE * 1000))) AS BIGINT) AS target_ms FROM f"""
 )
 def high_load_short(spark, d):
     return longs(audit.load_flags(V.conv_cues(spark, d)), "target_chars", "most_chars", "target_ms")
@@ -330,11 +362,6 @@ def time_overlaps(spark, d):
     return windows.time_overlaps(V.event_segs(spark, d)).select("file_id", "ord", "start_ms", "latest_end_ms")
 
 
-_SEMANTIC = r"""sem_a AS (SELECT *, CASE WHEN coalesce(regexp_matches(lag(text) OVER (PARTITION BY file_id ORDER BY ord), '[.!?]\s*$'), true) THEN 1 ELSE 0 END AS o FROM conv_cues),
-sem_b AS (SELECT *, sum(o) OVER (PARTITION BY file_id ORDER BY ord) AS island FROM sem_a),
-sem_c AS (SELECT *, (row_number() OVER (PARTITION BY file_id, island ORDER BY ord) - 1) // 4 AS k FROM sem_b),
-sem AS (SELECT *, dense_rank() OVER (PARTITION BY file_id ORDER BY island, k) AS group_no FROM sem_c)"""
-
 
 @query(
     f"""WITH {V.CONV_CUES}, {_SEMANTIC} SELECT file_id, group_no, min(ord) AS first_ord, count(*) AS n_rows, min(start_ms) AS start_ms, max(end_ms) AS end_ms,
@@ -687,10 +714,11 @@ def frozen_order(spark, d):
     return longs(c.join(frozen, ["file_id", "ord"], "left").select("file_id", "ord", F.row_number().over(w).alias("place")), "place")
 
 
-@query(f"WITH {V.DOC_WORDS}, m AS (SELECT *, lag(end_ms) OVER (PARTITION BY file_id ORDER BY word_id) AS le FROM doc_words) SELECT file_id, word_id, start_ms, le FROM m WHERE le > start_ms")
+@query(f"WITH {V.DOC_WORDS}, m AS (SELECT *, lag(end_ms + CASE WHEN word_id % 50 = 7 THEN 500 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY word_id) AS le FROM doc_words) SELECT file_id, word_id, start_ms, le FROM m WHERE le > start_ms")
 def ledger_monotonic(spark, d):
     w = Window.partitionBy("file_id").orderBy("word_id")
-    return V.doc_words(spark, d).withColumn("le", F.lag("end_ms").over(w)).where("le > start_ms").select("file_id", "word_id", "start_ms", "le")
+    late = F.col("end_ms") + F.when(F.col("word_id") % 50 == 7, 500).otherwise(0)  # each fiftieth word ends too late
+    return V.doc_words(spark, d).withColumn("le", F.lag(late).over(w)).where("le > start_ms").select("file_id", "word_id", "start_ms", "le")
 
 
 # -- explode --------------------------------------------------------------------------------------
@@ -964,13 +992,13 @@ def cache_lookup(spark, d):
 
 @query(
     """WITH a AS (SELECT o_custkey AS k, o_orderkey AS v, o_orderdate AS t, 0 AS n FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, o_orderdate, 1 FROM orders WHERE o_orderkey % 2 = 1)
-SELECT k, t AS updated_at FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t DESC, n DESC) AS r FROM a) WHERE r = 1"""
+SELECT k, v, t AS updated_at FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t DESC, n DESC, v DESC) AS r FROM a) WHERE r = 1"""
 )
 def cache_upsert(spark, d):
     from scriptloom.operators import cache
 
     o = V.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_orderdate").alias("updated_at"))
-    return cache.upsert(o.where("v % 2 = 0"), o.where("v % 2 = 1"), ["k"]).select("k", "updated_at")
+    return cache.upsert(o.where("v % 2 = 0"), o.where("v % 2 = 1"), ["k"], ties=("v",)).select("k", "v", "updated_at")
 
 
 @query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY")

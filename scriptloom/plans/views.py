@@ -5,7 +5,7 @@ All arithmetic is on integers. Each SQL text is a list of common table expressio
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptloom.functions import text as T
@@ -19,8 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+#: Fixed letters of the made-up translation: one Han character for each of a to z, and stops.
+HAN_FROM, HAN_TO = "abcdefghijklmnopqrstuvwxyz.,!?", "在是个了的而把为时他她我们不有就吗这因上来到看大里出。，！？"
+
+
+def han_translation(text: Column, ord_: Column) -> Column:
+    """A made-up Chinese text: two letters of each word, of each third row all letters, as Han characters."""
+    short = F.regexp_replace(text, "([A-Za-z]{1,2})[A-Za-z]*", "$1")
+    kept = F.translate(F.lower(F.when(ord_ % 3 == 0, text).otherwise(short)), HAN_FROM, HAN_TO)
+    return F.concat(
+        F.when(ord_ % 7 == 1, "急剧飙升因为").when(ord_ % 7 == 2, "明显改善的").otherwise(""), F.regexp_replace(kept, "[^一-鿿。，！？]", "")
+    )
+
+
 def conv_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One cue per sentence of each conversation turn, laid end to end with pauses."""
+    """One cue per sentence of each conversation turn, laid end to end with pauses; each eleventh is very short."""
     rows = (
         table(spark, sf_dir, "conversations")
         .select("conv_id", "turn", "role", F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("k", "s"))
@@ -34,14 +47,17 @@ def conv_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     timed = rows.withColumn("words", T.word_count(F.col("text")).cast("long")).withColumn(
-        "dur_ms", F.greatest(F.lit(300).cast("long"), F.col("words") * 260)
+        "dur_ms",
+        F.when(F.col("ord") % 11 == 3, F.greatest(F.lit(120).cast("long"), F.col("words") * 45)).otherwise(
+            F.greatest(F.lit(300).cast("long"), F.col("words") * 260)
+        ),
     )
     timed = timed.withColumn("gap_ms", (F.col("file_id") * 7 + F.col("ord") * 131) % 2600)
     before = Window.partitionBy("file_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     return (
         timed.withColumn("start_ms", F.coalesce(F.sum(F.col("dur_ms") + F.col("gap_ms")).over(before), F.lit(0)))
         .withColumn("end_ms", F.col("start_ms") + F.col("dur_ms"))
-        .withColumn("translated_text", F.when(F.col("ord") % 5 == 4, "").otherwise(F.substring("text", 1, 40)))
+        .withColumn("translated_text", F.when(F.col("ord") % 5 == 4, "").otherwise(han_translation(F.col("text"), F.col("ord"))))
     )
 
 
@@ -54,11 +70,12 @@ cue_text AS (
 cue_dur AS (
   SELECT *, CAST(len(regexp_extract_all(text, '{SQL_WORD}')) AS BIGINT) AS words FROM cue_text WHERE text <> ''),
 cue_gap AS (
-  SELECT *, greatest(300, words * 260) AS dur_ms, (file_id * 7 + ord * 131) % 2600 AS gap_ms FROM cue_dur),
+  SELECT *, CASE WHEN ord % 11 = 3 THEN greatest(120, words * 45) ELSE greatest(300, words * 260) END AS dur_ms, (file_id * 7 + ord * 131) % 2600 AS gap_ms FROM cue_dur),
 cue_start AS (
   SELECT *, CAST(coalesce(sum(dur_ms + gap_ms) OVER (PARTITION BY file_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms FROM cue_gap),
 conv_cues AS (
-  SELECT *, start_ms + dur_ms AS end_ms, CASE WHEN ord % 5 = 4 THEN '' ELSE substr(text, 1, 40) END AS translated_text FROM cue_start)"""
+  SELECT *, start_ms + dur_ms AS end_ms, CASE WHEN ord % 5 = 4 THEN '' ELSE CASE ord % 7 WHEN 1 THEN '急剧飙升因为' WHEN 2 THEN '明显改善的' ELSE '' END || regexp_replace(translate(lower(
+    CASE WHEN ord % 3 = 0 THEN text ELSE regexp_replace(text, '([A-Za-z]{{1,2}})[A-Za-z]*', '\1', 'g') END), '{HAN_FROM}', '{HAN_TO}'), '[^一-鿿。，！？]', '', 'g') END AS translated_text FROM cue_start)"""
 
 
 def event_segs(spark: SparkSession, sf_dir: str) -> DataFrame:
