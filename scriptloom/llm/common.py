@@ -38,20 +38,22 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see.
+    """Folder that the driver and all executors see: the cluster names it in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests in
-    local mode, one machine) a temporary folder takes its place.
+    Only in local mode (tests, one machine) a temporary folder may take its place.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or ""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="scriptloom-")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint: it survives lost executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark) or tempfile.mkdtemp(prefix="scriptloom-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

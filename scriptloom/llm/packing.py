@@ -28,10 +28,11 @@ from scriptloom.llm.tokens import word_ids
 
 WINDOW = 2048
 END_ID = 1
-#: Most combinations that NNLS may weigh, and its sweeps over them.
+#: Most combinations that NNLS may weigh, and its sweeps over them: bounds of the search for little
+#: padding. Every piece is packed whatever they are, what the plan leaves by the greedy part.
 MAX_COMBINATIONS, SWEEPS = 12_000, 60
 #: Pieces of one length that are ranked in one task.
-RANK_PART = 2_000
+RANK_PART = 500
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -194,7 +195,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
         spark.createDataFrame(rows, "length long, first long, until long, sequence long, times long, at long")
     )
     salted = cuts.join(parts, "length").withColumn(
-        "part", F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")).cast("int")
+        "part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("parts")).cast("int")
     )
     sizes = salted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
