@@ -80,19 +80,27 @@ def near_sizes(windows: DataFrame, terms: DataFrame, tolerance: int = 1) -> Data
     return windows.join(spread, "size")
 
 
+#: Grams of items that may be broadcast (24 bytes each); more are joined by a shuffle.
+BROADCAST_GRAMS = 2_000_000
+
+
 def ngram_matches(items: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """Exact occurrences of the items' token n-grams in texts, by equality (J04-J07 without cursor).
+    """Occurrences of the items' token n-grams in texts, by equality (J04-J07 without cursor).
 
-    Both sides: ``id, tokens``. Returns ``item_id, text_id, item_pos, text_pos``.
+    Both sides: ``id, tokens``. Returns ``item_id, text_id, item_pos, text_pos``. Grams are equal if
+    two 64-bit hashes of theirs are; strings are neither built nor shuffled. The items' grams, where
+    a count finds them few, are broadcast, and then the texts don't move at all.
     """
 
     def grams(df: DataFrame, name: str) -> DataFrame:
-        at = F.sequence(F.lit(0), F.size("tokens") - n)
-        gram = lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("tokens", i + 1, F.lit(n)), " ").alias("gram"))
-        return (
-            df.where(F.size("tokens") >= n)
-            .select(F.col("id").alias(f"{name}_id"), F.explode(F.transform(at, gram)).alias("g"))
-            .select(f"{name}_id", F.col("g.pos").alias(f"{name}_pos"), "g.gram")
+        hashed = df.where(F.size("tokens") >= n).select("id", F.transform("tokens", lambda x: F.xxhash64(x)).alias("h"))
+        part = lambda i: F.slice("h", i + 1, F.lit(n))
+        gram = lambda i: F.struct(i.alias("pos"), F.xxhash64(part(i)).alias("g1"), F.xxhash64(F.lit(n), part(i)).alias("g2"))
+        at = F.sequence(F.lit(0), F.size("h") - n)
+        return hashed.select(F.col("id").alias(f"{name}_id"), F.explode(F.transform(at, gram)).alias("g")).select(
+            f"{name}_id", F.col("g.pos").alias(f"{name}_pos"), "g.g1", "g.g2"
         )
 
-    return grams(items, "item").join(grams(texts, "text"), "gram").select("item_id", "text_id", "item_pos", "text_pos")
+    wanted = grams(items, "item")
+    few = wanted.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    return grams(texts, "text").join(F.broadcast(wanted) if few else wanted, ["g1", "g2"]).select("item_id", "text_id", "item_pos", "text_pos")

@@ -181,9 +181,12 @@ def boundary_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def restored_words(words: DataFrame, rows: DataFrame, min_missing_ms: int = 700, most_words: int = 18) -> DataFrame:
-    """Rows for stretches of words that no row covers."""
-    covered = rows.select(F.col("file_id").alias("f"), F.col("word_start").alias("a"), F.col("word_end").alias("b"))
-    loose = words.join(covered, (F.col("file_id") == F.col("f")) & F.col("word_id").between(F.col("a"), F.col("b")), "left_anti")
+    """Rows for stretches of words that no row covers.
+
+    The rows' ranges are spelled out as word ids, so words leave by equality: no more rows than words.
+    """
+    covered = rows.where("word_start <= word_end").select("file_id", F.explode(F.sequence("word_start", "word_end")).alias("word_id"))
+    loose = words.join(covered.distinct(), ["file_id", "word_id"], "left_anti")
     w = Window.partitionBy("file_id").orderBy("word_id")
     islands = loose.withColumn("island", F.col("word_id") - F.row_number().over(w))
     own = Window.partitionBy("file_id", "island").orderBy("word_id")
