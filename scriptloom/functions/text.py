@@ -227,7 +227,7 @@ def clean_article(text: Column, most: int = 20000) -> Column:
 
 
 def phonetic_key(text: Column) -> Column:
-    """Spelling-insensitive key: digraphs folded, vowels one class, runs collapsed."""
+    """Spelling-insensitive key: digraphs folded, vowels one class, runs collapsed."""
     t = compact_text(text)
     for a, b in (("ph", "f"), ("ck", "k"), ("q", "k"), ("x", "ks"), ("z", "s"), ("c", "k"), ("w", "v"), ("gh", "g")):
         t = F.replace(t, F.lit(a), F.lit(b))
@@ -292,6 +292,7 @@ def is_word_row(text: Column) -> Column:
 
 
 def only_marks(text: Column) -> Column:
+    """No letter, digit or underscore in any script."""
     return ~blank(text).rlike(r"(?U)\w")
 
 
@@ -418,13 +419,14 @@ def edge_overlap(tokens: Column, canonical: Column, prefix: bool) -> Column:
 
 
 def abbreviation_boundary(previous: Column, current: Column) -> Column:
+    """A title or abbreviation before a name."""
     return F.trim(blank(previous)).rlike(r"\b(?:St|Mt|Mr|Mrs|Ms|Dr|Prof|Jr|Sr)\.$") & F.trim(blank(current)).rlike(
         r"^[A-Z][A-Za-z'-]{2,}\b"
     )
 
 
 def safe_boundary(previous: Column, current: Column) -> Column:
-    """Two rows that may part here whatever the neighbouring words."""
+    """Two rows that may part here whatever the neighbouring words."""
     p, c = F.trim(blank(previous)), F.trim(blank(current))
     key = response_key(c)
     ends = sentence_end(p)
@@ -435,6 +437,7 @@ def safe_boundary(previous: Column, current: Column) -> Column:
 
 
 def looks_like_subject(text: Column) -> Column:
+    """Ends with a name of two words or a pronoun."""
     words = _all(blank(text), r"\b[A-Za-z][A-Za-z'-]*\b")
     n = F.size(words)
     last, before = F.get(words, n - 1), F.get(words, n - 2)

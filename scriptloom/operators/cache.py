@@ -15,6 +15,7 @@ def cache_key(content: Column, params: Column | None = None) -> Column:
 
 
 def crc_key(data: Column) -> Column:
+    """CRC-32 of the content as eight hex digits."""
     return F.lpad(F.lower(F.hex(F.crc32(data))), 8, "0")
 
 

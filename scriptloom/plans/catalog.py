@@ -655,6 +655,7 @@ def nearest_rank_quantile(spark, d):
 
 @query(f"WITH {V.USAGE_LOG} SELECT operation || '_' || service AS key, count(*) AS call_count, CAST(sum(tokens) AS BIGINT) AS token_count FROM usage_log GROUP BY 1")
 def usage_counters(spark, d):
+    """Calls and tokens per operation and service, keyed by both."""
     u = V.usage_log(spark, d)
     return u.groupBy(F.concat_ws("_", "operation", "service").alias("key")).agg(F.count(F.lit(1)).alias("call_count"), F.sum("tokens").alias("token_count"))
 
@@ -664,12 +665,14 @@ def usage_counters(spark, d):
 SELECT event_id, service, k <= 20 AS granted FROM r"""
 )
 def daily_quota(spark, d):
+    """Calls of a day up to the limit."""
     w = Window.partitionBy("service", "usage_date").orderBy("ts", "event_id")
     return V.usage_log(spark, d).select("event_id", "service", (F.row_number().over(w) <= 20).alias("granted"))
 
 
 @query(f"WITH {V.USAGE_LOG} SELECT service, CAST(usage_date AS VARCHAR) AS usage_date, greatest(0, 20 - count(*)) AS remaining, count(*) < 20 AS available FROM usage_log GROUP BY 1, 2")
 def remaining_quota(spark, d):
+    """What a day's limit leaves."""
     n = F.count(F.lit(1))
     return V.usage_log(spark, d).groupBy("service", F.col("usage_date").cast("string").alias("usage_date")).agg(
         F.greatest(F.lit(0).cast("long"), 20 - n).alias("remaining"), (n < 20).alias("available")
@@ -708,6 +711,7 @@ def stable_sort_nulls_last(spark, d):
 SELECT c.file_id, c.ord, row_number() OVER (PARTITION BY c.file_id ORDER BY frozen NULLS LAST, c.ord) AS place FROM conv_cues c LEFT JOIN f USING (file_id, ord)"""
 )
 def frozen_order(spark, d):
+    """Rows by their frozen place, unknown ones last."""
     c = V.conv_cues(spark, d).select("file_id", "ord")
     frozen = c.where("ord % 9 <> 0").withColumn("frozen", (F.col("ord") * 37) % 101)
     w = Window.partitionBy("file_id").orderBy(F.col("frozen").asc_nulls_last(), "ord")
