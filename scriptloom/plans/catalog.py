@@ -823,14 +823,30 @@ def semantic_groups_greedy(spark, d):
     return _seq(V.conv_cues(spark, d), ["ord", "text"], S.packed_groups(36), "ord long, group_id long", ("ord",))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {V.CONV_CUES}, n AS (SELECT file_id, ord, start_ms, end_ms, row_number() OVER (PARTITION BY file_id ORDER BY start_ms, ord) AS r FROM conv_cues),
+g AS (SELECT file_id, ord, r, CAST(0 AS BIGINT) AS chunk, start_ms AS opened FROM n WHERE r = 1
+  UNION ALL SELECT n.file_id, n.ord, n.r, g.chunk + CASE WHEN n.end_ms - g.opened > 30000 THEN 1 ELSE 0 END, CASE WHEN n.end_ms - g.opened > 30000 THEN n.start_ms ELSE g.opened END
+    FROM g JOIN n ON n.file_id = g.file_id AND n.r = g.r + 1)
+SELECT file_id, ord, chunk FROM g"""
+)
 def duration_chunks(spark, d):
     from scriptloom.operators import sequential as S
 
     return _seq(V.conv_cues(spark, d), ["ord", "start_ms", "end_ms"], S.duration_chunks(30000), "ord long, chunk long")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {V.CONV_CUES}, a AS (SELECT file_id, ord, greatest(0, start_ms) AS s, greatest(end_ms, greatest(0, start_ms) + 1) AS e, row_number() OVER w AS r,
+  greatest(0, coalesce(lead(start_ms) OVER w, 1000000000000)) AS ns FROM conv_cues WINDOW w AS (PARTITION BY file_id ORDER BY start_ms, ord)),
+n AS (SELECT *, greatest(e, ns - 40) AS room, ns - e > 0 AND ns - e <= CASE WHEN e - s < 700 THEN 2200 ELSE 800 END AS bridged, greatest(0, s - 40) AS early FROM a),
+g AS (SELECT file_id, CAST(NULL AS BIGINT) AS ord, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS x, CAST(-40 AS BIGINT) AS y FROM n WHERE r = 1
+  UNION ALL SELECT file_id, ord, r, x, greatest(y, x + 1) FROM (
+    SELECT file_id, ord, r, CASE WHEN y - 700 >= free THEN least(x, y - 700) ELSE x END AS x, y FROM (
+      SELECT file_id, ord, r, free, x, greatest(CASE WHEN bridged THEN room ELSE least(e + 260, room) END, least(x + 700, room)) AS y FROM (
+        SELECT n.*, g.y + 40 AS free, CASE WHEN n.early >= g.y + 40 THEN n.early ELSE n.s END AS x FROM g JOIN n ON n.file_id = g.file_id AND n.r = g.r + 1))))
+SELECT file_id, ord, x AS start_ms, y AS end_ms FROM g WHERE r > 0"""
+)
 def display_padding(spark, d):
     from scriptloom.operators import sequential as S
 
@@ -851,14 +867,35 @@ def high_load_extension(spark, d):
     return _seq(V.conv_cues(spark, d), ["ord", "start_ms", "end_ms", "text", "translated_text"], S.extend_high_load, _TIMED)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {V.EVENT_SEGS}, n AS (SELECT file_id, ord, start_ms, end_ms, row_number() OVER w AS r, lead(start_ms) OVER w AS ns FROM event_segs WINDOW w AS (PARTITION BY file_id ORDER BY start_ms, ord)),
+g AS (SELECT file_id, ord, r, start_ms AS s, CASE WHEN ns IS NULL THEN end_ms ELSE least(end_ms, greatest(start_ms + 120, ns - 40)) END AS e FROM n WHERE r = 1
+  UNION ALL SELECT file_id, ord, r, s, CASE WHEN ns IS NULL THEN e ELSE least(e, greatest(s + 120, ns - 40)) END FROM (
+    SELECT file_id, ord, r, ns, s, CASE WHEN end_ms <= s THEN s + 120 ELSE end_ms END AS e FROM (
+      SELECT n.file_id, n.ord, n.r, n.ns, n.end_ms, CASE WHEN n.start_ms <= g.e THEN g.e + 40 ELSE n.start_ms END AS s FROM g JOIN n ON n.file_id = g.file_id AND n.r = g.r + 1)))
+SELECT file_id, ord, s AS start_ms, e AS end_ms FROM g"""
+)
 def clip_sequence(spark, d):
     from scriptloom.operators import sequential as S
 
     return _seq(V.event_segs(spark, d), ["ord", "start_ms", "end_ms"], S.clip_sequence(), _TIMED)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {V.CONV_CUES}, n AS (SELECT file_id, ord, start_ms, end_ms, row_number() OVER w AS r, lead(start_ms) OVER w AS ns0, lead(end_ms) OVER w AS ne,
+  greatest(0, coalesce(lead(start_ms) OVER w, 1000000000000)) AS ns FROM conv_cues WINDOW w AS (PARTITION BY file_id ORDER BY start_ms, ord)),
+g AS (SELECT file_id, CAST(NULL AS BIGINT) AS ord, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS x, CAST(-40 AS BIGINT) AS y, start_ms AS nxt FROM n WHERE r = 1
+  UNION ALL SELECT file_id, ord, r,
+    CASE way WHEN 1 THEN low WHEN 2 THEN low WHEN 3 THEN high - 700 WHEN 4 THEN free ELSE s END,
+    CASE way WHEN 1 THEN low + 700 WHEN 2 THEN low + 700 WHEN 3 THEN high WHEN 4 THEN room ELSE end_ms END,
+    CASE way WHEN 2 THEN low + 740 ELSE ns0 END FROM (
+    SELECT *, CASE WHEN high - low >= 700 THEN 0 WHEN low + 740 <= ns THEN 1 WHEN ne - (low + 740) >= 800 THEN 2 WHEN high - 700 >= free THEN 3
+      WHEN room - free > high - low THEN 4 ELSE 0 END AS way FROM (
+      SELECT *, greatest(high, ns - 40) AS room FROM (
+        SELECT *, greatest(low + 1, end_ms) AS high FROM (
+          SELECT n.*, g.nxt AS s, greatest(0, g.nxt) AS low, greatest(0, g.y) + CASE WHEN g.r = 0 THEN 0 ELSE 40 END AS free FROM g JOIN n ON n.file_id = g.file_id AND n.r = g.r + 1)))))
+SELECT file_id, ord, x AS start_ms, y AS end_ms FROM g WHERE r > 0"""
+)
 def pad_ultra_short(spark, d):
     from scriptloom.operators import sequential as S
 
@@ -887,7 +924,13 @@ def merge_backward(spark, d):
     return _seq(V.conv_cues(spark, d), ["ord", "start_ms", "end_ms", "text"], S.merge_backward, f"{_TIMED}, text string", order)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {V.EVENT_SEGS}, n AS (SELECT file_id, ord, start_ms, end_ms, row_number() OVER (PARTITION BY file_id ORDER BY start_ms, ord) AS r FROM event_segs),
+g AS (SELECT file_id, ord, r, greatest(start_ms, 0) AS s, CASE WHEN end_ms > greatest(start_ms, 0) THEN end_ms ELSE greatest(start_ms, 0) + 500 END AS e FROM n WHERE r = 1
+  UNION ALL SELECT n.file_id, n.ord, n.r, greatest(n.start_ms, g.e), CASE WHEN n.end_ms > greatest(n.start_ms, g.e) THEN n.end_ms ELSE greatest(n.start_ms, g.e) + 500 END
+    FROM g JOIN n ON n.file_id = g.file_id AND n.r = g.r + 1)
+SELECT file_id, ord, s AS start_ms, e AS end_ms FROM g"""
+)
 def monotone_times(spark, d):
     from scriptloom.operators import sequential as S
 
@@ -1056,7 +1099,10 @@ def json_repair(spark, d):
     return e.select("event_id", F.get_json_object(repaired(damaged), "$.k").alias("k"), F.get_json_object("props", "$.k").alias("expected"))
 
 
-@query()
+@query(
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, CAST(sum(CAST(trunc(value) AS BIGINT)) AS BIGINT) AS tokens
+FROM events GROUP BY 1, 2"""
+)
 def window_counts(spark, d):
     from scriptloom.streaming.sessions import window_counts as count
 
