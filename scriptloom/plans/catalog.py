@@ -371,7 +371,36 @@ def semantic_groups_audit(spark, d):
     return windows.group_text(windows.semantic_groups(V.conv_cues(spark, d)))
 
 
-@query()
+_REASONS = [
+    ("abbreviation_name_split", "abbr"),
+    ("preposition_object_split", f"l IN {_in(L.PREPOSITIONS)}"),
+    ("determiner_noun_split", f"l IN {_in(L.DETERMINERS)}"),
+    ("auxiliary_predicate_split", f"l IN {_in(L.AUXILIARIES)} AND ends_with(r, 'ing')"),
+    ("be_complement_split", f"l IN {_in(L.BE_FORMS)} AND r IN ('to', 'forced', 'trying', 'rapidly')"),
+    ("to_infinitive_split", "l IN ('forced', 'trying', 'able', 'going') AND r = 'to'"),
+    ("phrasal_verb_split", f"ends_with(l, 'ing') AND r IN {_in(L.PARTICLES)}"),
+    ("verb_object_split", f"l IN {_in(L.OBJECT_VERBS)} AND r IN {_in([*L.DETERMINERS, *L.ADJECTIVES, *L.COMMON_NOUNS])}"),
+    ("verb_preposition_split", f"l IN {_in(L.LOOK_FORMS)} AND r = 'at'"),
+    ("modifier_head_split", f"l IN {_in(L.ADJECTIVES)} AND r IN {_in([*L.ADJECTIVES, *L.COMMON_NOUNS])}"),
+    ("verb_particle_split", f"l2 IN {_in(L.BE_FORMS)} AND ends_with(l, 'ing') AND r IN {_in(L.PARTICLES)}"),
+    ("subject_predicate_split", "r IN ('are', 'is', 'was', 'were') AND subject"),
+    ("possessive_head_split", "ends_with(l, '''s') OR ends_with(l, 's''')"),
+]
+
+
+@query(
+    rf"""WITH {V.CONV_CUES}, near AS (SELECT file_id, ord, trim(text) AS c, trim(lag(text) OVER (PARTITION BY file_id ORDER BY ord)) AS p FROM conv_cues),
+tokens AS (SELECT *, regexp_extract_all(lower(p), '{V.SQL_WORD}') AS a, regexp_extract_all(lower(c), '{V.SQL_WORD}') AS b, regexp_extract_all(p, '\b[A-Za-z][A-Za-z''-]*\b') AS w,
+  trim(regexp_replace(regexp_replace(lower(c), '[^a-z''\s]', ' ', 'g'), '\s+', ' ', 'g')) AS k, trim(regexp_replace(lower(p), '[^a-z''\s]', ' ', 'g')) AS pk FROM near WHERE p IS NOT NULL),
+edges AS (SELECT *, a[len(a)] AS l, coalesce(a[len(a) - 1], '') AS l2, b[1] AS r, regexp_matches(p, '[.!?]\s*$') AS closed,
+  regexp_matches(p, '\b(?:St|Mt|Mr|Mrs|Ms|Dr|Prof|Jr|Sr)\.$') AND regexp_matches(c, '^[A-Z][A-Za-z''-]{{2,}}\b') AS abbr,
+  len(w) > 0 AND ((len(w) >= 2 AND regexp_matches(w[len(w)], '^[A-Z]') AND regexp_matches(w[len(w) - 1], '^[A-Z]')) OR lower(w[len(w)]) IN {_in(L.PRONOUNS)}) AS subject FROM tokens),
+open_ AS (SELECT * FROM edges WHERE p <> '' AND c <> '' AND len(a) > 0 AND len(b) > 0 AND NOT (NOT abbr AND ((closed AND regexp_matches(k, '^(?:but |wow|what do you mean|well )'))
+  OR (closed AND (len(a) <= 5 OR len(b) <= 3)) OR pk IN {_in(L.SAFE_RESPONSES)} OR k IN {_in(L.SAFE_RESPONSES)}))),
+found AS (SELECT file_id, ord, list_filter([{", ".join(f"CASE WHEN {rule} THEN '{code}' END" for code, rule in _REASONS)}], lambda x: x IS NOT NULL) AS f FROM open_),
+scored AS (SELECT file_id, ord, array_to_string(f, ',') AS reasons, CAST(round(least(0.95, 0.65 + 0.12 * len(f)), 2) AS DOUBLE) AS confidence_score FROM found WHERE len(f) > 0)
+SELECT *, CASE WHEN confidence_score >= 0.75 THEN 'high' ELSE 'medium' END AS confidence FROM scored"""
+)
 def syntax_boundaries(spark, d):
     rows = windows.boundary_issues(V.conv_cues(spark, d))
     return rows.select("file_id", "ord", F.array_join("reasons", ",").alias("reasons"), "confidence", "confidence_score")
