@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptloom.functions import boundary_words as BW
 from scriptloom.functions import lexicons as L
 
 
@@ -445,8 +446,11 @@ def looks_like_subject(text: Column) -> Column:
     return F.coalesce((n > 0) & (names | among(F.lower(last), L.PRONOUNS)), F.lit(False))
 
 
-def boundary_reasons(previous: Column, current: Column) -> Column:
-    """Codes of the syntax that a boundary between two rows would break, in fixed order."""
+def boundary_reasons(previous: Column, current: Column, editor: bool = False) -> Column:
+    """Codes of the syntax that a boundary between two rows would break, in fixed order.
+
+    The editor's profile also protects names and phrasal verbs (W12).
+    """
     p, c = F.trim(blank(previous)), F.trim(blank(current))
     left, right = word_tokens(p), word_tokens(c)
     last, first = F.get(left, F.size(left) - 1), F.get(right, 0)
@@ -466,6 +470,12 @@ def boundary_reasons(previous: Column, current: Column) -> Column:
         ("subject_predicate_split", among(first, ["are", "is", "was", "were"]) & looks_like_subject(p)),
         ("possessive_head_split", last.endswith("'s") | last.endswith("s'")),
     ]
+    if editor:
+        pair = F.concat_ws(" ", last, first)
+        rules[1:1] = [
+            ("protected_named_phrase_split", among(pair, BW.NAMED_PAIRS)),
+            ("protected_phrasal_boundary_split", among(pair, BW.PHRASAL_PAIRS)),
+        ]
     codes = F.array_compact(F.array(*[F.when(rule, F.lit(code)) for code, rule in rules]))
     open_ = (p != "") & (c != "") & (F.size(left) > 0) & (F.size(right) > 0) & ~safe_boundary(p, c)
     return F.when(open_, codes).otherwise(F.array().cast("array<string>"))

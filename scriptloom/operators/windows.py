@@ -135,11 +135,11 @@ def group_text(grouped: DataFrame) -> DataFrame:
     )
 
 
-def boundary_issues(rows: DataFrame) -> DataFrame:
-    """Neighbours with broken syntax: reasons and confidence."""
+def boundary_issues(rows: DataFrame, editor: bool = False) -> DataFrame:
+    """Neighbours with broken syntax: reasons and confidence (W10-W13), by the audit's or the editor's profile."""
     w = ordered(order=("ord",))
     joined = rows.withColumns({"previous": F.lag("text").over(w), "from_ord": F.lag("ord").over(w)}).where("previous is not null")
-    reasons = joined.withColumn("reasons", T.boundary_reasons(F.col("previous"), F.col("text"))).where(F.size("reasons") > 0)
+    reasons = joined.withColumn("reasons", T.boundary_reasons(F.col("previous"), F.col("text"), editor)).where(F.size("reasons") > 0)
     score = F.least(F.lit(0.95), 0.65 + 0.12 * F.size("reasons"))
     return reasons.withColumn("confidence_score", F.round(score, 2)).withColumn(
         "confidence", F.when(F.col("confidence_score") >= 0.75, "high").otherwise("medium")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptloom.functions import boundary_words as BW
 from scriptloom.functions import lexicons as L
 from scriptloom.functions import text as T
 from scriptloom.operators import audit, intervals, joins, setops, windows
@@ -388,8 +389,8 @@ _REASONS = [
 ]
 
 
-@query(
-    rf"""WITH {V.CONV_CUES}, near AS (SELECT file_id, ord, trim(text) AS c, trim(lag(text) OVER (PARTITION BY file_id ORDER BY ord)) AS p FROM conv_cues),
+def _syntax_sql(reasons: list[tuple[str, str]]) -> str:
+    return rf"""WITH {V.CONV_CUES}, near AS (SELECT file_id, ord, trim(text) AS c, trim(lag(text) OVER (PARTITION BY file_id ORDER BY ord)) AS p FROM conv_cues),
 tokens AS (SELECT *, regexp_extract_all(lower(p), '{V.SQL_WORD}') AS a, regexp_extract_all(lower(c), '{V.SQL_WORD}') AS b, regexp_extract_all(p, '\b[A-Za-z][A-Za-z''-]*\b') AS w,
   trim(regexp_replace(regexp_replace(lower(c), '[^a-z''\s]', ' ', 'g'), '\s+', ' ', 'g')) AS k, trim(regexp_replace(lower(p), '[^a-z''\s]', ' ', 'g')) AS pk FROM near WHERE p IS NOT NULL),
 edges AS (SELECT *, a[len(a)] AS l, coalesce(a[len(a) - 1], '') AS l2, b[1] AS r, regexp_matches(p, '[.!?]\s*$') AS closed,
@@ -397,15 +398,31 @@ edges AS (SELECT *, a[len(a)] AS l, coalesce(a[len(a) - 1], '') AS l2, b[1] AS r
   len(w) > 0 AND ((len(w) >= 2 AND regexp_matches(w[len(w)], '^[A-Z]') AND regexp_matches(w[len(w) - 1], '^[A-Z]')) OR lower(w[len(w)]) IN {_in(L.PRONOUNS)}) AS subject FROM tokens),
 open_ AS (SELECT * FROM edges WHERE p <> '' AND c <> '' AND len(a) > 0 AND len(b) > 0 AND NOT (NOT abbr AND ((closed AND regexp_matches(k, '^(?:but |wow|what do you mean|well )'))
   OR (closed AND (len(a) <= 5 OR len(b) <= 3)) OR pk IN {_in(L.SAFE_RESPONSES)} OR k IN {_in(L.SAFE_RESPONSES)}))),
-found AS (SELECT file_id, ord, list_filter([{", ".join(f"CASE WHEN {rule} THEN '{code}' END" for code, rule in _REASONS)}], lambda x: x IS NOT NULL) AS f FROM open_),
+found AS (SELECT file_id, ord, list_filter([{", ".join(f"CASE WHEN {rule} THEN '{code}' END" for code, rule in reasons)}], lambda x: x IS NOT NULL) AS f FROM open_),
 scored AS (SELECT file_id, ord, array_to_string(f, ',') AS reasons, CAST(round(least(0.95, 0.65 + 0.12 * len(f)), 2) AS DOUBLE) AS confidence_score FROM found WHERE len(f) > 0)
 SELECT *, CASE WHEN confidence_score >= 0.75 THEN 'high' ELSE 'medium' END AS confidence FROM scored"""
-)
+
+
+@query(_syntax_sql(_REASONS))
 def syntax_boundaries(spark, d):
     rows = windows.boundary_issues(V.conv_cues(spark, d))
     return rows.select("file_id", "ord", F.array_join("reasons", ",").alias("reasons"), "confidence", "confidence_score")
 
 
+_EDITOR_REASONS = [
+    _REASONS[0],
+    ("protected_named_phrase_split", f"(l || ' ' || r) IN {_in(BW.NAMED_PAIRS)}"),
+    ("protected_phrasal_boundary_split", f"(l || ' ' || r) IN {_in(BW.PHRASAL_PAIRS)}"),
+    *_REASONS[1:],
+]
+
+
+@query(_syntax_sql(_EDITOR_REASONS))
+def editor_boundaries(spark, d):
+    rows = windows.boundary_issues(V.conv_cues(spark, d), editor=True)
+    return rows.select("file_id", "ord", F.array_join("reasons", ",").alias("reasons"), "confidence", "confidence_score")
+
+
 _W = V.SQL_WORD
 
 

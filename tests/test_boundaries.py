@@ -103,3 +103,12 @@ def test_dangling_han(spark):
     texts = {"他说这是因为": True, "我们在": True, "这" * 18 + "在": False, "当他来时": True, "事情发生时": True, "这是好的。": False, "意味着…": True, "": False}
     frame = spark.createDataFrame([(t,) for t in texts], "translated_text string").selectExpr("translated_text", f"{B.dangling_han(B.SPARK)} as bad")
     assert {r.translated_text: r.bad for r in frame.collect()} == texts
+
+
+def test_profiles(spark):
+    from scriptloom.functions import text as T
+
+    cases = [("they met on wall", "street today it was late", "protected_named_phrase_split"), ("the people were forced", "to leave the town at once", "protected_phrasal_boundary_split")]
+    frame = spark.createDataFrame(cases, "p string, c string, code string")
+    for r in frame.select("code", T.boundary_reasons(frame.p, frame.c, True).alias("editor"), T.boundary_reasons(frame.p, frame.c).alias("audit")).collect():
+        assert r.code in r.editor and r.code not in r.audit
