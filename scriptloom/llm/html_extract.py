@@ -14,8 +14,9 @@ with few pages.
 * A node whose combined importance is below ``LEAST_IMPORTANCE``, in its host's tree or in the
   shared one, is noise with all below it. Article and main elements are never removed as a whole,
   and where the tree would take more than ``MOST_TAKEN`` of a page's text, it takes nothing.
-* Pages with the same longest block of main text (by tags and names alone) count as one, so
-  mirrors, near copies, print views and repeated rows say nothing about importance.
+* Pages with the same longest block of main text (by tags and names alone) count as one, which
+  shows what any of them shows, so mirrors, near copies, print views and repeated rows say
+  nothing about importance.
 
 Tags and class names with a fixed meaning (navigation, adverts, forms, ...) are a prior: their
 importance is 0 whatever the trees say, as boilerplate may change from page to page. An article or
@@ -241,52 +242,36 @@ def main_text(html: str | None, noise_keys: frozenset = frozenset()) -> str:
     return extracted(html, noise_keys)[0]
 
 
-def _page_key(html: str | None) -> int:
-    """Hash of a page's longest block: equal for repeated rows, mirrors and other views of one content."""
-    _, blocks = _bounded(parse(html or ""))
-    longest = max(blocks, key=lambda b: (len(b), b), default="")
-    return xxhash.xxh64_intdigest(longest.encode("utf-8", "surrogatepass")) >> 1
+def page_values(html: str | None) -> tuple[int, set[tuple[int, int, int]]]:
+    """Hash of a page's longest block, and ``node, kind, value`` of its styles (0), contents (1) and nodes (2).
 
-
-def distinct_pages(pages: DataFrame) -> DataFrame:
-    """``host, html, shared``: one page of each host and longest block; of equal blocks on several
-    hosts one page is ``shared``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = pa.array([_page_key(html.as_py()) for html in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=["host", "html", "page"])
-
-    keyed = map_arrow(pages.select("host", "html"), run, "host string, html string, page long")
-    per_host = cut(keyed.groupBy("host", "page").agg(F.min("html").alias("html")))
-    first = per_host.groupBy("page").agg(F.min("host").alias("first_host"))
-    return per_host.join(first, "page").select("host", "html", (F.col("host") == F.col("first_host")).alias("shared"))
+    The hash is equal for repeated rows, mirrors and other views of one content.
+    """
+    blocks, styles = parse(html or "", nodes=True)
+    hashed = lambda t: xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1
+    longest = max(_bounded(blocks)[1], key=lambda b: (len(b), b), default="")
+    found = {(k, 0, s) for k, s in styles} | {(k, 1, hashed(t)) for t, k, _, _ in blocks} | {(k, 2, 0) for k, _ in styles}
+    return hashed(longest), found
 
 
 def node_values(pages: DataFrame) -> DataFrame:
-    """``host, shared, node, kind, value``: styles (0) and contents (1), each once per page and node,
-    and the node itself (2)."""
+    """``host, page, node, kind, value`` of :func:`page_values` for each of ``host, html``; html stays where it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, node, kind, value = [], [], [], []
-            for i, html in enumerate(batch.column(2)):
-                blocks, styles = parse(html.as_py() or "", nodes=True)
-                seen = {(k, 0, s) for k, s in styles}
-                seen.update((k, 1, xxhash.xxh64_intdigest(t) >> 1) for t, k, _, _ in blocks)
-                seen.update((k, 2, 0) for k, _ in styles)
-                for k, what, v in seen:
-                    row.append(i)
-                    node.append(k)
-                    kind.append(what)
-                    value.append(v)
-            at = pa.array(row, pa.int64())
+            row, rest = [], []
+            for i, html in enumerate(batch.column(1)):
+                page, found = page_values(html.as_py())
+                row += [i] * len(found)
+                rest += [(page, *x) for x in found]
+            columns = list(zip(*rest)) or [[], [], [], []]
+            kinds = (pa.int64(), pa.int64(), pa.int8(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(node, pa.int64()), pa.array(kind, pa.int8()), pa.array(value, pa.int64())],
-                names=["host", "shared", "node", "kind", "value"],
+                [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))],
+                names=["host", "page", "node", "kind", "value"],
             )
 
-    return map_arrow(pages.select("host", "shared", "html"), run, "host string, shared boolean, node long, kind byte, value long")
+    return map_arrow(pages.select("host", "html"), run, "host string, page long, node long, kind byte, value long")
 
 
 def importance(values: DataFrame, by: list[str]) -> DataFrame:
@@ -314,13 +299,10 @@ def noise_nodes(pages: DataFrame) -> DataFrame:
     ``pages`` has ``host, html``. Null html is an empty page; repeated rows count once; hosts
     without such nodes have no row, and an empty table gives an empty result.
     """
-    values = cut(
-        node_values(distinct_pages(pages))
-        .groupBy("host", "node", "kind", "value")
-        .agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("shared"), 1)).alias("n_shared"))
-    )
-    own = importance(values, ["host", "node"])
-    all_hosts = values.groupBy("node", "kind", "value").agg(F.sum("n_shared").alias("n")).where("n > 0")
+    values = cut(node_values(pages).distinct())
+    count = F.count(F.lit(1)).alias("n")
+    own = importance(values.groupBy("host", "node", "kind", "value").agg(count), ["host", "node"])
+    all_hosts = values.select("page", "node", "kind", "value").distinct().groupBy("node", "kind", "value").agg(count)
     low = importance(all_hosts, ["node"]).where(F.col("importance") < LEAST_IMPORTANCE).select("node", F.lit(True).alias("low"))
     return (
         own.join(low, "node", "left")

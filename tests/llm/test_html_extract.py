@@ -80,22 +80,25 @@ def test_repeated_branches_go(spark):
 
 def slow_noise(pages):
     """Noise nodes of each host by trees held in dictionaries."""
-    first = {}
-    for host, html in sorted(pages, key=lambda p: p[1]):
-        first.setdefault((host, S._page_key(html)), html)
-    hosts_of = {}
-    for host, key in first:
-        hosts_of[key] = min(host, hosts_of.get(key, host))
-    trees = {}
-    for (host, key), html in first.items():
+    shown = {}
+    for host, html in pages:
         blocks, styles = S.parse(html, nodes=True)
-        for tree in (host, None) if hosts_of[key] == host else (host,):
-            nodes = trees.setdefault(tree, {})
-            for k in {k for k, _ in styles}:
-                node = nodes.setdefault(k, ([0], Counter(), Counter()))
+        plain = S.main_text(html)
+        longest = max((b[0] for b in blocks if not b[2] and b[0] in plain), key=lambda t: (len(t), t), default="")
+        for tree in (host, None):
+            seen = shown.setdefault(tree, {}).setdefault(longest, set())
+            seen.update((k, 0, s) for k, s in styles)
+            seen.update((k, 1, t) for t, k, _, _ in blocks)
+            seen.update((k, 2, "") for k, _ in styles)
+    trees = {}
+    for tree, by_page in shown.items():
+        nodes = trees.setdefault(tree, {})
+        for k, kind, value in (x for seen in by_page.values() for x in seen):
+            node = nodes.setdefault(k, ([0], Counter(), Counter()))
+            if kind == 2:
                 node[0][0] += 1
-                node[1].update({s for x, s in styles if x == k})
-                node[2].update({t for t, x, _, _ in blocks if x == k})
+            else:
+                node[1 + kind][value] += 1
 
     def low(node):
         (m,), styles, contents = node
