@@ -77,3 +77,19 @@ def test_no_python_in_the_plan(spark, data):
     ):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "MapInArrow", "CartesianProduct", "NestedLoop"))
+
+
+def test_null_and_very_long_urls(spark):
+    """A null URL, one without host, and hosts and paths of 100,000 characters."""
+    long_path = "/en/" + "x" * 100_000
+    rows = [(1, None), (2, "nothing"), (3, "http://" + "a." * 50_000 + "com" + long_path), (4, "https://example.com/en/7" + "y" * 100_000), (None, "http://com/en/")]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, key string, part int")
+    rules = spark.createDataFrame(S.RULES, "verdict string, rule string")
+    got = {r.page_id: (len(r.host), len(r.path), r.rule, r.verdict) for r in S.judge(pages, rules).collect()}
+    assert got == {
+        1: (0, 0, None, "allow"),
+        2: (0, 0, None, "allow"),
+        3: (100_003, 100_004, "com/en/", "block"),
+        4: (11, 100_005, "example.com/en/7", "allow"),
+        None: (3, 4, "com/en/", "block"),
+    }
