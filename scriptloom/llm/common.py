@@ -15,12 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array, without regular expressions.
-
-    Null text gives an empty array.
-    """
-    spaced = F.translate(F.coalesce(text, F.lit("")), WORD_BREAKS, " " * len(WORD_BREAKS))
-    return F.array_remove(F.split(spaced, " "), "")
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null text gives an empty one."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{WORD_BREAKS}]+"), "")
 
 
 def let(value: Column, body) -> Column:

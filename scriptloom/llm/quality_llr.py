@@ -13,7 +13,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import double_array, let, words
+from scriptloom.llm.common import WORD_BREAKS, double_array, let, words
 
 BUCKETS = 65_536
 #: Bound of the labelled sample that the trusted multinomial is fitted on (least hashes first).
@@ -24,10 +24,6 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW_WORDS, REPEAT_PERCENT = 10, 5, 20
 
 
-def _n_characters(text: Column, dropped: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, dropped, ""))).cast("long")
-
-
 def _bucket(hashed: Column) -> Column:
     return hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
@@ -127,13 +123,13 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     """
     plain = _plain(docs)
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, "\t\x0b\x0c\r ", "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WORD_BREAKS}]"))
     scored = with_score(with_base(with_hashes(plain)), log_ratios(plain, labels))
     return scored.select(
         "doc_id",
         "n_words",
-        F.length(F.translate(text, "\t\n\x0b\x0c\r ", "")).cast("long").alias("word_chars"),
-        _n_characters(text, SYMBOLS).alias("n_symbols"),
+        (F.length(text) - F.regexp_count(text, F.lit(f"[{WORD_BREAKS}]"))).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         "n_repeat_words",
         "base_failed",
