@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptloom.llm import (
+    filter_audit,
     html_extract,
     license_scan,
     packing,
@@ -73,6 +74,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,6 +91,7 @@ QUERIES = {
         op8_prefix_token_counts,
         op9_voronoi_top_k,
         op10_html_extract,
+        op11_filter_audit,
     )
 }
 
@@ -111,5 +117,29 @@ s AS (SELECT q.n, q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_dot_produc
   FROM v q JOIN v d ON q.vec_id % 100 = 0 AND d.n <> q.n),
 r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10
+""",
+    "op11_filter_audit": """
+WITH RECURSIVE perms(p) AS (SELECT '' UNION ALL
+  SELECT p || f FROM perms, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(f) WHERE strpos(p, f) = 0),
+orders AS (SELECT p AS filter_order FROM perms WHERE length(p) = 5),
+steps AS (SELECT filter_order, s::INTEGER AS step, substr(filter_order, s, 1) AS f FROM orders, range(1, 6) t(s)),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+flags AS (SELECT d.part, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic,
+  CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * len(regexp_extract_all(d.text, '[A-Z]')) > 2 * length(d.text) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > f.first_id THEN 'E' ELSE '' END AS fails
+  FROM d JOIN firsts f ON f.text = d.text LEFT JOIN marks m ON m.doc_id = d.doc_id),
+sets AS (SELECT part, good, toxic, fails, count(*) AS n FROM flags GROUP BY ALL),
+runs AS (SELECT s.part, s.good, s.toxic, s.n, s.fails, o.filter_order, o.step, o.f, contains(s.fails, o.f) AS own,
+  len(list_filter(string_split(substr(o.filter_order, 1, o.step - 1), ''), lambda x: x <> '' AND contains(s.fails, x))) > 0 AS gone
+  FROM sets s, steps o),
+counts AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN own AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN fails = f THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN own AND NOT gone AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN own AND NOT gone AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost FROM runs GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM counts
 """,
 }
