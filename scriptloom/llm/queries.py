@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptloom.llm import (
+    collocations,
     filter_audit,
     html_extract,
     license_scan,
@@ -78,6 +79,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), read_table(spark, sf_dir, "labels"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,6 +97,7 @@ QUERIES = {
         op9_voronoi_top_k,
         op10_html_extract,
         op11_filter_audit,
+        op13_collocations,
     )
 }
 
@@ -141,5 +147,22 @@ counts AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT own AND NOT gon
   sum(CASE WHEN own AND NOT gone AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost FROM runs GROUP BY part, filter_order, step, f)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
   sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM counts
+""",
+    "op13_collocations": """
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w FROM documents),
+grams AS MATERIALIZED (SELECT lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') for i in range(1, len(w) + 2 - m)]) AS phrase FROM pieces, range(1, 6) t(m)),
+counts AS MATERIALIZED (SELECT lang, phrase, m, count(*) AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(a) AS n FROM counts WHERE m = 1 GROUP BY lang),
+cands AS MATERIALIZED (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS w FROM counts WHERE m > 1 AND a >= 100),
+cuts AS (SELECT c.lang, c.phrase, c.a, k, f.a AS l, s.a AS r, t.n, (1000::HUGEINT * c.a * t.n) // (f.a::HUGEINT * s.a) AS score
+  FROM cands c JOIN range(1, 5) x(k) ON k < m JOIN totals t ON t.lang = c.lang
+  JOIN counts f ON f.lang = c.lang AND f.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN counts s ON s.lang = c.lang AND s.phrase = array_to_string(c.w[k + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT c.lang, array_to_string(w[i:j], ' ') AS phrase, a FROM cands c, range(1, 6) x(i), range(1, 6) y(j) WHERE i < j AND j <= m AND j - i + 1 < m),
+kept AS (SELECT b.* FROM best b ANTI JOIN inside s ON s.lang = b.lang AND s.phrase = b.phrase AND s.a >= b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
 """,
 }
