@@ -12,6 +12,7 @@ from scriptloom.llm import (
     html_extract,
     license_scan,
     packing,
+    pii,
     quality_llr,
     secret_scan,
     simhash_dedup,
@@ -79,6 +80,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(read_table(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -97,6 +102,7 @@ QUERIES = {
         op9_voronoi_top_k,
         op10_html_extract,
         op11_filter_audit,
+        op12_pii_votes,
         op13_collocations,
     )
 }
