@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import random
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -241,35 +240,36 @@ def forest() -> list[tuple]:
 # -- operator ---------------------------------------------------------------------------------
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """``start, end, pattern`` of a text, in order, without overlaps.
+def candidates(text: str) -> list[tuple[int, int, list[tuple[int, int, str]]]]:
+    """``start, end, matches`` of a text, in order, without overlaps.
 
-    Of overlapping ones that of the earlier pattern stays, of one pattern's the first.
+    Matches that overlap are one candidate that covers them all, so no rest of a value stays
+    behind; they are listed by pattern, those of fixed form first.
     """
     low = text.lower()
-    taken: list[tuple[int, int, str]] = []
-    for name, needs, pattern in [*PATTERNS, ("run", (), RUN)]:
+    found: list[tuple[int, int, int, str]] = []
+    for rank, (name, needs, pattern) in enumerate([*PATTERNS, ("run", (), RUN)]):
         if needs and not any(w in low for w in needs):
             continue
-        fresh = []
-        for m in pattern.finditer(text):
-            a, b = m.span(1) if pattern.groups else m.span()
-            if a < 0:
-                continue
-            k = bisect_left(taken, (a,))
-            if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= b):
-                fresh.append((a, b, name))
-        if fresh:
-            taken = sorted([*taken, *fresh])
-    return taken
+        spans = (m.span(1) if pattern.groups else m.span() for m in pattern.finditer(text))
+        found += [(a, b, rank, name) for a, b in spans if a >= 0]
+    groups: list[tuple[int, int, list[tuple[int, int, int, str]]]] = []
+    for match in sorted(found):
+        if groups and match[0] < groups[-1][1]:
+            start, end, own = groups[-1]
+            groups[-1] = (start, max(end, match[1]), [*own, match])
+        else:
+            groups.append((match[0], match[1], [match]))
+    return [(a, b, [(x, y, name) for x, y, _, name in sorted(own, key=lambda m: (m[2], m[0]))]) for a, b, own in groups]
 
 
 def findings(text: str | None, path: str | None, trees: list[tuple]) -> list[tuple[int, int, str, float]]:
-    """``start, end, pattern, probability`` of every candidate of one text."""
+    """``start, end, pattern, probability`` of every candidate of one text: the first pattern, the likeliest match."""
     out = []
-    for a, b, name in candidates(text or ""):
-        x = features(text[a:b], path, text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], name)
-        out.append((a, b, name, probability(trees, x)))
+    text = text or ""
+    for a, b, matches in candidates(text):
+        odds = [probability(trees, features(text[x:y], path, text[max(0, x - CONTEXT) : x], text[y : y + CONTEXT], name)) for x, y, name in matches]
+        out.append((a, b, matches[0][2], max(odds)))
     return out
 
 
