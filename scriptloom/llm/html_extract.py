@@ -65,6 +65,13 @@ NOISE_WORDS = frozenset(
     "breadcrumbs pagination pager share sharing social related recommended recommendations trending comment comments "
     "commentlist disqus reply replies respond discussion toolbar skip contentinfo complementary legal disclaimer copyright tagcloud".split()
 )
+#: Words that mark an inline element as an advert even inside running text.
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising adslot adbox banner sponsored".split())
+#: First parts of names that tell of a page's layout, and last parts that leave a noise word's meaning.
+LAYOUT_PREFIXES = frozenset("has no not with without is are hide hides hidden show shows non never enable disable supports body page layout".split())
+NOISE_SUFFIXES = frozenset("list box bar item items link links left right top bottom block inner text title area section sections panel menu form icon icons button buttons".split())
+#: A marked branch with more of a page's text than this isn't noise, where no unmarked article or main has text.
+WRAPPER_SHARE = 0.8
 CLOSED_BY = {
     "p": frozenset(
         "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
@@ -90,40 +97,64 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "key", "noise", "hidden", "main", "kids", "inline")
+    __slots__ = ("tag", "key", "noise", "weak", "main", "kids", "inline", "mark", "size")
 
-    def __init__(self, tag, key, noise, hidden, main, inline):
-        self.tag, self.key, self.noise, self.hidden, self.main, self.inline = tag, key, noise, hidden, main, inline
+    def __init__(self, tag, key, noise, weak, main, inline, mark):
+        self.tag, self.key, self.noise, self.weak, self.main, self.inline, self.mark, self.size = tag, key, noise, weak, main, inline, mark, 0
         self.kids: list[str] = []
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """A node's name within its parent, and whether its attributes mark noise."""
-    names, noise = [], False
+def _noise_word(token: str) -> str:
+    """The noise word that a whole class name, id or role stands for; names of a layout stand for none.
+
+    ``sidebar``, ``site-footer``, ``cookie-notice`` and ``comment-list`` do; ``has-sidebar``,
+    ``no-comments``, ``ad-free`` and ``page-header-wrap`` do not.
+    """
+    parts = _WORD.findall(token)
+    if not parts or parts[0] in LAYOUT_PREFIXES:
+        return ""
+    if parts[-1] in NOISE_WORDS:
+        return parts[-1]
+    return parts[0] if parts[0] in NOISE_WORDS and NOISE_SUFFIXES.issuperset(parts[1:]) else ""
+
+
+def _label(tag: str, attributes: str) -> tuple[str, bool, str]:
+    """A node's name within its parent, whether it is hidden, and the noise word of its names."""
+    names, hidden, word = [], False, ""
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            noise = True
+            hidden = True
         elif name == "style":
-            noise |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+            hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         elif name in ("class", "id", "role"):
-            found = _WORD.findall(value)
-            noise |= not NOISE_WORDS.isdisjoint(found)
+            for token in value.split():
+                word = word or _noise_word(token)
             if name != "id":
-                names += found
-    return (f"{tag}.{'.'.join(names)}" if names else tag), noise
+                names += _WORD.findall(value)
+    return (f"{tag}.{'.'.join(names)}" if names else tag), hidden, word
 
 
 def parse(html: str, nodes: bool = False, noise_keys: frozenset = frozenset()):
     """Blocks of a page: ``(text, node key, is noise, inside article or main)``.
 
-    With ``nodes`` also the style of every element node: ``(node key, style)``.
+    With ``nodes`` also the style of every element node: ``(node key, style)``. Names mark a
+    branch as noise, unless it is the page itself: where no unmarked article or main has text,
+    branches that hold one, or more than ``WRAPPER_SHARE`` of the text, are none.
     """
+    found, wrappers = _parse(html, nodes, noise_keys, frozenset())
+    return _parse(html, nodes, noise_keys, wrappers)[0] if wrappers else found
+
+
+def _parse(html: str, nodes: bool, noise_keys: frozenset, wrappers: frozenset):
+    """:func:`parse` with the marks ``wrappers`` (by their place among all marks) ignored, and those to ignore."""
+    marks: list[list] = []  # of each mark: holds an article or main, size of its text
+    plain_main = False
     blocks: list[tuple[str, int, bool, int]] = []
     styles: list[tuple[int, int]] = []
     keys: dict[tuple[int, str], int] = {}
-    stack = [_Node("", 0, False, False, 0, False)]
-    pieces: list[str] = []
+    stack = [_Node("", 0, False, False, 0, False, -1)]
+    pieces: list[tuple[str, bool]] = []  # and whether a marked inline element holds it
 
     def key_of(parent: int, name: str) -> int:
         found = keys.get((parent, name))
@@ -131,19 +162,30 @@ def parse(html: str, nodes: bool = False, noise_keys: frozenset = frozenset()):
             found = keys[parent, name] = xxhash.xxh64_intdigest(name, parent) >> 1
         return found
 
+    def add(text: str) -> None:
+        pieces.append((unescape(text) if "&" in text else text, stack[-1].weak))
+
     def flush() -> None:
+        nonlocal plain_main
         if pieces:
-            text = " ".join("".join(pieces).split())
+            text = " ".join("".join(t for t, _ in pieces).split())
+            # marked inline elements are noise on their own, and part of the text inside running text
+            alone = all(weak or not t.strip() for t, weak in pieces)
             pieces.clear()
             if text:
                 top = stack[-1]
-                blocks.append((text, top.key, top.noise, top.main))
+                blocks.append((text, top.key, top.noise or alone, top.main))
+                top.size += 0 if top.noise and top.mark < 0 else len(text)
+                plain_main |= bool(top.main) and not top.noise
 
     def leave() -> None:
         node = stack[-1]
         if not node.inline or node.noise != stack[-2].noise:
             flush()
         stack.pop()
+        stack[-1].size += node.size
+        if node.mark >= 0 and (len(stack) == 1 or stack[-1].mark != node.mark):
+            marks[node.mark][1] = node.size
         if nodes and not node.inline:
             styles.append((node.key, xxhash.xxh64_intdigest(" ".join(node.kids)) >> 1))
 
@@ -151,18 +193,16 @@ def parse(html: str, nodes: bool = False, noise_keys: frozenset = frozenset()):
     while True:
         m = _TAG.search(html, at)
         if m is None:
-            rest = html[at:]
-            pieces.append(unescape(rest) if "&" in rest else rest)
+            add(html[at:])
             break
         start, end = m.span()
         if start > at:
-            text = html[at:start]
-            pieces.append(unescape(text) if "&" in text else text)
+            add(html[at:start])
         at = end
         tag = m[2]
         if tag is None:
             if m[0].startswith("<![CDATA["):
-                pieces.append(m[0][9:].removesuffix("]]>"))
+                pieces.append((m[0][9:].removesuffix("]]>"), stack[-1].weak))
             continue
         tag = tag.lower()
         if m[1]:
@@ -192,23 +232,41 @@ def parse(html: str, nodes: bool = False, noise_keys: frozenset = frozenset()):
                     break
         parent = stack[-1]
         attributes = m[3] or m[4]
-        name, marked = _label(tag, attributes) if attributes else (tag, False)
+        name, hidden, word = _label(tag, attributes) if attributes else (tag, False, "")
         if not inline:
             parent.kids.append(name)
         if tag in VOID:
             continue
-        if inline and name == tag and not marked:
+        if inline and name == tag and not hidden and not word:
             continue  # plain inline elements neither break text nor make nodes
         key = key_of(parent.key, name)
-        article = 0 if parent.main == 0 and tag not in ("article", "main") else max(parent.main, 2 if tag == "article" else 1 if tag == "main" else 0)
-        noise = parent.noise or tag in NOISE_TAGS or (marked and tag not in ("html", "body", "article", "main")) or key in noise_keys and tag not in ("article", "main")
-        noise = noise or tag == "header" and not parent.main or tag == "article" and marked and "comment" in name
+        whole = tag in ("article", "main")
+        article = 0 if parent.main == 0 and not whole else max(parent.main, 2 if tag == "article" else 1 if tag == "main" else 0)
+        comment = tag == "article" and "comment" in word
+        weak = inline and (parent.weak or bool(word) and word not in ADVERT_WORDS)
+        noise = parent.noise or tag in NOISE_TAGS or hidden and not whole or key in noise_keys and not whole
+        noise = noise or tag == "header" and not parent.main or comment or inline and word in ADVERT_WORDS
+        mark = parent.mark
+        if word and not inline and not whole and tag not in ("html", "body") and (not noise or mark >= 0):
+            marks.append([False, 0])
+            if len(marks) - 1 not in wrappers:
+                noise, mark = True, len(marks) - 1
+                article = parent.main
+        elif noise and not parent.noise:
+            mark = -1
+        if whole and mark >= 0 and not comment:
+            for n in reversed(stack):
+                if n.mark < 0 or marks[n.mark][0]:
+                    break
+                marks[n.mark][0] = True
         if inline and noise and not parent.noise:
-            head = " ".join("".join(pieces).split())
+            head = " ".join("".join(t for t, _ in pieces).split())
             if head:  # text before a marked inline element belongs to the block around it
                 blocks.append((head, parent.key, parent.noise, parent.main))
+                parent.size += len(head)
+                plain_main |= bool(parent.main) and not parent.noise
             pieces.clear()
-        stack.append(_Node(tag, key, noise, False, article if not noise else 0, inline))
+        stack.append(_Node(tag, key, noise, weak, article if not noise else 0, inline, mark))
         if tag in RAW:
             closing = _RAW_END[tag].search(html, at)
             at = closing.end() if closing else len(html)
@@ -216,7 +274,8 @@ def parse(html: str, nodes: bool = False, noise_keys: frozenset = frozenset()):
     while len(stack) > 1:
         leave()
     flush()
-    return (blocks, styles) if nodes else blocks
+    held = frozenset() if plain_main or wrappers else frozenset(k for k, (main, size) in enumerate(marks) if main or size > WRAPPER_SHARE * stack[0].size)
+    return ((blocks, styles) if nodes else blocks), held
 
 
 def _bounded(blocks: list[tuple[str, int, bool, int]]) -> tuple[int, list[str]]:
