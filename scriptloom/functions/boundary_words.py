@@ -83,6 +83,10 @@ BAD_PAIRS = [
     "weekend shift", "weekend shifts", "side of",
 ]
 
+PRONOUNS = "we they he she it i you"
+REFLEXIVES = "itself himself herself themselves ourselves"
+ONE_WORD_MARKERS = "yeah right exactly precisely okay ok wow"
+
 TRAILING_CONNECTORS = "and but or so"
 TRAILING_AUXILIARIES = (
     "am is are was were be been being do does did have has had can could will would shall should may might must it's that's "

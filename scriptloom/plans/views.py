@@ -78,6 +78,56 @@ conv_cues AS (
     CASE WHEN ord % 3 = 0 THEN text ELSE regexp_replace(text, '([A-Za-z]{{1,2}})[A-Za-z]*', '\1', 'g') END), '{HAN_FROM}', '{HAN_TO}'), '[^一-鿿。，！？]', '', 'g') END AS translated_text FROM cue_start)"""
 
 
+#: Ends of a cue and starts of the next one that break a boundary rule together, and short cues that are fragments.
+SPLICED_PAIRS = [
+    ("on wall", "street today"), ("they are forced", "to leave"), ("we left and", "then came"), ("maybe it's", "time"), ("the china's", "market"),
+    ("with both", "houses"), ("some structural", "shift came"), ("it helped", "expose it"), ("a skill", "jobs market"), ("an economic", "miracle"),
+    ("we look", "at it"), ("straight", "into it"), ("they focus", "on it"), ("at ten p.m.", "to nine"), ("never", "ever again"), ("a few", "days"),
+    ("massive economic", "social policy"), ("it was", "an economic and social policy"), ("it was", "late. However, he came"), ("well i", "mean it"),
+    ("they were", "working"), ("we", "are here"), ("he makes", "the plan"), ("the", "house"), ("popular", "with it"), ("very clearly", "important"),
+    ("seven", "houses"), ("the two", "houses"), ("they rely", "on it"), ("reason of", "it"), ("it was", "of interest"), ("a couple of", "days"),
+]
+SPLICED_ROWS = [
+    "what a day", "never ever", "open the", "Exactly.", "However,", "Really?", "Yes sir.", "and.", "it is done", "the big house", "we", "i mean",
+    "right", "why", "yeah well", "seven eight", "themselves", "how to",
+]
+
+
+def spliced_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues with phrases of the boundary rules at their ends and starts, and each fifth one a short fragment."""
+    cues = conv_cues(spark, sf_dir).select("file_id", "ord", "speaker", "start_ms", "end_ms", F.regexp_replace("text", r"\s*[.!?]+\s*$", "").alias("text"))
+    listed = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    ord_ = F.col("ord")
+    own = F.concat_ws(" ", listed([b for _, b in SPLICED_PAIRS], ord_ - 1), F.col("text"), listed([a for a, _ in SPLICED_PAIRS], ord_))
+    return cues.withColumn("text", F.when(ord_ % 5 == 0, listed(SPLICED_ROWS, F.floor(ord_ / 5))).otherwise(own))
+
+
+def _sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+SPLICED_CUES = rf"""{CONV_CUES},
+spliced_cues AS (SELECT file_id, ord, speaker, start_ms, end_ms, CASE WHEN ord % 5 = 0 THEN {_sql_list(SPLICED_ROWS)}[(ord // 5) % {len(SPLICED_ROWS)} + 1]
+  ELSE concat_ws(' ', {_sql_list([b for _, b in SPLICED_PAIRS])}[(ord - 1) % {len(SPLICED_PAIRS)} + 1], regexp_replace(text, '\s*[.!?]+\s*$', ''),
+    {_sql_list([a for a, _ in SPLICED_PAIRS])}[ord % {len(SPLICED_PAIRS)} + 1]) END AS text FROM conv_cues)"""
+
+
+def spliced_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the spliced cues, timed evenly within a cue, in items of three to eleven words."""
+    parts = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    rows = spliced_cues(spark, sf_dir).withColumn("s", parts).select("*", F.size("s").alias("n"), F.posexplode("s").alias("k", "surface"))
+    at = lambda k: F.expr(f"start_ms + (end_ms - start_ms) * ({k}) div n")
+    item = F.col("ord") * 1000 + F.floor(F.col("k") / (3 + F.col("ord") % 9))
+    return rows.select("file_id", (F.col("ord") * 1000 + F.col("k")).alias("word_id"), item.alias("item"), "speaker", "surface", at("k").alias("start_ms"), at("k + 1").alias("end_ms"))
+
+
+SPLICED_WORDS = rf"""{SPLICED_CUES},
+spliced_lists AS (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS s FROM spliced_cues),
+spliced_rows AS (SELECT *, len(s) AS n, unnest(range(len(s))) AS k, unnest(s) AS surface FROM spliced_lists),
+spliced_words AS (SELECT file_id, ord * 1000 + k AS word_id, ord * 1000 + k // (3 + ord % 9) AS item, speaker, surface,
+  start_ms + (end_ms - start_ms) * k // n AS start_ms, start_ms + (end_ms - start_ms) * (k + 1) // n AS end_ms FROM spliced_rows)"""
+
+
 def event_segs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as intervals of one minute per unit of value."""
     start = F.unix_millis(F.col("ts").cast("timestamp"))
