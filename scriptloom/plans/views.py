@@ -88,7 +88,7 @@ SPLICED_PAIRS = [
     ("seven", "houses"), ("the two", "houses"), ("they rely", "on it"), ("reason of", "it"), ("it was", "of interest"), ("a couple of", "days"),
 ]
 SPLICED_ROWS = [
-    "what a day", "never ever", "open the", "Exactly.", "However,", "Really?", "Yes sir.", "and.", "it is done", "the big house", "we", "i mean",
+    "what a day", "never ever", "open the", "put the", "keep this", "take a", "move the", "Exactly.", "However,", "Really?", "Yes sir.", "and.", "it is done", "the big house", "we", "i mean",
     "right", "why", "yeah well", "seven eight", "themselves", "how to",
 ]
 
