@@ -99,7 +99,7 @@ def spliced_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
     ord_, at = F.col("ord"), F.col("ord") + F.col("file_id")
     own = F.concat_ws(" ", listed([b for _, b in SPLICED_PAIRS], at - 1), F.col("text"), listed([a for a, _ in SPLICED_PAIRS], at))
-    return cues.withColumn("text", F.when(ord_ % 5 == 0, listed(SPLICED_ROWS, F.floor(ord_ / 5) + F.col("file_id"))).otherwise(own))
+    return cues.withColumn("text", F.when(ord_ % 5 == 0, listed(SPLICED_ROWS, F.floor(ord_ / 5) + F.col("file_id"))).otherwise(F.concat(own, F.when(ord_ % 7 == 6, "?").otherwise(""))))
 
 
 def _sql_list(values: list[str]) -> str:
@@ -109,7 +109,7 @@ def _sql_list(values: list[str]) -> str:
 SPLICED_CUES = rf"""{CONV_CUES},
 spliced_cues AS (SELECT file_id, ord, speaker, start_ms, end_ms, CASE WHEN ord % 5 = 0 THEN {_sql_list(SPLICED_ROWS)}[(ord // 5 + file_id) % {len(SPLICED_ROWS)} + 1]
   ELSE concat_ws(' ', {_sql_list([b for _, b in SPLICED_PAIRS])}[(ord + file_id - 1) % {len(SPLICED_PAIRS)} + 1], regexp_replace(text, '\s*[.!?]+\s*$', ''),
-    {_sql_list([a for a, _ in SPLICED_PAIRS])}[(ord + file_id) % {len(SPLICED_PAIRS)} + 1]) END AS text FROM conv_cues)"""
+    {_sql_list([a for a, _ in SPLICED_PAIRS])}[(ord + file_id) % {len(SPLICED_PAIRS)} + 1]) || CASE WHEN ord % 7 = 6 THEN '?' ELSE '' END END AS text FROM conv_cues)"""
 
 
 def spliced_words(spark: SparkSession, sf_dir: str) -> DataFrame:
