@@ -1,0 +1,15 @@
+"""Queries of the editor's algorithms: alignment, partitioning, anchors, phrases, duplication, ids and hashes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scriptloom.operators import alignment
+from scriptloom.plans import views as V
+from scriptloom.plans.catalog import query
+
+
+@query()
+def sentence_alignment(spark, d):
+    """Damaged sentences of all conversations put back onto the words they came from."""
+    return alignment.align(V.cue_word_rows(spark, d), V.damaged_sentences(spark, d))

@@ -128,6 +128,24 @@ spliced_words AS (SELECT file_id, ord * 1000 + k AS word_id, ord * 1000 + k // (
   start_ms + (end_ms - start_ms) * k // n AS start_ms, start_ms + (end_ms - start_ms) * (k + 1) // n AS end_ms FROM spliced_rows)"""
 
 
+def cue_word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word of the cues as a row of a recogniser, with the blank behind it."""
+    parts = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    rows = conv_cues(spark, sf_dir).select("file_id", "ord", F.posexplode(parts).alias("k", "w"))
+    return rows.select("file_id", (F.col("ord") * 10000 + F.col("k")).alias("row_no"), F.concat("w", F.lit(" ")).alias("text"))
+
+
+def damaged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cues as a model may give them back: words dropped, neighbours swapped, some turned round."""
+    parts = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    ord_ = F.col("ord")
+    kept = F.filter("w", lambda x, i: (i + ord_) % 7 != 3)
+    swapped = F.transform("w", lambda x, i: F.coalesce(F.get(F.col("w"), (i.bitwiseXOR(F.lit(1)))), x))
+    turned = F.transform(F.reverse("w"), F.reverse)
+    words = F.when(ord_ % 13 == 5, turned).when(ord_ % 3 == 0, swapped).when(ord_ % 3 == 1, kept).otherwise(F.col("w"))
+    return conv_cues(spark, sf_dir).select("file_id", ord_.alias("sentence_no"), "ord", parts.alias("w")).select("file_id", "sentence_no", F.array_join(words, " ").alias("text"))
+
+
 def event_segs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as intervals of one minute per unit of value."""
     start = F.unix_millis(F.col("ts").cast("timestamp"))
