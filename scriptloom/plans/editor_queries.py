@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptloom.operators import alignment
+from scriptloom.operators import alignment, glossary
 from scriptloom.plans import views as V
 from scriptloom.plans.catalog import query
 
@@ -13,3 +13,17 @@ from scriptloom.plans.catalog import query
 def sentence_alignment(spark, d):
     """Damaged sentences of all conversations put back onto the words they came from."""
     return alignment.align(V.cue_word_rows(spark, d), V.damaged_sentences(spark, d))
+
+
+@query()
+def glossary_correction(spark, d):
+    """Whole texts of all documents corrected by a glossary of word pairs that open the benchmark items."""
+    w = F.split(F.trim("text"), r"\s+")
+    items = V.table(spark, d, "benchmark").withColumn("w", w).where(F.size("w") >= 4)
+    name = F.initcap(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1)), F.lit("prime")))
+    rules = items.select(
+        F.posexplode(F.array(*(F.struct(name.alias("canonical"), F.concat_ws(" ", F.get("w", F.lit(k)), F.get("w", F.lit(k + 1))).alias("alias")) for k in (0, 2)))).alias("k", "r"), "item_id"
+    )
+    rules = rules.select((F.col("item_id") * 2 + F.col("k")).alias("rule_no"), "r.canonical", "r.alias")
+    done = glossary.correct_texts(V.table(spark, d, "documents").select("doc_id", "text"), rules)
+    return done.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "replacements")
