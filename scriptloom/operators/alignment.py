@@ -1,9 +1,8 @@
 """Sentences of a model put back onto the rows they came from.
 
 Rows and sentences of a file stream side by side, ordered by the words before them, through a
-cursor. A window of rows is compared by the Ratcliff-Obershelp ratio only if the letters that it
-shares with the sentence allow one above the best so far: counts of letters are prefix sums, so
-the bounds of all windows of a size are one vector operation.
+cursor. A window of rows is compared by the Ratcliff-Obershelp ratio only if the longest common
+subsequence, which one pass of bit rows gives for all windows of a start, allows a better one.
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ from collections import deque
 from collections.abc import Iterator
 from itertools import islice
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,56 +25,59 @@ def plain(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-class _Bounds:
-    """Upper bounds of the ratio of a sentence with windows of rows."""
-
-    def __init__(self, sentence: str, texts: list[str]):
-        letters = sorted(set(sentence) - {" "})
-        place = {c: k for k, c in enumerate(letters)}
-        counts = np.zeros((len(texts) + 1, len(letters) + 2), np.int32)  # each letter, all letters, blanks
-        for i, text in enumerate(texts, 1):
-            for c in text.lower():
-                if c.isspace():
-                    counts[i, -1] += 1
-                else:
-                    counts[i, -2] += 1
-                    if (k := place.get(c)) is not None:
-                        counts[i, k] += 1
-        self.sums = np.cumsum(counts, axis=0)
-        self.own = np.array([*(sentence.count(c) for c in letters), 0, sentence.count(" ")], np.int32)
-        self.size = len(sentence)
-
-    def of(self, window: int, starts: int) -> np.ndarray:
-        """Bounds for windows of ``window`` rows at the first ``starts`` places."""
-        held = self.sums[window : window + starts] - self.sums[:starts]
-        shared = np.minimum(held, self.own)
-        shared[:, -2] = 0  # blanks of a window may melt into fewer, so its letters alone are a lower bound of its length
-        return 2 * shared.sum(axis=1) / np.maximum(1, self.size + held[:, -2])
+def _bounds(sentence: str, rows: list[str], widths: range) -> list[float]:
+    """Upper bounds of the ratio of a sentence with the first rows, for each width.
+
+    No matching is longer than the longest common subsequence, whose row of bits goes on from
+    width to width, so all widths cost one pass over the rows.
+    """
+    size = len(sentence)
+    places: dict[str, int] = {}
+    for i, c in enumerate(sentence):
+        places[c] = places.get(c, 0) | 1 << i
+    free = full = (1 << size) - 1
+    blank, length, out = False, 0, []
+    for k, row in enumerate(rows[: widths.stop - 1], 1):
+        for c in row.lower():
+            if c.isspace():
+                blank = length > 0
+                continue
+            for x in (" ", c) if blank else (c,):
+                hit = free & places.get(x, 0)
+                free = (free + hit | free - hit) & full
+                length += 1
+            blank = False
+        if k >= widths.start:
+            out.append(2.0 * (size - free.bit_count()) / max(1, size + length))
+    return out
 
 
 def best_window(sentence: str, texts: list[str], shift: int, size: int) -> tuple[int, int, float, int, int]:
-    """Start, size and ratio of the rows most like a plain sentence, windows near its ``size`` first; also
-    the numbers of windows and of ratios computed. ``texts``: the rows from the cursor on. Ratio 0 if
-    none reaches ``LEAST_RATIO``."""
-    found, best, windows, computed = (0, 0), 0.0, 0, 0
-    sizes = sorted(range(max(1, size // 2), min(2 * size, len(texts)) + 1), key=lambda x: abs(x - size))
-    bounds = _Bounds(sentence, texts) if sizes else None
-    for width in sizes:
-        starts = min(shift + 1, len(texts) - width + 1)
-        windows += starts
-        limits = bounds.of(width, starts) + 1e-9
-        for start in np.flatnonzero(limits >= LEAST_RATIO).tolist():
-            if limits[start] <= best:
-                continue
-            computed += 1
-            ratio = ratio_of(sentence, plain("".join(texts[start : start + width])))
-            if ratio > best:
-                best, found = ratio, (start, width)
-            if ratio == 1.0:
-                break
-        if best == 1.0:
+    """Start, size and ratio of the rows most like a plain sentence; also the numbers of windows and of
+    ratios computed. ``texts``: the rows from the cursor on. Ratio 0 if none reaches ``LEAST_RATIO``.
+
+    Of equal ratios the window first in the order of sizes near ``size``, then starts, counts. Windows
+    are tried by their bound, greatest first, until no bound reaches the best.
+    """
+    widths = range(max(1, size // 2), min(2 * size, len(texts)) + 1)
+    windows = []
+    for start in range(min(shift + 1, len(texts) - widths.start + 1) if widths else 0):
+        limits = _bounds(sentence, texts[start : start + widths.stop], widths)
+        windows += [(-limit, abs(width - size), width, start) for width, limit in zip(widths, limits)]
+    best, found, computed = 0.0, (0, 0, 0), 0
+    for limit, *rank in sorted(windows):
+        if -limit < max(best, LEAST_RATIO):
             break
-    return (*found, best, windows, computed) if best >= LEAST_RATIO else (0, 0, 0.0, windows, computed)
+        if -limit == best and tuple(rank) > found:
+            continue
+        computed += 1
+        _, width, start = rank
+        ratio = ratio_of(sentence, plain("".join(texts[start : start + width])))
+        if ratio > best or ratio == best and tuple(rank) < found:
+            best, found = ratio, tuple(rank)
+    if best < LEAST_RATIO:
+        return 0, 0, 0.0, len(windows), computed
+    return found[2], found[1], best, len(windows), computed
 
 
 def aligned(most_unmatched: int = MOST_UNMATCHED) -> Step:
