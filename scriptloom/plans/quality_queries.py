@@ -116,7 +116,7 @@ def packed_words(spark, d):
 @query()
 def numerals(spark, d):
     found = F.explode(F.regexp_extract_all("text", F.lit(r"\d+%?"), F.lit(0)))
-    return quality.with_numerals(V.table(spark, d, "documents").select(found.alias("value")).where(F.length("value") <= 12))
+    return quality.with_numerals(V.table(spark, d, "documents").select(found.alias("value")))
 
 
 @query()

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptloom.functions import boundaries as B
+from scriptloom.functions import numerals
 from scriptloom.functions import quality as Q
 from scriptloom.operators import quality as O
 
@@ -67,12 +68,14 @@ def test_translationese_and_severity(spark):
         ("1900", {"20世纪", "20世纪初"}),
         ("50%", {"百分之五十"}),
         ("100%", {"百分之一百", "百分之百"}),
+        ("10000000000000005", {"一亿亿零五"}),
+        ("1" + "0" * 5000, {"1" + "0" * 4992 + "亿"}),
         ("3.5", set()),
         ("x", set()),
     ],
 )
 def test_numerals(value, must):
-    found = O.numeral_variants(value)
+    found = numerals.variants(value)
     assert must <= set(found) and found == sorted(found, key=len, reverse=True)
     assert bool(found) == bool(must)
 
