@@ -61,6 +61,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Off local mode the setting is required; a lost executor loses nothing.
+    """
+    session = df.sparkSession
+    context = session.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = session.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="scriptloom-"))
+    return df.checkpoint(eager=True)
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` with the package shipped first."""
     ship(df.sparkSession)
