@@ -280,14 +280,39 @@ def mended(words: Words, items: list[Span], at: int, issues: list[str], most: in
     return None
 
 
+class _Turns:
+    """Finds a worklist that goes in a circle: the same items around the same place, and no new place since."""
+
+    def __init__(self, farthest: int = 0):
+        self.farthest, self.lowest, self.seen = farthest, farthest, {}
+
+    def on(self, at: int) -> None:
+        if at > self.farthest:
+            self.__init__(at)
+
+    def back(self, at: int, items: list[Span], steps: int) -> int:
+        """After a change, now at ``at``: the number of steps since the same state, 0 if it is new."""
+        if at < self.lowest:
+            self.lowest, self.seen = at, {}
+        state = (at, *items[max(0, self.lowest - 1) : self.farthest + 4])
+        if state in self.seen:
+            period = steps - self.seen[state]
+            self.seen = {}
+            return period
+        self.seen[state] = steps
+        return 0
+
+
 def settle(words: Words, source: Iterator[Span], check, most: int, limit: Callable[[], int], forgets: bool = False) -> Iterator[Span]:
     """A worklist over ``source``: each item is checked, mended with its neighbours, and after a change
     the place steps back by one. ``check(items, at)`` gives the boundary to mend and its issues.
-    After ``limit()`` steps, so if changes undo each other, the rest passes as it is. With
+    After ``limit()`` steps the rest passes as it is; where changes undo each other, the rounds up to
+    the limit are counted, not walked. With
     ``forgets`` words that lie behind all kept items are dropped."""
     items: list[Span] = []
     at = steps = 0
     more = True
+    turns = _Turns()
     while True:
         while more and len(items) < at + 4:
             if (item := next(source, None)) is None:
@@ -305,13 +330,17 @@ def settle(words: Words, source: Iterator[Span], check, most: int, limit: Callab
             a, b, new = made
             items[a:b] = new
             at = max(0, a - 1)
+            if period := turns.back(at, items, steps):
+                steps += (limit() - steps) // period * period
             continue
         at += 1
+        turns.on(at)
         if at > 2 * KEPT:
             done = at - KEPT
             yield from items[:done]
             del items[:done]
             at = KEPT
+            turns = _Turns(at)
             if forgets:
                 words.forget(items[0][0] - 1)
     yield from items
