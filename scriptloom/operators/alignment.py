@@ -52,16 +52,37 @@ def _bounds(sentence: str, rows: list[str], widths: range) -> list[float]:
     return out
 
 
+def _equal(sentence: str, texts: list[str], starts: int, widths: range, size: int) -> tuple[int, int, int] | None:
+    """The first window, in order, whose plain text is the sentence."""
+    found = []
+    for start in range(starts):
+        if not sentence.startswith(plain(texts[start])):
+            continue
+        raw = ""
+        for width, row in enumerate(texts[start : start + widths.stop - 1], 1):
+            raw += row
+            if len(raw) >= len(sentence):
+                text = plain(raw)
+                if len(text) > len(sentence):
+                    break
+                if width >= widths.start and text == sentence:
+                    found.append((abs(width - size), width, start))
+    return min(found, default=None)
+
+
 def best_window(sentence: str, texts: list[str], shift: int, size: int) -> tuple[int, int, float, int, int]:
     """Start, size and ratio of the rows most like a plain sentence; also the numbers of windows and of
     ratios computed. ``texts``: the rows from the cursor on. Ratio 0 if none reaches ``LEAST_RATIO``.
 
-    Of equal ratios the window first in the order of sizes near ``size``, then starts, counts. Windows
+    A window that equals the sentence ends the search. Of equal ratios the window first in the order of sizes near ``size``, then starts, counts. Windows
     are tried by their bound, greatest first, until no bound reaches the best.
     """
     widths = range(max(1, size // 2), min(2 * size, len(texts)) + 1)
+    starts = min(shift + 1, len(texts) - widths.start + 1) if widths else 0
+    if sentence and (same := _equal(sentence, texts, starts, widths, size)):
+        return same[2], same[1], 1.0, 1, 1
     windows = []
-    for start in range(min(shift + 1, len(texts) - widths.start + 1) if widths else 0):
+    for start in range(starts):
         limits = _bounds(sentence, texts[start : start + widths.stop], widths)
         windows += [(-limit, abs(width - size), width, start) for width, limit in zip(widths, limits)]
     best, found, computed = 0.0, (0, 0, 0), 0
@@ -152,7 +173,7 @@ def align(rows: DataFrame, sentences: DataFrame) -> DataFrame:
     both = side(rows, "row_no", ROW).unionByName(side(sentences, "sentence_no", SENTENCE))
     total = F.sum((F.col("kind") == ROW).cast("long")).over(Window.partitionBy("file_id"))
     schema = "sentence_no long, status string, first_row long, last_row long, ratio double, windows long, computed long"
-    return stream(both.withColumn("n_rows", total), "file_id", ["at", "kind", "no", "text", "n_rows"], ["at", "kind", "no"], _without_place(aligned()), schema)
+    return stream(both.withColumn("n_rows", total), "file_id", ["at", "kind", "no", "text", "n_rows"], ["at", "kind", "no"], _without_place(aligned()), schema, heavy=True)
 
 
 def _without_place(step: Step) -> Step:

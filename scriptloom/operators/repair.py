@@ -424,4 +424,4 @@ def repair(words: DataFrame, most: int = MAX_WORDS) -> DataFrame:
     opens = F.coalesce(F.lag("item").over(w.orderBy("word_id")) != F.col("item"), F.lit(True)).cast("long")
     counted = marked(words).withColumn("opens", opens).withColumn("n_items", F.sum("opens").over(w))
     columns = ["word_id", "item", "n_items", "kinds", "hard", "score", "trailing", "token", "pause"]
-    return stream(counted, "file_id", columns, ["word_id"], repaired(most), SCHEMA)
+    return stream(counted, "file_id", columns, ["word_id"], repaired(most), SCHEMA, heavy=True)
