@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptloom.operators import alignment, glossary, nested, partition, phrases
+from scriptloom.functions.anchors import DUCKDB_ANCHORS
+from scriptloom.operators import alignment, allocation, glossary, nested, partition, phrases
 from scriptloom.plans import views as V
 from scriptloom.plans.catalog import query
 
@@ -98,3 +99,20 @@ def nested_payload_ids(spark, d):
     payload = F.concat(F.repeat(F.lit('{"a": ['), depth), inner, F.repeat(F.lit("]}"), depth))
     found = nested.nested_ids(V.table(spark, d, "events").select(F.col("event_id").alias("row_id"), payload.alias("payload")))
     return found.select("row_id", F.array_join("caption_ids", ",").alias("caption_ids"), F.array_join("group_ids", ",").alias("group_ids"))
+
+
+@query(
+    f"""WITH {V.PART_ROWS}, found AS (SELECT file_id, part_no, {DUCKDB_ANCHORS} AS a FROM part_rows),
+each_one AS (SELECT file_id, part_no, unnest(range(len(a))) AS pos, unnest(a) AS x FROM found)
+SELECT file_id, part_no, pos, x.type AS type, x.value AS value, x.percent AS percent, x.decade AS decade FROM each_one"""
+)
+def part_anchors(spark, d):
+    """Numbers, negation and names of all parts."""
+    return allocation.part_anchors(V.allocated_groups(spark, d)[1]).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query()
+def allocation_codes(spark, d):
+    """Faults of all groups' translations as their parts hold them."""
+    found = allocation.validate(*V.allocated_groups(spark, d))
+    return found.select("file_id", "group_no", "valid", F.array_join("codes", ",").alias("codes"), F.size("issues").cast("long").alias("n_issues"))

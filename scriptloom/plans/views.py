@@ -146,6 +146,52 @@ def damaged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv_cues(spark, sf_dir).select("file_id", ord_.alias("sentence_no"), "ord", parts.alias("w")).select("file_id", "sentence_no", F.array_join(words, " ").alias("text"))
 
 
+#: Ends of parts with an anchor each, and what a translation makes of it; every third one is shown otherwise.
+PART_ANCHORS = [
+    ("over 2,500 people", "超过两千五百人"), ("in New York", "在New York"), ("about 5 million", "约五百万"), ("it was not so", "并不是这样"), ("by 30%", "百分之三十"),
+    ("since the 1990s", "自1990年代"), ("of Boeing", "Boeing公司"), ("in 12 months", "十二个月内"), ("they never look like", "他们从不像"), ("with 3.5 hundred", "用350"),
+]
+UNSAID = "中国城市经济发展研究报告"
+
+
+def allocated_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups, parts and returned texts for ``allocation.validate``: all cues, four of a turn a group, with anchors.
+
+    By rules over all rows texts are empty, repeated, torn, lose their anchor or yield it to the next part,
+    ids change, and translations of groups are foreign or say more than their parts.
+    """
+    k, of = F.col("ord") + F.col("file_id"), len(PART_ANCHORS)
+    listed = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % of + 1).cast("int"))
+    group = F.floor(F.col("ord") / 1000) * 1000 + F.floor((F.col("ord") % 1000 - 1) / 4)
+    cues = conv_cues(spark, sf_dir).withColumns({"group_no": group, "en": listed([a for a, _ in PART_ANCHORS]), "zh": listed([b for _, b in PART_ANCHORS])})
+    w = Window.partitionBy("file_id", "group_no").orderBy("ord")
+    fault = (F.col("file_id") * 3 + F.col("ord") * 5) % 17
+    base = F.translate("translated_text", "不没无非未别勿", "").alias("base")
+    rows = cues.select("*", base, fault.alias("fault")).withColumn("whole", F.concat("base", "zh"))
+    before = lambda c: F.lag(c).over(w)
+    passed = F.when(before("fault").isin(2, 5), before("zh")).otherwise("")
+    own = (
+        F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.col("base")).when(F.col("fault") == 3, F.col("base")).when(F.col("fault") == 4, before("whole"))
+        .when(F.col("fault") == 5, F.lit("的话")).when(F.col("fault") == 6, F.lit("在")).otherwise(F.col("whole"))
+    )
+    rows = rows.withColumn("dealt", F.concat(own, F.coalesce(passed, F.lit(""))))
+    name = T.subtitle_id(F.col("ord"))
+    parts = rows.select("file_id", "group_no", F.col("ord").alias("part_no"), name.alias("part_id"), F.concat_ws(" ", "text", "en").alias("english"))
+    given = rows.where("fault <> 9").select("file_id", "group_no", F.col("ord").alias("at"), F.when(F.col("fault") == 11, F.lit("S0000")).otherwise(name).alias("part_id"), F.col("dealt").alias("chinese"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "whole"))), lambda x: x["whole"]), "")
+    groups = rows.groupBy("file_id", "group_no").agg(text.alias("t"))
+    more = F.concat(F.col("t"), F.repeat(F.lit(UNSAID), F.greatest(F.lit(4), F.length("t"))))
+    case = (F.col("file_id") + F.col("group_no")) % 11
+    full = F.when(case == 3, F.regexp_replace("t", "[^A-Za-z0-9]+", "x")).when(case == 7, more).otherwise(F.col("t"))
+    return groups.select("file_id", "group_no", full.alias("full_translation")), parts, given
+
+
+#: Letters beyond ASCII are parts of words, which this engine's ``\\b`` doesn't know.
+PART_ROWS = f"""{CONV_CUES},
+part_plain AS (SELECT file_id, ord AS part_no, concat_ws(' ', text, {_sql_list([a for a, _ in PART_ANCHORS])}[(ord + file_id) % {len(PART_ANCHORS)} + 1]) AS written FROM conv_cues),
+part_rows AS (SELECT file_id, part_no, regexp_replace(written, '[\\x{{00C0}}-\\x{{1FFF}}\\x{{3040}}-\\x{{9FFF}}]', '_', 'g') AS english FROM part_plain)"""
+
+
 def event_segs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as intervals of one minute per unit of value."""
     start = F.unix_millis(F.col("ts").cast("timestamp"))
