@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptloom.functions.anchors import DUCKDB_ANCHORS
-from scriptloom.operators import alignment, allocation, glossary, nested, partition, phrases
+from scriptloom.operators import alignment, allocation, freeze, glossary, nested, partition, phrases
 from scriptloom.plans import views as V
 from scriptloom.plans.catalog import query
 
@@ -116,3 +116,31 @@ def allocation_codes(spark, d):
     """Faults of all groups' translations as their parts hold them."""
     found = allocation.validate(*V.allocated_groups(spark, d))
     return found.select("file_id", "group_no", "valid", F.array_join("codes", ",").alias("codes"), F.size("issues").cast("long").alias("n_issues"))
+
+
+_FROZEN = f"""WITH {V.CONV_CUES}, {V.DOC_LINES},
+was AS (SELECT file_id, 'text' AS payload, ord, text AS value FROM conv_cues UNION ALL SELECT file_id, 'translation', ord, translated_text FROM conv_cues
+  UNION ALL SELECT file_id, 'times', ord, start_ms || '-' || end_ms FROM conv_cues UNION ALL SELECT file_id, 'lines', line_no, line FROM doc_lines),
+became AS (SELECT file_id, payload, ord, CASE WHEN (file_id * 31 + ord * 7 + length(payload)) % 97 = 5 AND payload <> 'translation' THEN value || ' ' ELSE value END AS value FROM was
+  WHERE (file_id + ord * 11 + length(payload)) % 199 <> 8)"""
+
+
+@query(
+    _FROZEN
+    + f""", j AS (SELECT coalesce(w.file_id, b.file_id) AS file_id, coalesce(w.payload, b.payload) AS payload, coalesce(w.ord, b.ord) AS ord, w.ord IS NOT NULL AS was, b.ord IS NOT NULL AS is_now,
+  w.value AS value_before, b.value AS value_after FROM was w FULL JOIN became b ON w.file_id = b.file_id AND w.payload = b.payload AND w.ord = b.ord),
+d AS (SELECT *, was <> is_now OR value_before IS DISTINCT FROM value_after AS differs FROM j)
+SELECT file_id, payload, count(*) FILTER (was) AS n_before, count(*) FILTER (is_now) AS n_after, count(DISTINCT ord // {freeze.BLOCK}) FILTER (differs) AS unequal_blocks,
+  min(ord) FILTER (differs) AS first_ord, arg_min(coalesce(value_before, '-'), ord) FILTER (differs) AS value_before, arg_min(coalesce(value_after, '-'), ord) FILTER (differs) AS value_after FROM d GROUP BY 1, 2"""
+)
+def payload_differences(spark, d):
+    """Texts, translations, times and lines before and after a step that changes and drops rows by rules."""
+    c = V.conv_cues(spark, d)
+    take = lambda name, value: c.select("file_id", F.lit(name).alias("payload"), "ord", value.alias("value"))
+    was = take("text", F.col("text")).union(take("translation", F.col("translated_text"))).union(take("times", F.concat_ws("-", "start_ms", "end_ms")))
+    was = was.union(V.doc_lines(spark, d).select("file_id", F.lit("lines"), "line_no", "line"))
+    changed = F.expr("(file_id * 31 + ord * 7 + length(payload)) % 97 = 5 and payload <> 'translation'")
+    became = was.where("(file_id + ord * 11 + length(payload)) % 199 <> 8").withColumn("value", F.when(changed, F.concat("value", F.lit(" "))).otherwise(F.col("value")))
+    shown = F.col("first_ord").isNotNull()
+    found = freeze.first_differences(was, became)
+    return found.withColumns({c: F.when(shown, F.coalesce(c, F.lit("-"))) for c in ("value_before", "value_after")})
