@@ -135,9 +135,9 @@ SELECT file_id, payload, count(*) FILTER (was) AS n_before, count(*) FILTER (is_
 )
 def payload_differences(spark, d):
     """Texts, translations, times and lines before and after a step that changes and drops rows by rules."""
-    c = V.conv_cues(spark, d)
-    take = lambda name, value: c.select("file_id", F.lit(name).alias("payload"), "ord", value.alias("value"))
-    was = take("text", F.col("text")).union(take("translation", F.col("translated_text"))).union(take("times", F.concat_ws("-", "start_ms", "end_ms")))
+    values = {"text": F.col("text"), "translation": F.col("translated_text"), "times": F.concat_ws("-", "start_ms", "end_ms")}
+    listed = F.array(*(F.struct(F.lit(name).alias("payload"), value.alias("value")) for name, value in values.items()))
+    was = V.conv_cues(spark, d).select("file_id", "ord", F.inline(listed)).select("file_id", "payload", "ord", "value")
     was = was.union(V.doc_lines(spark, d).select("file_id", F.lit("lines"), "line_no", "line"))
     changed = F.expr("(file_id * 31 + ord * 7 + length(payload)) % 97 = 5 and payload <> 'translation'")
     became = was.where("(file_id + ord * 11 + length(payload)) % 199 <> 8").withColumn("value", F.when(changed, F.concat("value", F.lit(" "))).otherwise(F.col("value")))
