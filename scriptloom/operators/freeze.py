@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptloom.session import checkpointed
+
 BLOCK = 256
+#: First unequal blocks that may be broadcast (some 60 bytes each); with more, rows are shuffled to them.
+BROADCAST_BLOCKS = 500_000
 KEY = ["file_id", "payload"]
 
 
@@ -45,15 +49,17 @@ def first_differences(before: DataFrame, after: DataFrame, block: int = BLOCK) -
     repeats, all values are compared and the least is shown. Files and payloads without a name match each other.
     """
     found = blocks(before, after, block)
-    payloads = found.groupBy(*KEY).agg(
+    sums = found.groupBy(*KEY).agg(
         F.sum("n_before").alias("n_before"),
         F.sum("n_after").alias("n_after"),
         F.sum(F.col("unequal").cast("long")).alias("unequal_blocks"),
         F.min(F.when(F.col("unequal"), F.col("block"))).alias("block"),
     )
+    payloads = checkpointed(sums)
     changed = payloads.where("block is not null").select(*(F.col(c).alias(f"at_{c}") for c in [*KEY, "block"]))
     place = [F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in KEY] + [F.col("block") == F.col("at_block")]
-    near = _sides(before, after, block).join(changed, place, "left_semi")
+    few = changed.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    near = _sides(before, after, block).join(F.broadcast(changed) if few else changed, place, "left_semi")
     values = lambda sign: F.sort_array(F.collect_list(F.when(F.col("side") == sign, F.struct("value"))))
     pairs = near.groupBy(*KEY, "ord").agg(values(1).alias("b"), values(-1).alias("a")).where("not (b <=> a)")
     one = lambda c: F.get(c, F.lit(0))["value"]
