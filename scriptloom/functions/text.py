@@ -421,8 +421,8 @@ def edge_overlap(tokens: Column, canonical: Column, prefix: bool) -> Column:
 
 def abbreviation_boundary(previous: Column, current: Column) -> Column:
     """A title or abbreviation before a name."""
-    return F.trim(blank(previous)).rlike(r"\b(?:St|Mt|Mr|Mrs|Ms|Dr|Prof|Jr|Sr)\.$") & F.trim(blank(current)).rlike(
-        r"^[A-Z][A-Za-z'-]{2,}\b"
+    return F.trim(blank(previous)).rlike(r"(?<![A-Za-z0-9_])(?:St|Mt|Mr|Mrs|Ms|Dr|Prof|Jr|Sr)\.$") & F.trim(blank(current)).rlike(
+        rf"^[A-Z][A-Za-z'-]{{2,}}{L.EDGE}"
     )
 
 
@@ -439,7 +439,7 @@ def safe_boundary(previous: Column, current: Column) -> Column:
 
 def looks_like_subject(text: Column) -> Column:
     """Ends with a name of two words or a pronoun."""
-    words = _all(blank(text), r"\b[A-Za-z][A-Za-z'-]*\b")
+    words = _all(blank(text), rf"{L.EDGE}[A-Za-z][A-Za-z'-]*{L.EDGE}")
     n = F.size(words)
     last, before = F.get(words, n - 1), F.get(words, n - 2)
     names = (n >= 2) & last.rlike("^[A-Z]") & F.coalesce(before.rlike("^[A-Z]"), F.lit(False))

@@ -112,3 +112,20 @@ def test_profiles(spark):
     frame = spark.createDataFrame(cases, "p string, c string, code string")
     for r in frame.select("code", T.boundary_reasons(frame.p, frame.c, True).alias("editor"), T.boundary_reasons(frame.p, frame.c).alias("audit")).collect():
         assert r.code in r.editor and r.code not in r.audit
+
+
+@pytest.mark.parametrize("name", ["syntax_boundaries", "editor_boundaries"])
+def test_words_end_at_letters_beyond_ascii(name, spark, tmp_path, same):
+    """Names and pronouns that touch an umlaut give the rows of the SQL."""
+    import duckdb
+
+    from scriptloom.plans import catalog
+
+    texts = ["St. Dasötzte kam heute. Dr. Müller came. Prof. Dürer came. ÖSt. Gallen lies there.", "so they saw öhe. Are there more? it said Süd John Ött", "are you there? old Köln Ömit was here", "was it"]
+    rows = [(1, k, "user", t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    found = catalog.QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert (found.reasons == "abbreviation_name_split").any()
+    same(found, con.execute(catalog.SQL[name]).df())
