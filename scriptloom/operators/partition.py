@@ -9,53 +9,57 @@ from pyspark.sql import functions as F
 REACH = 30
 
 
-def largest_near(rows: DataFrame, targets: DataFrame, value: str, reach: int = REACH) -> DataFrame:
-    """``file_id, target, at``: place of the largest ``value`` in ``[low, high)`` around each target.
-
-    ``rows``: ``file_id, idx`` and ``value``; ``targets``: ``file_id, target, low, high`` with at most
-    ``2 * reach`` places. Of equal values the first place counts. A range is the end of one block
-    of ``reach`` rows, whole blocks, and the start of another; each row holds the maxima of its block up
-    to it and from it on, so a target reads a row a block by equality instead of all rows in reach.
-    """
-    block = F.floor(F.col("idx") / reach)
-    w = Window.partitionBy("file_id", "block").orderBy("idx")
-    best = F.struct(F.col(value).alias("v"), (-F.col("idx")).alias("k"))
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    held = rows.select("file_id", "idx", value, block.alias("block")).select(
-        "file_id",
-        "idx",
-        F.max(best).over(w).alias("upto"),
-        F.max(best).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("onward"),
-        F.collect_list(best).over(whole).alias("block_rows"),
-    )
-    first, last = F.floor(F.col("low") / reach), F.floor((F.col("high") - 1) / reach)
-    key = lambda kind, idx: F.struct(F.lit(kind).alias("kind"), idx.cast("long").alias("idx"))
-    between = F.transform(F.filter(F.sequence(first, last), lambda b: (b > first) & (b < last)), lambda b: key("upto", (b + 1) * reach - 1))
-    keys = F.when(first == last, F.array(key("some", F.col("low")))).otherwise(F.concat(F.array(key("onward", F.col("low")), key("upto", F.col("high") - 1)), between))
-    asked = targets.where("low < high").select("file_id", "target", "low", "high", F.explode(keys).alias("key")).select("*", "key.*").drop("key")
-    inside = F.array_max(F.filter("block_rows", lambda x: (-x["k"] >= F.col("low")) & (-x["k"] < F.col("high"))))
-    read = asked.join(held, ["file_id", "idx"]).withColumn(
-        "best", F.when(F.col("kind") == "upto", F.col("upto")).when(F.col("kind") == "onward", F.col("onward")).otherwise(inside)
-    )
-    return read.groupBy("file_id", "target").agg(F.max("best").alias("best")).select("file_id", "target", (-F.col("best.k")).alias("at"), F.col("best.v").alias("value"))
-
-
 def parts(rows: DataFrame, threshold: int, reach: int = REACH) -> DataFrame:
     """``file_id, part, first_ord, last_ord, n_rows``: each file in parts of about ``threshold`` words.
 
     ``rows``: ``file_id, ord, start_ms, end_ms, words``. Targets are multiples of the words of a part,
     taken as row numbers; a cut moves to the longest pause around its target, if there is one that isn't
-    negative. Targets out of reach of the last row cut nothing. Null times make no pause.
+    negative; of equal pauses the first counts. Targets out of reach of the last row cut nothing. Null
+    times make no pause.
+
+    A row names the targets in whose reach it lies, so rows move once, to their file, and only the best
+    row of each target is kept. It knows the next row's ``ord``, so cuts aren't joined to rows again.
     """
     w = Window.partitionBy("file_id").orderBy("ord")
-    numbered = rows.select("file_id", "ord", "words", (F.row_number().over(w) - 1).cast("long").alias("idx"), (F.lead("start_ms").over(w) - F.col("end_ms")).alias("gap"))
-    sizes = numbered.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("total"))
-    sizes = sizes.withColumn("k", F.expr(f"greatest(1, (total + {threshold} - 1) div {threshold})")).where("k > 1 and n > k").withColumn("share", F.expr("total div k"))
-    targets = sizes.select("file_id", "n", F.explode(F.expr("transform(sequence(1, k - 1), i -> i * share)")).alias("target"))
-    targets = targets.withColumns({"low": F.greatest(F.lit(0), F.col("target") - reach), "high": F.least(F.col("n") - 1, F.col("target") + reach)})
-    found = largest_near(numbered, targets, "gap", reach)
-    cuts = targets.join(found, ["file_id", "target"], "left").select("file_id", F.when(F.col("value") >= 0, F.col("at")).otherwise(F.col("target")).alias("idx")).distinct()
-    # the row behind a cut opens a part
-    opened = numbered.join(cuts.select("file_id", (F.col("idx") + 1).alias("idx"), F.lit(1).alias("opens")), ["file_id", "idx"], "left")
-    part = F.sum(F.coalesce("opens", F.lit(0))).over(Window.partitionBy("file_id").orderBy("idx"))
-    return opened.withColumn("part", part).groupBy("file_id", "part").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.count(F.lit(1)).alias("n_rows"))
+    whole = Window.partitionBy("file_id")
+    gap, after = F.lead("start_ms").over(w) - F.col("end_ms"), F.lead("start_ms", 2).over(w) - F.lead("end_ms").over(w)
+    numbered = rows.select(
+        "file_id",
+        "ord",
+        (F.row_number().over(w) - 1).cast("long").alias("idx"),
+        gap.alias("gap"),
+        (F.coalesce(gap <= F.col("start_ms") - F.lag("end_ms").over(w), F.lit(False)) | F.coalesce(gap < after, F.lit(False))).alias("beaten"),
+        F.lead("ord").over(w).alias("next_ord"),
+        F.count(F.lit(1)).over(whole).alias("n"),
+        F.sum("words").over(whole).alias("total"),
+    )
+    sized = numbered.withColumn("k", F.expr(f"greatest(1, (total + {threshold} - 1) div {threshold})")).withColumn("share", F.expr("total div k"))
+    # a row that a neighbour beats is no best one, but where the reach, or the file, ends
+    asks = f"abs(i * share - idx) <= {reach} and (not beaten or i * share in (idx, idx + {reach}, idx - {reach} + 1) or idx >= n - 2)"
+    near = F.expr(f"filter(sequence(greatest(1, idx div share - {reach} div share - 1), least(k - 1, idx div share + {reach} div share + 1)), i -> {asks})")
+    # a file's ends are kept under target 0, where no part is cut
+    inside = F.expr(f"k > 1 and n > k and idx div share - {reach} div share - 1 <= k - 1")
+    ends = F.when((F.col("idx") == 0) | F.col("next_ord").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    asked = sized.withColumn("i", F.concat(ends, F.when(inside, near).otherwise(F.array().cast("array<bigint>")))).where(F.size("i") > 0)
+    target = F.col("i") * F.col("share")
+    free = (F.col("i") > 0) & (F.col("idx") >= target - reach) & (F.col("idx") < F.least(F.col("n") - 1, target + reach))
+    place = F.struct(F.col("gap").alias("v"), (-F.col("idx")).alias("at"), "ord", "next_ord")
+    own = F.struct((-F.col("idx")).alias("at"), "ord", "next_ord")
+    best = asked.withColumn("i", F.explode("i")).groupBy("file_id", "i").agg(
+        F.max(F.when(free, place)).alias("best"), F.max(F.when(F.col("idx") == target, own)).alias("own"), F.min("ord").alias("low"), F.max("ord").alias("high"), F.max("n").alias("n")
+    )
+    moved = F.col("best.v") >= 0
+    at = lambda name: F.when(moved, F.col(f"best.{name}")).otherwise(F.col(f"own.{name}"))
+    cut = F.struct((-at("at")).alias("idx"), at("ord").alias("ord"), at("next_ord").alias("next_ord"))
+    is_cut = (F.col("i") > 0) & at("next_ord").isNotNull()
+    files = best.groupBy("file_id").agg(
+        F.sort_array(F.collect_set(F.when(is_cut, cut))).alias("cuts"), *(F.max(F.when(F.col("i") == 0, F.col(c))).alias(c) for c in ("low", "high", "n"))
+    )
+    # part p lies behind cut p - 1, up to cut p
+    bound = lambda idx, ord_, next_ord: F.struct(idx.cast("long").alias("idx"), ord_.alias("ord"), next_ord.alias("next_ord"))
+    opens = F.concat(F.array(bound(F.lit(-1), F.col("low"), F.col("low"))), "cuts")
+    closes = F.concat("cuts", F.array(bound(F.col("n") - 1, F.col("high"), F.col("high"))))
+    dealt = files.select("file_id", opens.alias("a"), closes.alias("b")).select("file_id", F.posexplode(F.arrays_zip("a", "b")).alias("part", "x"))
+    return dealt.select(
+        "file_id", F.col("part").cast("long").alias("part"), F.col("x.a.next_ord").alias("first_ord"), F.col("x.b.ord").alias("last_ord"), (F.col("x.b.idx") - F.col("x.a.idx")).alias("n_rows")
+    )

@@ -44,7 +44,7 @@ SELECT file_id, part::BIGINT AS part, min(ord) AS first_ord, max(ord) AS last_or
 )
 def pause_parts(spark, d):
     """Words of all documents in parts of about 100, cut at the longest pauses near equal shares."""
-    rows = V.doc_words(spark, d).select("file_id", F.col("word_id").alias("ord"), "start_ms", "end_ms", F.lit(1).alias("words"))
+    rows = V.doc_words(spark, d, by_file=True).select("file_id", F.col("word_id").alias("ord"), "start_ms", "end_ms", F.lit(1).alias("words"))
     return partition.parts(rows, 100)
 
 

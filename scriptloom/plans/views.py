@@ -224,10 +224,16 @@ doc_line_rows AS (SELECT doc_id AS file_id, unnest(range(1, len(l) + 1)) AS line
 doc_lines AS (SELECT * FROM doc_line_rows WHERE trim(line) <> '')"""
 
 
-def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of documents; each gets an equal share of a duration of 60 ms a character."""
+def documents_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt by their id: texts move instead of their words, which are many times larger as rows."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", "text").repartition("doc_id")
+
+
+def doc_words(spark: SparkSession, sf_dir: str, by_file: bool = False) -> DataFrame:
+    """Words of documents; each gets an equal share of a duration of 60 ms a character. ``by_file``: dealt by file."""
     w = F.regexp_extract_all("text", F.lit(T.L.WORD), F.lit(0))
-    rows = table(spark, sf_dir, "documents").withColumn("w", w).select("doc_id", "n_chars", F.size("w").alias("n"), F.posexplode("w").alias("k", "surface"))
+    docs = documents_by_id(spark, sf_dir) if by_file else table(spark, sf_dir, "documents")
+    rows = docs.withColumn("w", w).select("doc_id", "n_chars", F.size("w").alias("n"), F.posexplode("w").alias("k", "surface"))
     at = lambda k: F.expr(f"n_chars * 60 * ({k}) div n")
     return rows.select(
         F.col("doc_id").alias("file_id"),
