@@ -183,10 +183,14 @@ def boundary_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def restored_words(words: DataFrame, rows: DataFrame, min_missing_ms: int = 700, most_words: int = 18) -> DataFrame:
     """Rows for stretches of words that no row covers.
 
-    The rows' ranges are spelled out as word ids, so words leave by equality: no more rows than words.
+    Ranges open and close among the words of their file, so words move once and no range is spelled out.
     """
-    covered = rows.where("word_start <= word_end").select("file_id", F.explode(F.sequence("word_start", "word_end")).alias("word_id"))
-    loose = words.join(covered.distinct(), ["file_id", "word_id"], "left_anti")
+    edge = lambda at, step: F.struct(at.cast("long").alias("word_id"), F.lit(step).alias("step"))
+    both = F.array(edge(F.col("word_start"), 1), edge(F.col("word_end") + 1, -1))
+    edges = rows.where("word_start <= word_end").select("file_id", F.inline(both))
+    marked = words.select("file_id", "word_id", "surface", "start_ms", "end_ms", F.lit(0).alias("step")).unionByName(edges, allowMissingColumns=True)
+    depth = F.sum("step").over(running(Window.partitionBy("file_id").orderBy("word_id", F.col("step") == 0)))
+    loose = marked.withColumn("depth", depth).where("step = 0 and depth = 0").drop("step", "depth")
     w = Window.partitionBy("file_id").orderBy("word_id")
     islands = loose.withColumn("island", F.col("word_id") - F.row_number().over(w))
     own = Window.partitionBy("file_id", "island").orderBy("word_id")

@@ -489,7 +489,7 @@ SELECT file_id, min(word_id) AS word_start, max(word_id) AS word_end, min(start_
 FROM p GROUP BY file_id, g, k HAVING max(end_ms) - min(start_ms) >= 700"""
 )
 def restored_word_ranges(spark, d):
-    words = V.doc_words(spark, d)
+    words = V.doc_words(spark, d, by_file=True)
     rows = words.where("word_id % 40 = 0").select("file_id", F.col("word_id").alias("word_start"), (F.col("word_id") + 8).alias("word_end"))
     return windows.restored_words(words, rows)
 

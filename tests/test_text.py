@@ -67,3 +67,13 @@ def test_load(spark):
     assert one(spark, loaded, a="one two three four five six seven eight nine ten", b="", c=800) is True
     assert one(spark, loaded, a="yeah", b="", c=100) is False
     assert one(spark, T.target_chinese(F.col("a")), a=2000) == 16
+
+
+def test_restored_words_of_overlapping_ranges(spark):
+    """Words outside of nested, touching, empty and endless ranges; ranges aren't spelled out, however long."""
+    from scriptloom.operators import windows
+
+    words = spark.createDataFrame([(f, k, f"w{k}", k * 1000, k * 1000 + 900) for f in (1, 2, 3) for k in range(12)], "file_id long, word_id long, surface string, start_ms long, end_ms long")
+    rows = spark.createDataFrame([(1, 0, 3), (1, 1, 2), (1, 4, 5), (1, 9, 8), (2, 10, 10**15), (2, -(10**15), 0), (4, 1, 2), (1, None, 3)], "file_id long, word_start long, word_end long")
+    got = {(r.file_id, r.word_start, r.word_end) for r in windows.restored_words(words, rows).collect()}
+    assert got == {(1, 6, 11), (2, 1, 9), (3, 0, 11)}
