@@ -27,7 +27,7 @@ SELECT * FROM coded WHERE codes <> ''"""
 def boundary_rules(spark, d):
     """Every boundary between two words of all documents against all pair rules."""
     parts = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    words = V.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.posexplode(parts).alias("word_id", "surface"))
+    words = V.documents_by_id(spark, d).select(F.col("doc_id").alias("file_id"), F.posexplode(parts).alias("word_id", "surface"))
     start = F.col("word_id").cast("long") * 400
     end = start + 390 - (F.col("file_id") * 7 + F.col("word_id") * 131) % 600
     return boundaries.word_boundaries(words.select("file_id", F.col("word_id").cast("long"), "surface", start.alias("start_ms"), end.alias("end_ms")))
