@@ -2,7 +2,7 @@
 
 Rows and sentences of a file stream side by side, ordered by the words before them, through a
 cursor. A window of rows is compared by the Ratcliff-Obershelp ratio only if the longest common
-subsequence, which one pass of bit rows gives for all windows of a start, allows a better one.
+subsequence, which one pass of bit rows gives for all windows, allows a better one.
 """
 
 from __future__ import annotations
@@ -11,44 +11,122 @@ from collections import deque
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptloom.operators.sequential import Step, mixed_words, stream
-from scriptloom.operators.similarity import ratio_of
+from scriptloom.operators.similarity import LONG_TEXT, ratio_of
 
 LEAST_RATIO, SHIFT, LOST_SHIFT, MOST_UNMATCHED = 0.5, 30, 100, 5
 ROW, SENTENCE = 0, 1
+#: A text of rows, and where each row begins and the text up to it ends.
+Joined = tuple[str, list[int], list[int]]
+#: Windows of a sentence that are decided without closer bounds.
+EASY = 8
+#: Bytes of bit rows held at once.
+BLOCK_BYTES = 1 << 22
 
 
 def plain(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def _bounds(sentence: str, rows: list[str], widths: range) -> list[float]:
-    """Upper bounds of the ratio of a sentence with the first rows, for each width.
+def _joined(texts: list[str]) -> tuple[str, list[int], list[int]]:
+    """Plain text of all rows, where each row's first letter stands in it, and where the text up to each row ends."""
+    out, firsts, ends = [], [], []
+    size, blank = 0, False
+    for row in texts:
+        low = row.lower()
+        if words := " ".join(low.split()):
+            if size and (blank or low[0].isspace()):
+                out.append(" ")
+                size += 1
+            firsts += [size] * (len(ends) + 1 - len(firsts))  # blank rows before begin here too
+            out.append(words)
+            size += len(words)
+            blank = low[-1].isspace()
+        else:
+            blank = blank or bool(low)
+        ends.append(size)
+    firsts += [size] * (len(ends) - len(firsts))
+    return "".join(out), firsts, ends
 
-    No matching is longer than the longest common subsequence, whose row of bits goes on from
-    width to width, so all widths cost one pass over the rows.
+
+def _bounds(sentence: str, joined: Joined, starts: int, widths: range) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, widths, lengths and upper bounds of the ratio of a sentence with all windows of rows.
+
+    No matching is longer than the longest common subsequence. Its rows of bits go on from width to
+    width, and those of all starts lie side by side in one number, a spare bit apart, so one pass
+    over the longest window serves all windows.
     """
+    text, firsts, ends = joined
     size = len(sentence)
-    places: dict[str, int] = {}
-    for i, c in enumerate(sentence):
-        places[c] = places.get(c, 0) | 1 << i
-    free = full = (1 << size) - 1
-    blank, length, out = False, 0, []
-    for k, row in enumerate(rows[: widths.stop - 1], 1):
-        for c in row.lower():
-            if c.isspace():
-                blank = length > 0
-                continue
-            for x in (" ", c) if blank else (c,):
-                hit = free & places.get(x, 0)
-                free = (free + hit | free - hit) & full
-                length += 1
-            blank = False
-        if k >= widths.start:
-            out.append(2.0 * (size - free.bit_count()) / max(1, size + length))
+    start, width = (x.ravel() for x in np.meshgrid(np.arange(starts), np.arange(widths.start, widths.stop), indexing="ij"))
+    held = start + width <= len(ends)
+    start, width = start[held], width[held]
+    lengths = np.maximum(0, np.array(ends)[start + width - 1] - np.array(firsts)[start])
+    lane = size // 8 + 1
+    letters = sorted(set(sentence))
+    masks = np.zeros((len(letters) + 1, lane), dtype=np.uint8)  # the last for letters that the sentence lacks
+    for k, x in enumerate(letters):
+        mask = sum(1 << i for i, c in enumerate(sentence) if c == x)
+        masks[k] = np.frombuffer(mask.to_bytes(lane, "little"), dtype=np.uint8)
+    known = {x: k for k, x in enumerate(letters)}
+    longest = int(lengths.max(initial=0))
+    codes = np.array([known.get(c, len(letters)) for c in text] + [len(letters)] * longest, dtype=np.intp)
+    at = np.array(firsts[:starts], dtype=np.intp)
+    bytes_ = lane * starts
+    free = full = int.from_bytes(((1 << size) - 1).to_bytes(lane, "little") * starts, "little")
+    common = np.zeros(len(start), dtype=np.int64)
+    steps = max(1, BLOCK_BYTES // bytes_)
+    for low in range(0, longest, steps):
+        high = min(longest, low + steps)
+        hits = masks[codes[at[None, :] + np.arange(low, high)[:, None]]].tobytes()
+        states = []
+        for k in range(0, len(hits), bytes_):
+            hit = free & int.from_bytes(hits[k : k + bytes_], "little")
+            free = (free + hit | free - hit) & full
+            states.append(free.to_bytes(bytes_, "little"))
+        rows = np.frombuffer(b"".join(states), dtype=np.uint8).reshape(high - low, starts, lane)
+        done = np.flatnonzero((lengths > low) & (lengths <= high))
+        for some in np.array_split(done, len(done) * lane // BLOCK_BYTES + 1):
+            common[some] = size - np.bitwise_count(rows[lengths[some] - 1 - low, start[some]]).sum(axis=1, dtype=np.int64)
+    return start, width, lengths, 2.0 * common / np.maximum(1, size + lengths)
+
+
+def _rare_bounds(sentence: str, joined: Joined, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Closer bounds for windows of ``LONG_TEXT`` letters or more, infinite for others.
+
+    Every matching block of such a window holds a letter that is rare in it, but for one that may
+    open both texts. So no matching is longer than the longest runs through the sentence's rare
+    letters, as many of each as the window has, and the run that opens both.
+    """
+    text, firsts, _ = joined
+    out = np.full(len(start), np.inf)
+    long = np.flatnonzero(lengths >= LONG_TEXT)
+    if not len(long):
+        return out
+    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for x in (sentence, text))
+    # lengths of the equal runs that begin at each letter, from the last row of the table to its first
+    reach, ahead = np.zeros(len(a), dtype=np.int64), np.zeros(len(b) + 1, dtype=np.int64)
+    before = ahead[:-1]
+    for i in range(len(a) - 1, -1, -1):
+        before = np.where(b == a[i], ahead[1:] + 1, 0)
+        ahead[:-1] = before
+        reach[i] = before.max(initial=0)
+    span = np.zeros(len(a), dtype=np.int64)  # the longest run through each letter
+    for i, n in enumerate(reach.tolist()):
+        np.maximum(span[i : i + n], n, out=span[i : i + n])
+    size, low = lengths[long], np.array(firsts)[start[long]]
+    most = size // 100 + 1
+    letters = before[low]
+    for c in np.unique(a):
+        longest = np.concatenate(([0], np.cumsum(np.sort(span[a == c])[::-1])))
+        count = np.concatenate(([0], np.cumsum(b == c)))
+        n = count[low + size] - count[low]
+        letters += np.where(n <= most, longest[np.minimum(n, len(longest) - 1)], 0)
+    out[long] = 2.0 * letters / (len(a) + size)
     return out
 
 
@@ -72,7 +150,7 @@ def _equal(sentence: str, texts: list[str], starts: int, widths: range, size: in
 
 def best_window(sentence: str, texts: list[str], shift: int, size: int) -> tuple[int, int, float, int, int]:
     """Start, size and ratio of the rows most like a plain sentence; also the numbers of windows and of
-    ratios computed. ``texts``: the rows from the cursor on. Ratio 0 if none reaches ``LEAST_RATIO``.
+    those that the common subsequence leaves to the ratio or, for long texts, to a closer bound. ``texts``: the rows from the cursor on. Ratio 0 if none reaches ``LEAST_RATIO``.
 
     A window that equals the sentence ends the search. Of equal ratios the window first in the order of sizes near ``size``, then starts, counts. Windows
     are tried by their bound, greatest first, until no bound reaches the best.
@@ -81,24 +159,36 @@ def best_window(sentence: str, texts: list[str], shift: int, size: int) -> tuple
     starts = min(shift + 1, len(texts) - widths.start + 1) if widths else 0
     if sentence and (same := _equal(sentence, texts, starts, widths, size)):
         return same[2], same[1], 1.0, 1, 1
-    windows = []
-    for start in range(starts):
-        limits = _bounds(sentence, texts[start : start + widths.stop], widths)
-        windows += [(-limit, abs(width - size), width, start) for width, limit in zip(widths, limits)]
+    if not starts:
+        return 0, 0, 0.0, 0, 0
+    # a final sigma is told from others by its neighbours, which differ from window to window
+    text, *edges = _joined(texts[: starts + widths.stop - 2])
+    plain_sigma = text.replace("ς", "σ"), sentence.replace("ς", "σ")
+    joined = plain_sigma[0], *edges
+    at, wide, lengths, limits = _bounds(plain_sigma[1], joined, starts, widths)
+    off = np.abs(wide - size)
+    hopeful = np.flatnonzero(limits >= LEAST_RATIO)
+    hopeful = hopeful[np.lexsort((at[hopeful], wide[hopeful], off[hopeful], -limits[hopeful]))]
     best, found, computed = 0.0, (0, 0, 0), 0
-    for limit, *rank in sorted(windows):
-        if -limit < max(best, LEAST_RATIO):
+    closer: dict[int, float] = {}
+    for k in hopeful.tolist():
+        limit, rank = float(limits[k]), (int(off[k]), int(wide[k]), int(at[k]))
+        if limit < max(best, LEAST_RATIO):
             break
-        if -limit == best and tuple(rank) > found:
+        if limit == best and rank > found:
             continue
         computed += 1
+        if computed == EASY and "σ" not in text + sentence and "ς" not in text + sentence:
+            closer = dict(zip(hopeful.tolist(), _rare_bounds(sentence, joined, at[hopeful], lengths[hopeful]).tolist()))
+        if closer.get(k, 1.0) < max(best, LEAST_RATIO):
+            continue
         _, width, start = rank
-        ratio = ratio_of(sentence, plain("".join(texts[start : start + width])))
-        if ratio > best or ratio == best and tuple(rank) < found:
-            best, found = ratio, tuple(rank)
+        ratio = ratio_of(sentence, plain("".join(texts[start : start + width])), max(best, LEAST_RATIO))
+        if ratio > best or ratio == best and rank < found:
+            best, found = ratio, rank
     if best < LEAST_RATIO:
-        return 0, 0, 0.0, len(windows), computed
-    return found[2], found[1], best, len(windows), computed
+        return 0, 0, 0.0, len(at), computed
+    return found[2], found[1], best, len(at), computed
 
 
 def aligned(most_unmatched: int = MOST_UNMATCHED) -> Step:

@@ -15,11 +15,69 @@ from scriptloom.functions import text as T
 from scriptloom.session import ship
 
 
-def ratio_of(a: str, b: str) -> float:
-    """Ratcliff-Obershelp ratio; pairs that cannot match skip the search."""
+#: Letters of a second text from which on difflib starts no run at the frequent ones: over 1 % of the text, and one.
+LONG_TEXT = 200
+#: Bits of the table of equal letters of two texts; larger ones are left to difflib.
+TABLE_BITS = 1 << 22
+
+
+def matched_letters(a: str, b: str, least: float = 0.0) -> int:
+    """Letters in the matching blocks that difflib finds for two short texts, from a table of equal
+    letters; 0 as soon as a ratio of ``least`` is out of reach.
+
+    The table is one number, a row of bits for each letter of ``a``. Anded with itself a diagonal
+    step on, it keeps the starts of runs; its lowest bit is the run first in ``a``, then in ``b``.
+    """
+    places: dict[str, int] = {}
+    for j, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << j
+    wide = len(b) // 8 + 1  # bytes of a row; at least one bit at its end stays free
+    row, step = wide * 8, wide * 8 + 1
+    rows = {c: m.to_bytes(wide, "little") for c, m in places.items()}
+    none = bytes(wide)
+    table = int.from_bytes(b"".join([rows.get(c, none) for c in a]), "little")
+    each = int.from_bytes((b"\1" + bytes(wide - 1)) * len(a), "little")  # the first bit of every row
+    todo, total, hope = [(0, len(a), 0, len(b))], 0, min(len(a), len(b))
+    while todo:
+        if 2.0 * hope / (len(a) + len(b)) < least:
+            return 0
+        i0, i1, j0, j1 = todo.pop()
+        n = i1 - i0
+        hope -= min(n, j1 - j0)  # what is found or may still be
+        # rows i0 to i1, columns j0 to j1
+        part = table >> i0 * row & (each & (1 << n * row) - 1) * ((1 << j1) - (1 << j0))
+        if not part:
+            continue
+        runs, size, jumps = part, 1, [part]
+        while longer := runs & runs >> size * step:
+            runs, size = longer, 2 * size
+            jumps.append(runs)
+        # starts of runs of ``size``; try each smaller power of two more
+        for k in range(len(jumps) - 2, -1, -1):
+            if longer := runs & jumps[k] >> size * step:
+                runs, size = longer, size + (1 << k)
+        i, j = divmod((runs & -runs).bit_length() - 1, row)
+        i += i0
+        total += size
+        hope += size
+        if i > i0 and j > j0:
+            todo.append((i0, i, j0, j))
+            hope += min(i - i0, j - j0)
+        if i + size < i1 and j + size < j1:
+            todo.append((i + size, i1, j + size, j1))
+            hope += min(i1 - i, j1 - j) - size
+    return total
+
+
+def ratio_of(a: str, b: str, least: float = 0.0) -> float:
+    """Ratcliff-Obershelp ratio; pairs that cannot match skip the search, a ratio below ``least`` may be 0."""
     if a == b:
         return 1.0
-    return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    if not a or not b:
+        return 0.0
+    if len(b) >= LONG_TEXT or len(a) * (len(b) + 8) > TABLE_BITS:
+        return SequenceMatcher(None, a, b).ratio()
+    return 2.0 * matched_letters(a, b, least) / (len(a) + len(b))
 
 
 def lcs_of(a: str, b: str) -> int:
