@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptloom.functions import boundaries as B
 from scriptloom.functions import lexicons as L
+from scriptloom.session import compile_long_rules, once
 
 
 def clean_token(surface):
@@ -20,6 +21,7 @@ def word_boundaries(words: DataFrame) -> DataFrame:
     ``words``: ``file_id, word_id, surface, start_ms, end_ms``; times may be null. Neighbours come
     from one window over a file's words, so one shuffle serves all rules.
     """
+    compile_long_rules(words.sparkSession)
     w = Window.partitionBy("file_id").orderBy("word_id")
     token = {"l": clean_token(F.col("surface"))}
     near = {"l3": F.lag("l", 2), "l2": F.lag("l", 1), "r": F.lead("l", 1), "r2": F.lead("l", 2), "r3": F.lead("l", 3)}
@@ -34,7 +36,8 @@ def word_boundaries(words: DataFrame) -> DataFrame:
             "l_sep": F.col("surface").rlike(r"[,;:]\s*$"),
         }
     )
-    return marked.where("r is not null").select("file_id", "word_id", B.pair_codes().alias("codes")).where("codes <> ''")
+    coded = marked.where("r is not null").select("file_id", "word_id", B.pair_codes().alias("codes"))
+    return once(coded, "codes").where("codes <> ''")
 
 
 def fragments(rows: DataFrame) -> DataFrame:
@@ -42,6 +45,7 @@ def fragments(rows: DataFrame) -> DataFrame:
 
     ``rows``: ``file_id, ord, speaker, start_ms, end_ms, text``.
     """
+    compile_long_rules(rows.sparkSession)
     w = Window.partitionBy("file_id").orderBy("ord")
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(L.WORD), F.lit(0))
     near = {
@@ -59,6 +63,7 @@ def fragments(rows: DataFrame) -> DataFrame:
         .withColumns({name: f.over(w) for name, f in near.items()})
         .withColumns({"pause": F.col("next_start") - F.col("end_ms"), "crossed_after": differs("next_speaker"), "crossed_before": differs("previous_speaker")})
     )
-    return seen.select(
+    coded = seen.select(
         "file_id", "ord", F.expr(B.trailing_fragment(B.SPARK)).alias("trailing_issue"), F.expr(B.codes(B.row_rules(B.SPARK))).alias("codes")
-    ).where("trailing_issue <> '' or codes <> ''")
+    )
+    return once(coded, "trailing_issue", "codes").where("trailing_issue <> '' or codes <> ''")
