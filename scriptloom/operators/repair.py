@@ -19,6 +19,7 @@ from scriptloom.functions import boundary_words as W
 from scriptloom.functions import lexicons as L
 from scriptloom.operators.boundaries import clean_token
 from scriptloom.operators.sequential import Step, stream
+from scriptloom.session import compile_long_rules
 
 MAX_WORDS = 16
 #: Items kept behind the place of the repair; steps a loop may take: so many, or so many an item.
@@ -110,6 +111,7 @@ def marked(words: DataFrame) -> DataFrame:
     ``words``: ``file_id, word_id, item, speaker, surface, start_ms, end_ms``. One window over a
     file's words serves all rules.
     """
+    compile_long_rules(words.sparkSession)
     w = Window.partitionBy("file_id").orderBy("word_id")
     near = {"l3": F.lag("l", 2), "l2": F.lag("l", 1), "r": F.lead("l", 1), "r2": F.lead("l", 2), "r3": F.lead("l", 3)}
     near |= {"next_start": F.lead("start_ms", 1), "before": F.lag("surface", 1), "next_speaker": F.lead("speaker", 1)}
