@@ -219,6 +219,30 @@ def variant_buckets(words: DataFrame) -> DataFrame:
     return scored.where((F.col("ratio") >= 0.62) & (F.col("ratio") < 1.0)).withColumn("ratio", F.round("ratio", 3))
 
 
+#: Keys of one text that stand together in a row.
+KEYS_A_ROW = 256
+
+
+def bounded_distances(rows: DataFrame, key: str, text: str, on: list[str], most: int = 3) -> DataFrame:
+    """``a_key, b_key, distance``: all pairs of rows that agree on ``on``, those above ``most`` edits as ``most + 1``.
+
+    The keys of one text stand in rows of up to ``KEYS_A_ROW``, so that a distance is computed once for
+    each two rows of keys, and the pairs are exploded, not joined. Null texts have null distances.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.row_number().over(Window.partitionBy(*on, text).orderBy(key)) - 1
+    numbered = rows.select(*on, F.col(text).alias("text"), F.col(key).alias("key"), F.floor(place / KEYS_A_ROW).alias("chunk"))
+    lists = numbered.groupBy(*on, "text", "chunk").agg(F.collect_list("key").alias("keys")).withColumn("id", F.struct("text", "chunk"))
+    # a few bytes make many pairs: a number that is given isn't merged
+    dealt = lists.repartition(parts, *on)
+    a, b = dealt.alias("a"), dealt.alias("b")
+    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on] + [F.col("a.id") <= F.col("b.id")])
+    distance = F.pmod(F.levenshtein("a.text", "b.text", most), F.lit(most + 2))  # above the bound it is -1
+    one = met.select(distance.cast("long").alias("distance"), (F.col("a.id") == F.col("b.id")).alias("own"), F.col("b.keys").alias("others"), F.explode("a.keys").alias("x"))
+    both = one.select("distance", "own", "x", F.explode("others").alias("y")).where("x < y or (x > y and not own)")
+    return both.select(F.least("x", "y").alias("a_key"), F.greatest("x", "y").alias("b_key"), "distance")
+
+
 #: Words that a window longer than the term neither begins nor ends with.
 BOUNDARY_FILLERS = "right yeah yes yep okay ok well so and or but on in at to from with by for of the a an based".split()
 MAX_WINDOW = 8

@@ -808,11 +808,9 @@ def first_sentence_evidence(spark, d):
 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey"""
 )
 def bounded_edit_distance(spark, d):
-    p = V.table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    a, b = p.alias("a"), p.alias("b")
-    pairs = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    x = F.levenshtein("a.p_name", "b.p_name", 3)
-    return pairs.select(F.col("a.p_partkey").alias("a_key"), F.col("b.p_partkey").alias("b_key"), F.when(x < 0, 4).otherwise(x).cast("long").alias("distance"))
+    from scriptloom.operators.similarity import bounded_distances
+
+    return bounded_distances(V.table(spark, d, "part"), "p_partkey", "p_name", ["p_brand", "p_size"])
 
 
 @query(
