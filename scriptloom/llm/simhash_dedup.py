@@ -57,12 +57,16 @@ def fingerprint(text: str | None, n: int = SHINGLE_WORDS) -> int:
     hashes = np.array(
         [digest(joined[a:b], HASH_SEED) for a, b in zip(starts, ends[n - 1 :].tolist())], dtype="<u8"
     )
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes (little-endian unsigned 64-bit)."""
     tally = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
         block = hashes[at : at + 4096].view(np.uint8).reshape(-1, 8)
         tally += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    majority = (2 * tally > len(hashes)).astype(np.uint8)
-    return int.from_bytes(np.packbits(majority, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits((2 * tally > len(hashes)).astype(np.uint8), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
