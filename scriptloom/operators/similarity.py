@@ -256,23 +256,19 @@ def phrase_windows(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """
     longest = terms.agg(F.max("tokens").alias("n")).first().n or 0
     parts = F.regexp_extract_all(F.lower(T.blank(F.col("text"))), F.lit(rf"(?:{L.WORD})|[.!?]+(?=\s|$)"), F.lit(0))
-    numbered = texts.select("text").withColumn("row", F.monotonically_increasing_id())  # before the explosion, which would number words
-    words = numbered.select("row", F.posexplode(parts).alias("at", "word"))
-    words = words.withColumn("word", F.when(~F.col("word").rlike("^[.!?]"), F.col("word")))
-    w = Window.partitionBy("row").orderBy("at")
-    ahead = words.withColumns({f"w{k}": F.lead("word", k).over(w) for k in range(min(MAX_WINDOW, longest + 1))})
     # a mark or the end of the text is null, and so is every window that holds it
-    window = lambda k: F.array_join(F.array(*[F.col(f"w{j}") for j in range(k)]), " ", "")
-    whole = lambda k: F.when(F.expr(" and ".join(f"w{j} is not null" for j in range(k))), window(k))
-    found = F.array(*[F.struct(whole(k).alias("phrase"), F.lit(k).alias("size")) for k in range(1, min(MAX_WINDOW, longest + 1) + 1)])
-    return ahead.select(F.explode(found).alias("f")).select("f.*").where("phrase is not null").distinct()
+    words = F.transform(parts, lambda x: F.when(~x.rlike("^[.!?]"), x))
+    sizes = range(1, min(MAX_WINDOW, longest + 1) + 1)
+    glued = lambda i, k: F.concat(*[x for j in range(k) for x in (F.lit(" "), F.get("w", i + j))][1:])
+    found = F.transform("w", lambda _, i: F.array(*[F.struct(glued(i, k).alias("phrase"), F.lit(k).alias("size")) for k in sizes]))
+    return texts.select(words.alias("w")).select(F.explode(F.flatten(found)).alias("f")).select("f.*").where("phrase is not null").distinct()
 
 
 def glossary_candidates(phrases: DataFrame, terms: DataFrame, least: float = L.REVIEW_CONFIDENCE) -> DataFrame:
     """Phrases that may be misheard terms.
 
     ``phrases``: ``phrase, size`` (distinct); ``terms``: ``term, tokens``. Joined on a number of
-    tokens that differs by one at most; a length bound of the ratio filters before Python.
+    tokens that differs by one at most; bounds of the ratio by lengths and letters filter before Python.
     """
     from scriptloom.operators.joins import near_sizes
 
@@ -281,7 +277,10 @@ def glossary_candidates(phrases: DataFrame, terms: DataFrame, least: float = L.R
     pairs = near_sizes(phrases.withColumns(keys("phrase")), terms.withColumns(keys("term")))
     ends = [F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1)]
     pairs = pairs.where((F.col("size") <= F.col("tokens")) | ~(ends[0].isin(BOUNDARY_FILLERS) | ends[1].isin(BOUNDARY_FILLERS)))
-    bound = lambda a, b, low: 2 * F.least(F.length(a), F.length(b)) >= low * (F.length(a) + F.length(b))
+    # letters of one that the other holds at all: as many as common ones at least
+    held = lambda a, b: F.length(a) - F.length(F.expr(f"translate({a}, {b}, '')"))
+    reach = lambda n, a, b, low: 2 * n >= low * (F.length(a) + F.length(b))
+    bound = lambda a, b, low: reach(F.least(F.length(a), F.length(b)), a, b, low) & reach(held(a, b), a, b, low) & reach(held(b, a), a, b, low)
     near = pairs.where(bound("phrase_key", "term_key", least) | bound("phrase_sound", "term_sound", least / 0.98))
 
     @F.pandas_udf("spelling double, sound double")

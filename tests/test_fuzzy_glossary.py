@@ -35,3 +35,14 @@ def test_query_sees_terms_heard_as_two_words(spark, tmp_path):
     spark.createDataFrame([("cybernetics other",)], "p_name string").write.parquet(str(tmp_path / "part.parquet"))
     rows = catalog.QUERIES["fuzzy_glossary"](spark, str(tmp_path)).collect()
     assert [(r.phrase, r.term) for r in rows if r.applies] == [("cyber netics", "cybernetics")]
+
+
+def test_windows_need_no_sort_and_few_pairs_reach_python(spark):
+    """Words aren't shuffled before they are windows, and letters bound the ratio in the JVM."""
+    texts = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    terms = spark.createDataFrame(TERMS, "term string, tokens int")
+    windows = S.phrase_windows(texts, terms)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan(windows)
+    text = plan(S.glossary_candidates(windows, terms))
+    assert text.index("ArrowEvalPython") < text.index("translate(phrase_key")
