@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptloom.functions import lexicons as L
+from scriptloom.session import checkpointed
 
 #: Rows up to which the phrases' tokens are broadcast; more are joined by a shuffle.
 SMALL = 200_000
@@ -36,7 +37,7 @@ def evidence(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """
     asked = phrases.select("phrase_id", _tokens(F.col("phrase")).alias("tokens")).where(F.size("tokens") > 0).dropDuplicates(["phrase_id"])
     parts = asked.select("phrase_id", F.size("tokens").alias("size"), F.posexplode("tokens").alias("k", "token"))
-    places = index(texts, parts.select("token").distinct())
+    places = checkpointed(index(texts, parts.select("token").distinct()))  # read four times below
     counts = places.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     known = parts.join(_few(counts), "token", "left")
     whole = known.groupBy("phrase_id").agg(F.min(F.coalesce("n", F.lit(0))).alias("least"), F.min(F.struct("n", "k", "token", "size")).alias("rare")).where("least > 0")
