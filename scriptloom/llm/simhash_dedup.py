@@ -41,6 +41,8 @@ HASH_SEED = 42
 HOT_LIST = 256
 #: Ids to drop that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Edges of a part in the rounds of the components (16 bytes each).
+PART_EDGES = 50_000
 
 
 def fingerprint(text: str | None, n: int = SHINGLE_WORDS) -> int:
@@ -191,35 +193,31 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star / small-star. Neighbourhood minima are partial aggregates and the
     rewrite is a plain join, so a hub with many neighbours is neither collected nor windowed.
-    Rounds go on until nothing changes, which they do in a logarithmic number of them.
+    Rounds go on until nothing changes, which they do in a logarithmic number of them. Edges are
+    counted and lie in parts of ``PART_EDGES``: a session's shuffle partitions, made for texts,
+    would leave files of a few bytes for every task, shuffle and round.
     """
-    state = None
+    state, n = None, edges.count()
     while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
-            edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where(F.col("v") > F.col("u"))
-            .join(least, "u")
-            .select(F.col("v").alias("x"), F.col("m").alias("y"))
-            .where("x != y")
-            .distinct()
-        )
+        few = lambda df: df.coalesce(max(1, -(-n // PART_EDGES)))  # noqa: B023, E731
+        ends = lambda u, v: few(edges).select(F.col(u).alias("u"), F.col(v).alias("v"))  # noqa: B023, E731
+        both = ends("a", "b").union(ends("b", "a"))
+        least = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = few(both.where(F.col("v") > F.col("u")).join(least, "u")).select(F.col("v").alias("x"), F.col("m").alias("y")).where("x != y")
         down = large.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        low = few(down.groupBy("u").agg(F.min("v").alias("m")))
         small = down.join(low, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).where("x != y").union(
             low.select(F.col("u").alias("x"), F.col("m").alias("y"))
         )
         edges = cut(  # reliable: a lost executor costs one round at most
-            small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            few(few(small).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         )
         now = edges.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")
         ).first()
         if (now.n, now.s) == state:
             break
-        state = (now.n, now.s)
+        state, n = (now.n, now.s), now.n
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(
         edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     )
