@@ -52,14 +52,22 @@ def anchors(english: Column) -> Column:
     return F.concat(numbers, F.coalesce(negation, F.slice(F.array(_anchor("negation", F.lit(""))), 1, 0)), F.transform(named, lambda x: _anchor("entity", x)))
 
 
-def present(kind: str, value: str, forms: str, text: str) -> str:
-    """SQL: does ``text`` show an anchor, a number also in one of its Chinese ``forms`` (X18)?"""
-    compact = rf"regexp_replace({text}, r'[,，\s]', '')"
-    letters = lambda x: f"lower(regexp_replace({x}, '[^0-9A-Za-z]+', ''))"
+def letters(text: Column) -> Column:
+    return F.lower(F.regexp_replace(text, "[^0-9A-Za-z]+", ""))
+
+
+def readings(text: Column) -> list[Column]:
+    """What ``present`` compares: the text as it is, without separators, and its ASCII letters and digits."""
+    return [text.alias("zh"), F.regexp_replace(text, r"[,，\s]", "").alias("compact"), letters(text).alias("letters")]
+
+
+def present(anchor: str, forms: str, text: str) -> str:
+    """SQL: does ``text`` show an anchor, a number also in one of its Chinese ``forms`` (X18)? ``text`` is a struct of
+    ``readings``; the anchor has the ``letters`` of its value, so nothing is replaced for a pair of them."""
     return (
-        f"CASE {kind} WHEN 'number' THEN contains({compact}, {value}) OR exists({forms}, form -> contains({compact}, form))"
-        f" WHEN 'negation' THEN {text} rlike '{HAN_NEGATION}'"
-        f" ELSE contains({text}, {value}) OR contains({letters(text)}, {letters(value)}) END"
+        f"CASE {anchor}.type WHEN 'number' THEN contains({text}.compact, {anchor}.value) OR exists({forms}, form -> contains({text}.compact, form))"
+        f" WHEN 'negation' THEN {text}.zh rlike '{HAN_NEGATION}'"
+        f" ELSE contains({text}.zh, {anchor}.value) OR contains({text}.letters, {anchor}.letters) END"
     )
 
 

@@ -61,8 +61,20 @@ def compact(x: str, d: Dialect) -> str:
     return replaced(x, "[ \t\r\n]+", d)
 
 
+def unstopped(x: str, d: Dialect) -> str:
+    return replaced(x, f"[{STOPS}]+$", d)
+
+
 def bare(x: str, d: Dialect) -> str:
-    return replaced(compact(x, d), f"[{STOPS}]+$", d)
+    return unstopped(compact(x, d), d)
+
+
+def bad_fragment(z: str, d: Dialect) -> str:
+    """P28 over a bare text."""
+    return (
+        f"{z} NOT IN ({quoted(f'{ANSWERS} {CONNECTIVES}')}) AND NOT ({z} LIKE '如果%' AND {d.matches.format(z, '[就会要能可必须]')}) AND {z} NOT LIKE '%你懂的'"
+        f" AND ({starts(z, BAD_PREFIXES)} OR {ends(z, BAD_SUFFIXES)})"
+    )
 
 
 def rules(d: Dialect) -> dict[str, str]:
@@ -72,10 +84,7 @@ def rules(d: Dialect) -> dict[str, str]:
     marker = " OR ".join(f"(lower(text) LIKE '%{en}%' AND NOT {contains('whole', zh)})" for en, zh in MARKERS)
     soft = f"{z} IN ({quoted(f'{ANSWERS} {SOFT_ANSWERS}')}) OR {match(z, '[吗呢吧啊]$')} OR {z} LIKE '%你懂的'"
     return {
-        "bad_fragment": (
-            f"{z} NOT IN ({quoted(f'{ANSWERS} {CONNECTIVES}')}) AND NOT ({z} LIKE '如果%' AND {match(z, '[就会要能可必须]')}) AND {z} NOT LIKE '%你懂的'"
-            f" AND ({starts(z, BAD_PREFIXES)} OR {ends(z, BAD_SUFFIXES)})"
-        ),
+        "bad_fragment": bad_fragment(z, d),
         "incomplete_group": f"{z} = '' OR (NOT ({soft}) AND ({ends(z, DANGLING)} OR NOT {match(z, ACTION)}))",
         "english_order": " OR ".join(match(compact("z", d), p) for p in ENGLISH_ORDER),
         "adjacent_boundary": (

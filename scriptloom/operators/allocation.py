@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from scriptloom.functions import boundaries as B
 from scriptloom.functions import numerals
 from scriptloom.functions import quality as Q
 from scriptloom.functions import text as T
-from scriptloom.functions.anchors import anchors, present
+from scriptloom.functions.anchors import anchors, letters, present, readings
 from scriptloom.operators.similarity import bag_of, common_of, lcs_of
 from scriptloom.session import ship
 
@@ -26,13 +28,17 @@ EXTRA = "forms array<array<string>>, common array<string>, omission string"
 
 
 def bad_part() -> str:
-    """SQL: is the text ``z`` of part ``i`` of ``n`` no piece of a sentence (P29)? Open ends and starts are none inside a group."""
-    text, bare = Q.compact("z", B.SPARK), Q.bare("z", B.SPARK)
+    """SQL: is the text of part ``i`` of ``n`` no piece of a sentence (P29)? Open ends and starts are none inside a group.
+
+    ``z`` has the text as ``text``, compact, and ``bare``: lambdas compute an expression wherever it stands, so each is
+    computed before.
+    """
+    text, bare = "z.text", "z.bare"
     return (
         f"CASE WHEN {bare} = '' THEN true WHEN {text} rlike '[。！？.!?]$' AND length({bare}) >= 4 THEN false"
         f" WHEN n > 1 AND length({bare}) <= 2 AND {bare} NOT IN ({B.quoted(SHORT_ANSWERS)}) THEN true"
         f" WHEN n > 1 AND ({Q.starts(bare, OPEN_STARTS)} OR (i < n - 1 AND {B.ends(bare, OPEN_ENDS)})) THEN false"
-        f" ELSE {Q.rules(B.SPARK)['bad_fragment']} END"
+        f" ELSE {Q.bad_fragment(bare, B.SPARK)} END"
     )
 
 
@@ -46,9 +52,13 @@ def omission_of(full: str, merged: str) -> str | None:
     return "low_full_translation_coverage" if lost else None
 
 
+#: Numbers repeat from group to group.
+forms = lru_cache(4096)(numerals.variants)
+
+
 def _extra(values: pd.Series, keys: pd.Series, full: pd.Series) -> pd.DataFrame:
     rows = [
-        ([numerals.variants(v) for v in numbers], [common_of(a, b) for a, b in zip(parts, parts[1:])], omission_of(whole, "".join(parts)))
+        ([forms(v) for v in numbers], [common_of(a, b) for a, b in zip(parts, parts[1:])], omission_of(whole, "".join(parts)))
         for numbers, parts, whole in zip(values, keys, full)
     ]
     return pd.DataFrame(rows, columns=["forms", "common", "omission"])
@@ -79,8 +89,7 @@ def _gathered(groups: DataFrame, parts: DataFrame, returned: DataFrame) -> DataF
     key = ["file_id", "group_no"]
     name = lambda c: F.trim(T.blank(F.col(c))).alias("id")
     part = F.struct("part_no", name("part_id"), T.blank(F.col("english")).alias("english"), anchors(F.col("english")).alias("anchors"))
-    text = T.normalize_text(F.col("chinese"))
-    got = F.struct("at", name("part_id"), T.blank(F.col("chinese")).alias("zh"), text.alias("text"), T.chinese_key(text).alias("key"))
+    got = F.struct("at", name("part_id"), T.blank(F.col("chinese")).alias("zh"))
     rows = groups.select(*key, T.blank(F.col("full_translation")).alias("full"))
     for side, c in ((parts.select(*key, part.alias("part")), "part"), (returned.select(*key, got.alias("got")), "got")):
         rows = rows.unionByName(side, allowMissingColumns=True)
@@ -88,7 +97,10 @@ def _gathered(groups: DataFrame, parts: DataFrame, returned: DataFrame) -> DataF
     # of repeated ids the first part and the last text count
     once = "filter(p, (x, i) -> NOT exists(slice(p, 1, i), y -> y.id = x.id))"
     last = "filter(g, (x, i) -> NOT exists(slice(g, i + 2, size(g)), y -> y.id = x.id))"
-    return packed.select(*key, F.expr("coalesce(full, '')").alias("full"), F.expr(once).alias("parts"), F.expr(last).alias("given"))
+    # what a lambda uses more than once is a field: lambdas compute an expression wherever it stands
+    given = F.transform(F.expr(last), lambda g: F.struct(g["id"].alias("id"), g["zh"].alias("zh"), T.normalize_text(g["zh"]).alias("text")))
+    given = F.transform(given, lambda g: F.struct(g["id"].alias("id"), g["text"].alias("text"), T.chinese_key(g["text"]).alias("key"), *readings(g["zh"])))
+    return packed.select(*key, F.expr("coalesce(full, '')").alias("full"), F.expr(once).alias("parts"), given.alias("given"))
 
 
 def validate(groups: DataFrame, parts: DataFrame, returned: DataFrame) -> DataFrame:
@@ -108,15 +120,19 @@ def validate(groups: DataFrame, parts: DataFrame, returned: DataFrame) -> DataFr
     rows = _gathered(groups, parts, returned).withColumns({"texts": take("text"), "keys": take("key"), "n": F.size("parts"), "a": F.expr(listed)})
     rows = rows.withColumns(
         {
-            "bad": F.expr(f"transform(texts, (z, i) -> {bad_part()})"),
+            "flat": F.expr(f"transform(texts, z -> {Q.compact('z', B.SPARK)})"),
             "a": F.expr("filter(a, (x, k) -> NOT exists(slice(a, 1, k), y -> y.value = x.value))"),
             "full_key": T.chinese_key(T.normalize_text(F.col("full"))),
+            "whole": F.struct(*readings(F.col("full"))),
         }
     )
+    rows = rows.withColumn("a", F.transform("a", lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"), x["at"].alias("at"), letters(x["value"]).alias("letters"))))
+    rows = rows.withColumn("flat", F.expr(f"transform(flat, z -> named_struct('text', z, 'bare', {Q.unstopped('z', B.SPARK)}))"))
+    rows = rows.withColumn("bad", F.expr(f"transform(flat, (z, i) -> {bad_part()})"))
     numbers = F.expr("transform(a, x -> CASE WHEN x.type = 'number' THEN x.value END)")
     rows = rows.withColumn("extra", F.pandas_udf(_extra, EXTRA)(numbers, F.col("keys"), F.col("full_key")))
-    shown = lambda text: present("x.type", "x.value", "extra.forms[k]", text)
-    seen = f"named_struct('type', x.type, 'value', x.value, 'at', x.at, 'shown', filter(given, g -> {shown('g.zh')}), 'in_full', {shown('full')})"
+    shown = lambda text: present("x", "extra.forms[k]", text)
+    seen = f"named_struct('type', x.type, 'value', x.value, 'at', x.at, 'shown', filter(given, g -> {shown('g')}), 'in_full', {shown('whole')})"
     rows = rows.withColumn("a", F.expr(f"transform(a, (x, k) -> {seen})"))
     issues = F.filter(F.concat(*map(F.expr, _issues())), lambda x: x["code"].isNotNull())
     rows = rows.withColumn("issues", issues).withColumn("codes", F.array_distinct(F.col("issues.code")))

@@ -146,8 +146,12 @@ def common_of(a: str, b: str) -> str:
     a, b = "".join(a.split()), "".join(b.split())
     if min(len(a), len(b)) < 12:
         return ""
+    least = 10
+    runs = {a[i : i + least] for i in range(len(a) - least + 1)}
+    if not any(b[i : i + least] in runs for i in range(len(b) - least + 1)):
+        return ""
     found = longest_common(a, b)
-    return found if len(found) >= max(10, int(min(len(a), len(b)) * 0.35)) and not EMPTY_PHRASE.fullmatch(found) else ""
+    return found if len(found) >= max(least, int(min(len(a), len(b)) * 0.35)) and not EMPTY_PHRASE.fullmatch(found) else ""
 
 
 def may_reach(a: str, b: str, low: float) -> bool:
