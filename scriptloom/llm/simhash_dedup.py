@@ -219,7 +219,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state, n = (now.n, now.s), now.n
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(
-        edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+        few(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     )
 
 
