@@ -1,9 +1,9 @@
 """Quality rules: base counts and a hashed n-gram log-likelihood ratio.
 
 Everything is DataFrame functions. Two multinomials over hashed word n-grams (single words and
-pairs) are estimated: the raw corpus from every row of the table, the trusted target from the
-rows that labels call good (at most ``TRUSTED_ROWS`` of them). A document's score is the mean log
-ratio of its n-grams, and every document is held against one threshold.
+pairs) are estimated: the raw corpus from every row of the table, the trusted target from all
+rows that labels call good. A document's score is the mean log ratio of its n-grams, and every
+document is held against one threshold.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import WORD_BREAKS, double_array, let, words
+from scriptloom.llm.common import WORD_BREAKS, broadcast_if_small, double_array, let, words
 
 BUCKETS = 65_536
-#: Bound of the labelled sample that the trusted multinomial is fitted on (least hashes first).
-TRUSTED_ROWS = 20_000
+#: Ids of good rows up to this number are broadcast to the texts; beyond it both are shuffled.
+BROADCAST_IDS = 1_000_000
 THRESHOLD = -0.16
 PRIOR = 5.0
 SYMBOLS = "#*$%&|<>"
@@ -84,7 +84,7 @@ def with_score(hashed: DataFrame, weights: list[float]) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
-    """Log ratio of each bucket: the trusted sample's count over the one that the raw corpus lets expect.
+    """Log ratio of each bucket: the count in all rows labelled good over the one that the raw corpus lets expect.
 
     ``PRIOR`` n-grams are added on both sides, which leaves rare buckets near zero. Without rows
     labelled good all ratios are 0. One pass over all rows of ``docs``; the driver gets
@@ -93,13 +93,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     weights = [0.0] * BUCKETS
     if not labels.where("quality = 1").take(1):
         return weights
-    trusted = F.broadcast(
-        labels.where("quality = 1 and doc_id is not null")
-        .select(F.col("doc_id").alias("trusted_id"))
-        .distinct()
-        .orderBy(F.xxhash64("trusted_id"), "trusted_id")
-        .limit(TRUSTED_ROWS)
-    )
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
+    trusted, small = broadcast_if_small(good, BROADCAST_IDS)
+    if not small:
+        trusted = trusted.hint("shuffle_hash")  # texts needn't be sorted
     seen = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("trusted_id"), "left")
     grams = with_hashes(seen).select(F.col("trusted_id").isNotNull().cast("int").alias("good"), F.explode(F.concat("_one", "_two")).alias("gram"))
     counts = grams.groupBy(_bucket(F.col("gram")).alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")).collect()
