@@ -245,6 +245,22 @@ def doc_words(spark: SparkSession, sf_dir: str, by_file: bool = False) -> DataFr
     )
 
 
+#: Words of a block of :func:`doc_word_blocks`.
+WORD_BLOCK = 512
+
+
+def doc_word_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of :func:`doc_words` as arrays: ``file_id, block, words`` of ``word_id, token, start_ms, end_ms``."""
+    w = F.regexp_extract_all("text", F.lit(T.L.WORD), F.lit(0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", w.alias("w")).select("*", F.size("w").alias("n"))
+    cut = F.expr(f"case when n > 0 then transform(sequence(0, (n - 1) div {WORD_BLOCK}), b -> slice(w, cast(b * {WORD_BLOCK} + 1 as int), {WORD_BLOCK})) end")
+    rows = docs.select(F.col("doc_id").alias("file_id"), "n_chars", "n", F.posexplode(cut).alias("block", "w"))
+    at = lambda k: f"n_chars * 60 * ({k}) div n"
+    place = f"(block * {WORD_BLOCK} + i)"
+    word = f"struct(cast({place} as bigint) as word_id, lower(x) as token, {at(place)} as start_ms, {at(place + ' + 1')} - {place} % 7 * 15 as end_ms)"
+    return rows.select("file_id", "block", F.expr(f"transform(w, (x, i) -> {word})").alias("words"))
+
+
 DOC_WORDS = rf"""doc_word_lists AS (SELECT doc_id, n_chars, regexp_extract_all(text, '{SQL_WORD}') AS w FROM documents),
 doc_word_rows AS (SELECT doc_id, n_chars, len(w) AS n, unnest(range(len(w))) AS k, unnest(w) AS surface FROM doc_word_lists),
 doc_words AS (SELECT doc_id AS file_id, k AS word_id, surface, lower(surface) AS token,

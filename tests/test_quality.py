@@ -131,3 +131,46 @@ def test_mapped_words_like_a_plain_loop(spark):
     got = O.mapped_words(s, a)
     assert got.columns == ["file_id", "ord", "start_ms", "end_ms", "matched"] and sorted(map(tuple, got.collect())) == sorted(want)
     assert O.mapped_words(s.limit(0), a.limit(0)).count() == 0
+
+
+def _blocks(spark, files, size):
+    """Files of plain tuples ``(ord, token, start, end)`` and ``(token, start, end)`` as blocks of ``size`` words a side."""
+    rows = []
+    for f, (source, found) in files:
+        for k in range(max(1, -(-max(len(source), len(found)) // size))):
+            rows.append((f, k, source[k * size : (k + 1) * size] or None, found[k * size : (k + 1) * size]))
+    word = "token: string, start_ms: bigint, end_ms: bigint"
+    schema = f"file_id long, block int, sources array<struct<ord: bigint, {word}>>, aligned array<struct<{word}>>"
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
+def test_mapped_blocks_like_mapped_words(spark):
+    """Sides that run ahead of each other, repeated ids, missing sides and times; blocks of one word and more."""
+    import random
+
+    rng = random.Random(3)
+    words = lambda n: [rng.choice("abcde") if rng.random() < 0.95 else None for _ in range(n)]
+    files = {f: (words(rng.randint(0, 60)), words(rng.randint(0, 60))) for f in range(30)}
+    files = {f: ([(k, t, k * 100, k * 100) for k, t in enumerate(x)], [(t, k * 1000, k * 1000 + 300) for k, t in enumerate(y)]) for f, (x, y) in files.items()}
+    sides = "file_id long, ord long, token string, start_ms long, end_ms long", "file_id long, word_id long, token string, start_ms long, end_ms long"
+    s = spark.createDataFrame([(f, *w) for f, (x, _) in files.items() for w in x], sides[0])
+    a = spark.createDataFrame([(f, k, *w) for f, (_, x) in files.items() for k, w in enumerate(x)], sides[1])
+    want = sorted(map(tuple, O.mapped_words(s, a).collect()))
+    for size in (1, 7, 100):
+        assert sorted(map(tuple, O.mapped_blocks(_blocks(spark, files.items(), size), 8).collect())) == want, size
+    twice = [(5, ([(0, "a", 0, 50)], [("a", 7, 9)])), (5, ([(0, "a", None, 50), (1, "b", 3, 3)], [("a", 8, None)]))]
+    got = [tuple(r) for r in O.mapped_blocks(_blocks(spark, twice, 1)).collect()]
+    assert got == [(5, 0, 7, 9, True), (5, 0, 8, None, True), (5, 1, 3, 123, False)]
+    assert O.mapped_blocks(_blocks(spark, twice, 1).limit(0)).count() == 0
+
+
+def test_words_are_mapped_where_they_are_made(spark, data):
+    """No word is shuffled or sorted, and blocks hold the words of the rows."""
+    from scriptloom.plans import catalog, quality_queries  # noqa: F401
+    from scriptloom.plans import views as V
+
+    plan = catalog.QUERIES["mapped_words"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Sort" not in plan and "MapInArrow" in plan
+    flat = V.doc_word_blocks(spark, data).select("file_id", F.inline("words"))
+    rows = V.doc_words(spark, data).select(flat.columns)
+    assert flat.count() == rows.count() and flat.exceptAll(rows).count() == 0
