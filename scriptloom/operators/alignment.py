@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -53,45 +54,61 @@ def _joined(texts: list[str]) -> tuple[str, list[int], list[int]]:
     return "".join(out), firsts, ends
 
 
+@lru_cache(256)
+def _windows(starts: int, low: int, high: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and widths, from ``low`` to below ``high``, of all windows that ``rows`` hold; not to be changed."""
+    start, width = (x.ravel() for x in np.meshgrid(np.arange(starts), np.arange(low, high), indexing="ij"))
+    held = start + width <= rows
+    return start[held], width[held]
+
+
 def _bounds(sentence: str, joined: Joined, starts: int, widths: range) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, widths, lengths and upper bounds of the ratio of a sentence with all windows of rows.
 
     No matching is longer than the longest common subsequence. Its rows of bits go on from width to
-    width, and those of all starts lie side by side in one number, a spare bit apart, so one pass
-    over the longest window serves all windows.
+    width, and those of all starts lie side by side in one number, a spare bit apart. All take the
+    letters of the text together, each from its own first one, and windows end where rows do, so one
+    pass over the text serves all windows and leaves as many numbers as it has rows.
     """
     text, firsts, ends = joined
     size = len(sentence)
-    start, width = (x.ravel() for x in np.meshgrid(np.arange(starts), np.arange(widths.start, widths.stop), indexing="ij"))
-    held = start + width <= len(ends)
-    start, width = start[held], width[held]
-    lengths = np.maximum(0, np.array(ends)[start + width - 1] - np.array(firsts)[start])
-    lane = size // 8 + 1
-    letters = sorted(set(sentence))
-    masks = np.zeros((len(letters) + 1, lane), dtype=np.uint8)  # the last for letters that the sentence lacks
-    for k, x in enumerate(letters):
-        mask = sum(1 << i for i, c in enumerate(sentence) if c == x)
-        masks[k] = np.frombuffer(mask.to_bytes(lane, "little"), dtype=np.uint8)
-    known = {x: k for k, x in enumerate(letters)}
-    longest = int(lengths.max(initial=0))
-    codes = np.array([known.get(c, len(letters)) for c in text] + [len(letters)] * longest, dtype=np.intp)
-    at = np.array(firsts[:starts], dtype=np.intp)
+    start, width = _windows(starts, widths.start, widths.stop, len(ends))
+    ends_, firsts_ = np.array(ends), np.array(firsts)
+    lengths = np.maximum(0, ends_[start + width - 1] - firsts_[start])
+    lane = size // 64 * 8 + 8
     bytes_ = lane * starts
-    free = full = int.from_bytes(((1 << size) - 1).to_bytes(lane, "little") * starts, "little")
-    common = np.zeros(len(start), dtype=np.int64)
-    steps = max(1, BLOCK_BYTES // bytes_)
-    for low in range(0, longest, steps):
-        high = min(longest, low + steps)
-        hits = masks[codes[at[None, :] + np.arange(low, high)[:, None]]].tobytes()
-        states = []
-        for k in range(0, len(hits), bytes_):
-            hit = free & int.from_bytes(hits[k : k + bytes_], "little")
-            free = (free + hit | free - hit) & full
-            states.append(free.to_bytes(bytes_, "little"))
-        rows = np.frombuffer(b"".join(states), dtype=np.uint8).reshape(high - low, starts, lane)
-        done = np.flatnonzero((lengths > low) & (lengths <= high))
-        for some in np.array_split(done, len(done) * lane // BLOCK_BYTES + 1):
-            common[some] = size - np.bitwise_count(rows[lengths[some] - 1 - low, start[some]]).sum(axis=1, dtype=np.int64)
+    masks: dict[str, int] = {}
+    for i, c in enumerate(sentence):
+        masks[c] = masks.get(c, 0) | 1 << i
+    each = int.from_bytes((b"\1" + bytes(lane - 1)) * starts, "little")  # the first bit of every lane
+    hits = {c: mask * each for c, mask in masks.items()}
+    one = (1 << size) - 1
+    full, free, opened, at = one * each, 0, 0, 0
+    states: list[bytes] = []
+    counts = []
+
+    def onward(free: int, part: str) -> int:
+        for c in part:
+            if hit := free & hits.get(c, 0):
+                free = (free + hit | free - hit) & full
+        return free
+
+    def count() -> None:
+        rows = np.frombuffer(b"".join(states), dtype=np.uint64).reshape(len(states), starts, lane // 8)
+        counts.append(np.bitwise_count(rows).sum(axis=2, dtype=np.int64))
+        states.clear()
+
+    for end in ends:
+        while opened < starts and firsts[opened] < end:
+            free = onward(free, text[at : firsts[opened]]) | one << 8 * lane * opened
+            at, opened = firsts[opened], opened + 1
+        free, at = onward(free, text[at:end]), end
+        states.append(free.to_bytes(bytes_, "little"))
+        if len(states) * bytes_ > BLOCK_BYTES:
+            count()
+    if states:
+        count()
+    common = np.where(lengths > 0, size - np.concatenate(counts)[start + width - 1, start], 0)
     return start, width, lengths, 2.0 * common / np.maximum(1, size + lengths)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -69,15 +71,90 @@ def matched_letters(a: str, b: str, least: float = 0.0) -> int:
     return total
 
 
+#: Pairs of equal rare letters of two texts; more are left to difflib.
+RARE_PAIRS = 1 << 16
+
+
+@lru_cache(16)
+def _places(text: str) -> dict[str, list[int]]:
+    """Where each letter of a text stands; not to be changed."""
+    places: dict[str, list[int]] = {}
+    for i, c in enumerate(text):
+        places.setdefault(c, []).append(i)
+    return places
+
+
+def rare_matched(a: str, b: str, least: float = 0.0) -> int | None:
+    """Letters in the matching blocks that difflib finds where ``b`` is long; 0 as soon as a ratio of
+    ``least`` is out of reach, nothing if there are too many pairs of rare letters.
+
+    Blocks begin as the longest run of letters that are rare in ``b``, first in ``a``, then in ``b``,
+    and grow by equal letters of any kind; without such a run only equal beginnings match. The runs of
+    rare letters are listed once, and each part of the texts takes those inside it, cut at its edges.
+    Most are single letters, which are in a part or not.
+    """
+    most, wide = len(b) // 100 + 1, len(b) + 1
+    pairs: set[int] = set()
+    for c, own in _places(a).items():
+        if 0 < (n := b.count(c)) <= most:
+            if len(pairs) + len(own) * n > RARE_PAIRS:
+                return None
+            j = -1
+            for _ in range(n):
+                j = b.index(c, j + 1)
+                pairs.update([i * wide + j for i in own])
+    step = wide + 1  # to the next pair of a run
+    ones, longer = [], []
+    for p in pairs:
+        if p - step not in pairs:
+            n = 1
+            while p + n * step in pairs:
+                n += 1
+            (ones.append(divmod(p, wide)) if n == 1 else longer.append((n, *divmod(p, wide))))
+    ones.sort()
+    todo, total, hope = [(0, len(a), 0, len(b), ones, longer)], 0, min(len(a), len(b))
+    while todo:
+        if 2.0 * hope / (len(a) + len(b)) < least:
+            return 0
+        i0, i1, j0, j1, ones, longer = todo.pop()
+        hope -= min(i1 - i0, j1 - j0)  # what is found or may still be
+        (i, j), size = (ones[0], 1) if ones else ((i0, j0), 0)
+        for n, x, y in longer:
+            if n > size or n == size and (x, y) < (i, j):
+                i, j, size = x, y, n
+        end, edge = i + size, j + size
+        while i > i0 and j > j0 and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        while end < i1 and edge < j1 and a[end] == b[edge]:
+            end, edge = end + 1, edge + 1
+        total += end - i
+        hope += end - i
+        if i > i0 and j > j0:
+            some = [r for r in ones[: bisect_left(ones, (i,))] if r[1] < j]
+            more = [(min(n, i - x, j - y), x, y) for n, x, y in longer if x < i and y < j]
+            if some or more or a[i0] == b[j0]:
+                todo.append((i0, i, j0, j, some, more))
+                hope += min(i - i0, j - j0)
+        if end < i1 and edge < j1:
+            some = [r for r in ones[bisect_left(ones, (end,)) :] if r[1] >= edge]
+            more = [(n - k, x + k, y + k) for n, x, y in longer if (k := max(0, end - x, edge - y)) < n]
+            if some or more:  # equal beginnings belong to the block before
+                todo.append((end, i1, edge, j1, some, more))
+                hope += min(i1 - end, j1 - edge)
+    return total
+
+
 def ratio_of(a: str, b: str, least: float = 0.0) -> float:
     """Ratcliff-Obershelp ratio; pairs that cannot match skip the search, a ratio below ``least`` may be 0."""
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
-    if len(b) >= LONG_TEXT or len(a) * (len(b) + 8) > TABLE_BITS:
-        return SequenceMatcher(None, a, b).ratio()
-    return 2.0 * matched_letters(a, b, least) / (len(a) + len(b))
+    if len(b) >= LONG_TEXT:
+        found = rare_matched(a, b, least)
+    else:
+        found = matched_letters(a, b, least) if len(a) * (len(b) + 8) <= TABLE_BITS else None
+    return SequenceMatcher(None, a, b).ratio() if found is None else 2.0 * found / (len(a) + len(b))
 
 
 def lcs_of(a: str, b: str) -> int:

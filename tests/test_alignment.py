@@ -129,3 +129,60 @@ def test_ratio_equals_difflib():
         want = difflib.SequenceMatcher(None, a, b).ratio() if a and b else float(a == b)
         assert ratio_of(a, b) == want
         assert ratio_of(a, b, 0.6) in ((want,) if want >= 0.6 else (want, 0.0))
+
+
+def test_long_ratios_equal_difflib_without_it(monkeypatch):
+    """Frequent and rare letters, swapped pieces, dropped letters and other texts against ``LONG_TEXT`` letters and more."""
+    from scriptloom.operators import similarity as S
+
+    rng = random.Random(6)
+    cases = []
+    for case in range(600):
+        letters = ["eeeettaao" * 4 + "nshrdlu" + "vkxqjz", "ab", "abcdefghijklmnopqrstuvwxyz", "aaaaabcd中é"][case % 4]
+        b = "".join(rng.choice(letters) for _ in range(rng.choice([200, 210, 700])))
+        pieces = [b[i : i + 7] for i in range(0, len(b), 7)]
+        a = [
+            "".join(rng.choice(letters) for _ in range(rng.choice([1, 5, 400]))), "".join(rng.sample(pieces, len(pieces))), "".join(c for c in b if rng.random() < 0.9),
+            b[rng.randint(0, 40) : rng.randint(60, 200)] + "".join(rng.choice(letters) for _ in range(20)) + b[: rng.randint(0, 50)],
+        ][case // 4 % 4]
+        cases.append((a, b, difflib.SequenceMatcher(None, a, b).ratio(), rng.random()))
+
+    def unwanted(*_):
+        raise AssertionError("difflib")
+
+    monkeypatch.setattr(S, "SequenceMatcher", unwanted)
+    for a, b, want, least in cases:
+        assert S.ratio_of(a, b) == want
+        assert S.ratio_of(a, b, least) in ((want,) if want >= least else (want, 0.0))
+
+
+def test_many_rare_pairs_are_left_to_difflib(monkeypatch):
+    from scriptloom.operators import similarity as S
+
+    monkeypatch.setattr(S, "RARE_PAIRS", 3)
+    a, b = "xyz" + "ab" * 150, "ba" * 150 + "zyxx"
+    assert S.rare_matched(a, b) is None
+    assert S.ratio_of(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_bounds_of_all_windows(monkeypatch):
+    """Each window's longest common subsequence, also with blank rows and states counted in blocks."""
+    from scriptloom.operators.similarity import lcs_of
+
+    rng = random.Random(8)
+    words = ["ab ", "abc ", " bd ", "e", " f ", "ab", "", " ", "中文 ", "x\n"]
+    for case in range(300):
+        texts = [rng.choice(words) for _ in range(rng.randint(1, 30))]
+        sentence = A.plain("".join(rng.choice(words) for _ in range(rng.choice([0, 4, 40]))))
+        size = rng.randint(1, 8)
+        widths = range(max(1, size // 2), min(2 * size, len(texts)) + 1)
+        starts = min(rng.choice([4, 31]), len(texts) - widths.start + 1) if widths else 0
+        if starts < 1:
+            continue
+        if case == 200:
+            monkeypatch.setattr(A, "BLOCK_BYTES", 100)
+        at, wide, lengths, limits = A._bounds(sentence, A._joined(texts[: starts + widths.stop - 2]), starts, widths)
+        assert list(zip(at.tolist(), wide.tolist())) == [(k, w) for k in range(starts) for w in widths if k + w <= len(texts[: starts + widths.stop - 2])]
+        for k, w, n, limit in zip(at.tolist(), wide.tolist(), lengths.tolist(), limits.tolist()):
+            window = A.plain("".join(texts[k : k + w]))
+            assert n == len(window) and limit == 2.0 * lcs_of(sentence, window) / max(1, len(sentence) + n)
